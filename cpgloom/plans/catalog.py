@@ -1,6 +1,6 @@
 """Collects all registered queries."""
 
-from cpgloom.plans import matrix_queries, metric_queries  # noqa: F401
+from cpgloom.plans import board_queries, matrix_queries, metric_queries, report_queries  # noqa: F401
 from cpgloom.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -175,7 +175,7 @@ def clock_coef(spark, d):
     p = F.col("probe_ord")
     return (
         probes(spark, d)
-        .withColumn("clock_no", F.explode(F.sequence(F.lit(1), F.lit(5))).cast("long"))
+        .withColumn("clock_no", F.explode(F.array(*[F.lit(i).cast("long") for i in range(1, 6)])))
         .where((p + c) % 3 != 0)
         .select(
             F.concat(F.lit("clock"), c.cast("string")).alias("clock"),
