@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cpgloom.session import scratch_path
+
 BROADCAST_BYTES = 64 * 1024 * 1024
 
 
-def _row_bytes(field: T.StructField):
+def _field_bytes(field: T.StructField) -> Column:
     col = F.col(f"`{field.name}`")
     if isinstance(field.dataType, (T.StringType, T.BinaryType)):
         return F.coalesce(F.octet_length(col), F.lit(0)) + 16
@@ -18,18 +20,18 @@ def _row_bytes(field: T.StructField):
     return F.lit(16)
 
 
-def measured_bytes(df: DataFrame, limit: int = BROADCAST_BYTES) -> int:
-    """Upper estimate of the in-memory size; stops early once the limit must be exceeded."""
-    per_row = sum((_row_bytes(f) for f in df.schema.fields), F.lit(0))
-    head = df.limit(limit // 16 + 1)
-    got = head.agg(F.coalesce(F.sum(per_row.cast("long")), F.lit(0)).alias("b")).first()
-    return int(got["b"])
-
-
 def sized(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """``broadcast(df)`` when its measured size fits, otherwise ``df`` untouched.
+    """``df`` ready to be the smaller side of a join: stored, measured, broadcast if it fits.
 
-    Without the hint Spark shuffles both sides and adaptive execution splits skewed keys,
-    so a dimension that outgrows the bound changes the plan and not the result.
+    The dimension is computed once into the shared folder and its in-memory size is summed in
+    the same job.  Up to ``limit`` it is broadcast; beyond that the stored table is returned as it
+    is, so Spark shuffles both sides and adaptive execution splits skewed keys.  The size changes
+    the plan, never the result.
     """
-    return F.broadcast(df) if measured_bytes(df, limit) <= limit else df
+    spark = df.sparkSession
+    path = scratch_path(spark, "dim")
+    seen = Observation()
+    per_row = sum((_field_bytes(f) for f in df.schema.fields), F.lit(0)).cast("long")
+    df.observe(seen, F.coalesce(F.sum(per_row), F.lit(0).cast("long")).alias("bytes")).write.parquet(path)
+    stored = spark.read.schema(df.schema).parquet(path)
+    return F.broadcast(stored) if seen.get["bytes"] <= limit else stored
