@@ -148,11 +148,11 @@ def _(spark, d):
 
 @query(
     "d24_linear_error_trend",
-    f"SELECT model, {r(f'regr_slope({E}, y_true)')} AS c1, {r(f'regr_intercept({E}, y_true)')} AS c0 FROM pred_long GROUP BY model",
+    f"SELECT model, {r(f'regr_slope({E}, y_true)', 6)} AS c1, {r(f'regr_intercept({E}, y_true)', 6)} AS c0 FROM pred_long GROUP BY model",
     "pred_long",
 )
 def _(spark, d):
-    return rounded(m.polynomial_trend(v.preds(spark, d), 1))
+    return rounded(m.polynomial_trend(v.preds(spark, d), 1), digits=6)
 
 
 @query(
@@ -163,11 +163,11 @@ s AS (SELECT model, m, avg(x * x) AS a2, avg(x * x * x) AS a3, avg(x * x * x * x
   avg(x * x * e) AS b2 FROM c GROUP BY model, m),
 q AS (SELECT *, (a2 * (b2 - b0 * a2) - a3 * b1) / (a2 * (a4 - a2 * a2) - a3 * a3) AS q FROM s),
 k AS (SELECT *, (b1 - q * a3) / a2 AS b FROM q)
-SELECT model, {r('q')} AS c2, {r('b - 2 * q * m')} AS c1, {r('b0 - q * a2 - b * m + q * m * m')} AS c0 FROM k""",
+SELECT model, {r('q', 6)} AS c2, {r('b - 2 * q * m', 6)} AS c1, {r('b0 - q * a2 - b * m + q * m * m', 6)} AS c0 FROM k""",
     "pred_long",
 )
 def _(spark, d):
-    return rounded(m.polynomial_trend(v.preds(spark, d), 2))
+    return rounded(m.polynomial_trend(v.preds(spark, d), 2), digits=6)
 
 
 ACCEL = """fit AS (SELECT model, regr_slope(y_pred, y_true) AS a, regr_intercept(y_pred, y_true) AS b FROM pred_long GROUP BY model),
@@ -176,11 +176,11 @@ acc AS (SELECT p.*, y_pred - (a * y_true + b) AS acceleration FROM pred_long p J
 
 @query(
     "d25_age_acceleration",
-    f"WITH {ACCEL} SELECT model, sample_id, {r('acceleration')} AS acceleration FROM acc",
+    f"WITH {ACCEL} SELECT model, sample_id, {r('acceleration', 6)} AS acceleration FROM acc",
     "pred_long",
 )
 def _(spark, d):
-    return rounded(m.age_acceleration(v.preds(spark, d)).select("model", "sample_id", "acceleration"))
+    return rounded(m.age_acceleration(v.preds(spark, d)).select("model", "sample_id", "acceleration"), digits=6)
 
 
 @query(

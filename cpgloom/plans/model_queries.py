@@ -106,22 +106,22 @@ cal AS (SELECT s.*, a * y_pred + b AS calibrated FROM aged_clock s JOIN lines l
 
 @query(
     "m18_clock_calibration",
-    f"WITH {FOLD_SQL}, {CLOCK_SQL}, {CALIBRATED_SQL} SELECT sample_id, clock, fold, {r('calibrated')} AS calibrated FROM cal",
+    f"WITH {FOLD_SQL}, {CLOCK_SQL}, {CALIBRATED_SQL} SELECT sample_id, clock, fold, {r('calibrated', 6)} AS calibrated FROM cal",
     "annot beta_long clock_coef",
 )
 def _(spark, d):
-    return rounded(ck.calibrate(clock_scores(spark, d)).select("sample_id", "clock", "fold", "calibrated"))
+    return rounded(ck.calibrate(clock_scores(spark, d)).select("sample_id", "clock", "fold", "calibrated"), digits=6)
 
 
 @query(
     "m18_calibration_gain",
-    f"""WITH {FOLD_SQL}, {CLOCK_SQL}, {CALIBRATED_SQL} SELECT clock, {r('avg(abs(y_pred - y_true))')} AS mae_raw,
- {r('avg(abs(calibrated - y_true))')} AS mae_calibrated, {r('avg(y_pred - y_true)')} AS bias_raw,
- {r('avg(calibrated - y_true)')} AS bias_calibrated FROM cal GROUP BY clock""",
+    f"""WITH {FOLD_SQL}, {CLOCK_SQL}, {CALIBRATED_SQL} SELECT clock, {r('avg(abs(y_pred - y_true))', 6)} AS mae_raw,
+ {r('avg(abs(calibrated - y_true))', 6)} AS mae_calibrated, {r('avg(y_pred - y_true)', 6)} AS bias_raw,
+ {r('avg(calibrated - y_true)', 6)} AS bias_calibrated FROM cal GROUP BY clock""",
     "annot beta_long clock_coef",
 )
 def _(spark, d):
-    return rounded(ck.calibration_gain(ck.calibrate(clock_scores(spark, d))))
+    return rounded(ck.calibration_gain(ck.calibrate(clock_scores(spark, d))), digits=6)
 
 
 def clock_features(spark, d):
@@ -158,7 +158,7 @@ cells AS (SELECT b.sample_id, b.probe_ord, k5.age AS y_true, coef, center, coale
 p AS (SELECT sample_id, iteration, g AS rate, any_value(y_true) AS y_true, sum(coef * CASE WHEN u < g THEN center ELSE x END) + 50.0::DOUBLE AS y_pred
   FROM cells, (SELECT unnest([0.0, 0.1, 0.5, 0.9]::DOUBLE[]) AS g) GROUP BY sample_id, iteration, g),
 e AS (SELECT rate, iteration, avg(abs(y_pred - y_true)) AS mae FROM p GROUP BY rate, iteration)
-SELECT rate AS missing_rate, {r('avg(mae)')} AS mae_mean, {r('stddev_pop(mae)')} AS mae_std, {r('quantile_cont(mae, 0.5)')} AS mae_median FROM e GROUP BY rate""",
+SELECT rate AS missing_rate, {r('avg(mae)', 6)} AS mae_mean, {r('stddev_pop(mae)', 6)} AS mae_std, {r('quantile_cont(mae, 0.5)', 6)} AS mae_median FROM e GROUP BY rate""",
     "annot beta_long clock_coef",
 )
 def _(spark, d):
@@ -166,7 +166,7 @@ def _(spark, d):
     one = v.clock_coef(spark, d).where("clock = 'clock2'").join(v.probes(spark, d), "probe_id").select("probe_ord", "coef")
     centers = cells.where("fold <> 0").groupBy("probe_ord").agg(F.avg("beta").alias("center"))
     out = ck.robustness(cells.where("fold = 0"), one.join(centers, "probe_ord"), 50.0, [0.0, 0.1, 0.5, 0.9], 5)
-    return rounded(out)
+    return rounded(out, digits=6)
 
 
 # --- single models ----------------------------------------------------------------------------

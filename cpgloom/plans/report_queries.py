@@ -447,12 +447,12 @@ def _(spark, d):
 
 @query(
     "d17_model_agreement",
-    f"""SELECT sample_id, {", ".join(r(f"max(y_pred) FILTER (model = '{x}')") + f' AS "{x}"' for x in MODELS)},
- {r('avg(y_pred)')} AS mean, {r('stddev_samp(y_pred)')} AS sd, {r('min(y_true)')} AS y_true FROM pred_long GROUP BY sample_id""",
+    f"""SELECT sample_id, {", ".join(r(f"max(y_pred) FILTER (model = '{x}')", 6) + f' AS "{x}"' for x in MODELS)},
+ {r('avg(y_pred)', 6)} AS mean, {r('stddev_samp(y_pred)', 6)} AS sd, {r('min(y_true)', 6)} AS y_true FROM pred_long GROUP BY sample_id""",
     "pred_long",
 )
 def _(spark, d):
-    return rounded(st.model_agreement(v.preds(spark, d), MODELS))
+    return rounded(st.model_agreement(v.preds(spark, d), MODELS), digits=6)
 
 
 @query(
@@ -593,12 +593,12 @@ def _(spark, d):
 @query(
     "d42_inverse_error_ensemble",
     f"""WITH w AS (SELECT model, avg({AE}) AS mae FROM pred_long GROUP BY model)
-SELECT sample_id, {r('min(y_true)')} AS y_true, {r('avg(y_pred)')} AS simple, {r('sum(y_pred / mae) / sum(1 / mae)')} AS weighted,
- {r('avg(y_pred) FILTER (mae < 5)')} AS selected FROM pred_long p JOIN w ON p.model = w.model GROUP BY sample_id""",
+SELECT sample_id, {r('min(y_true)', 6)} AS y_true, {r('avg(y_pred)', 6)} AS simple, {r('sum(y_pred / mae) / sum(1 / mae)', 6)} AS weighted,
+ {r('avg(y_pred) FILTER (mae < 5)', 6)} AS selected FROM pred_long p JOIN w ON p.model = w.model GROUP BY sample_id""",
     "pred_long",
 )
 def _(spark, d):
-    return rounded(st.inverse_error_ensemble(v.preds(spark, d), max_mae=5.0))
+    return rounded(st.inverse_error_ensemble(v.preds(spark, d), max_mae=5.0), digits=6)
 
 
 @query(
@@ -965,25 +965,25 @@ def _(spark, d):
 @query(
     "x17_standard_scaler",
     f"""WITH {TRAIN_SQL}, s AS (SELECT probe_ord, avg(beta) AS mu, stddev_pop(beta) AS sd FROM train GROUP BY probe_ord)
-SELECT b.sample_id, b.probe_ord, {r('(beta - mu) / CASE WHEN sd = 0 THEN 1 ELSE sd END')} AS z FROM beta_long b JOIN s ON b.probe_ord = s.probe_ord""",
+SELECT b.sample_id, b.probe_ord, {r('(beta - mu) / CASE WHEN sd = 0 THEN 1 ELSE sd END', 6)} AS z FROM beta_long b JOIN s ON b.probe_ord = s.probe_ord""",
     "annot beta_long",
 )
 def _(spark, d):
     from cpgloom.operators.scaling import standard_apply, standard_fit
 
-    return rounded(standard_apply(v.beta(spark, d), standard_fit(train_cells(spark, d))).select("sample_id", "probe_ord", "z"))
+    return rounded(standard_apply(v.beta(spark, d), standard_fit(train_cells(spark, d))).select("sample_id", "probe_ord", "z"), digits=6)
 
 
 @query(
     "x18_global_min_max",
     f"""WITH {TRAIN_SQL}, s AS (SELECT min(beta) AS lo, max(beta) AS hi FROM train)
-SELECT sample_id, probe_ord, {r('(beta - lo) / (hi - lo + 1e-8)')} AS scaled FROM beta_long, s""",
+SELECT sample_id, probe_ord, {r('(beta - lo) / (hi - lo + 1e-8)', 6)} AS scaled FROM beta_long, s""",
     "annot beta_long",
 )
 def _(spark, d):
     from cpgloom.operators.scaling import global_min_max
 
-    return rounded(global_min_max(v.beta(spark, d), train_cells(spark, d)).select("sample_id", "probe_ord", "scaled"))
+    return rounded(global_min_max(v.beta(spark, d), train_cells(spark, d)).select("sample_id", "probe_ord", "scaled"), digits=6)
 
 
 @query(
