@@ -11,11 +11,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cpgloom.operators.design import feature_arrays
-from cpgloom.operators.gram import centred, fold_grams
+from cpgloom.operators.gram import MAX_FEATURES, centred, fold_grams
 from cpgloom.operators.ordering import exact_quantiles, numbered
 from cpgloom.operators.probe_stats import PROBE
 from cpgloom.operators.sizing import sized
 
+# Upper size of one block of feature rows inside a task.
+BLOCK_BYTES = 128 * 1024 * 1024
 METHODS = ["zero", "mean", "median", "knn", "mice"]
 
 
@@ -56,10 +58,13 @@ def _block_pairs(receivers: DataFrame, donors: DataFrame, block: int) -> tuple[D
     Only whole blocks meet in a task and only the best few donors per receiver leave it, so
     neither the pair list nor one side has to fit anywhere.
     """
-    nr = max(1, math.ceil(receivers.count() / block))
-    nd = max(1, math.ceil(donors.count() / block))
+    # Large blocks keep the copies few; small inputs are still cut enough to use every core.
+    least = math.ceil(math.sqrt(2 * donors.sparkSession.sparkContext.defaultParallelism))
+    nr, nd = (max(1, math.ceil(n / min(block, max(16, math.ceil(n / least))))) for n in (receivers.count(), donors.count()))
     # New column identities: both sides may come from one table.
     receivers, donors = (x.select(*[F.col(c).alias(c) for c in x.columns]) for x in (receivers, donors))
+    width = donors.agg(F.max(F.size("features")).alias("w")).first()["w"] or 1
+    block = max(16, min(block, BLOCK_BYTES // (8 * width)))
     key = F.xxhash64("sample_id")
     all_r = F.explode(F.sequence(F.lit(0), F.lit(nr - 1)))
     all_d = F.explode(F.sequence(F.lit(0), F.lit(nd - 1)))
@@ -225,7 +230,9 @@ class ChainedImputer:
     def fit(self, train: DataFrame, vec: str = "features") -> ChainedImputer:
         """``train`` holds one array per sample with nulls for missing cells."""
         probe = train.select(F.posexplode(vec).alias("i", "x")).groupBy("i").agg(F.avg("x").alias("m"), F.count_if(F.col("x").isNull()).alias("gaps"))
-        stats = sorted(probe.collect(), key=lambda r: r["i"])  # one row per selected probe
+        stats = sorted(probe.limit(MAX_FEATURES + 1).collect(), key=lambda r: r["i"])  # one row per selected probe
+        if len(stats) > MAX_FEATURES:
+            raise ValueError(f"chained equations work on at most {MAX_FEATURES} selected probes; select first")
         self.means = np.array([0.0 if r["m"] is None else r["m"] for r in stats])
         todo = [r["i"] for r in stats if r["gaps"] > 0 and r["m"] is not None]
         width = len(stats)

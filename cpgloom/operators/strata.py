@@ -166,10 +166,12 @@ def models_by_median_error(preds: DataFrame) -> DataFrame:
 def kde(df: DataFrame, value: str, group: str, points: int = 200) -> DataFrame:
     """Gaussian kernel density on an even grid, Scott bandwidth.
 
-    Rows fan out over the fixed grid and are summed map-side, so the shuffle carries at most
-    ``points`` rows per group and task.
+    Equal values are counted first, which collapses hot values and spreads the rest over the
+    shuffle partitions; the rows then fan out over the fixed grid and are summed map-side, so
+    the second shuffle carries at most ``points`` rows per group and task.
     """
     x = F.col(value)
+    counted = df.where(x.isNotNull()).groupBy(group, value).agg(F.count("*").alias("_c"))
     s = df.groupBy(group).agg(
         F.min(x).alias("_lo"), F.max(x).alias("_hi"), F.stddev_samp(x).alias("_sd"), F.count(x).alias("_n")
     )
@@ -179,11 +181,10 @@ def kde(df: DataFrame, value: str, group: str, points: int = 200) -> DataFrame:
     z = (at - x) / F.col("_h")
     norm = F.col("_n") * F.col("_h") * F.sqrt(2 * F.pi())
     return (
-        df.where(x.isNotNull())
-        .join(sized(s), group)
+        counted.join(sized(s), group)
         .withColumn("point", F.explode(grid))
         .groupBy(group, "point", "_lo", "_hi", "_n", "_h")
-        .agg(F.sum(F.exp(-z * z / 2)).alias("_k"))
+        .agg(F.sum(F.col("_c") * F.exp(-z * z / 2)).alias("_k"))
         .select(group, "point", at.alias("x"), (F.col("_k") / norm).alias("density"))
     )
 

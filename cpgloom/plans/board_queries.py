@@ -9,7 +9,7 @@ from cpgloom.operators import relational as rel
 from cpgloom.operators import selection as sel
 from cpgloom.plans import views as v
 from cpgloom.plans.registry import query, r, rounded
-from cpgloom.session import scratch_path
+from cpgloom.session import materialize, scratch_path
 from cpgloom.sources import matrix_files as mf
 from cpgloom.sources import submissions as sub
 from cpgloom.sources import tables as tb
@@ -61,6 +61,44 @@ def _(spark, d):
     return names.select(F.col("col").cast("long").alias("header_ord"), "sample_id")
 
 
+@query("a05_file_discovery", f"SELECT sample_id, probe_ord, {r('beta')} AS beta FROM beta_long WHERE probe_ord < 8", "beta_long")
+def _(spark, d):
+    folder = scratch_path(spark, "data")
+    cells = v.beta(spark, d).select("sample_id", "probe_ord", "beta").where("probe_ord < 8")
+    tb.write_table(cells, f"{folder}/raw_impute", "csv")
+    tb.write_table(cells.limit(5), f"{folder}/other", "parquet")
+    found = tb.find_files(spark, folder, "*.csv")
+    paths = [row["path"] for row in found.select("path").collect()]  # names of the part files
+    back = spark.read.schema("sample_id STRING, probe_ord BIGINT, beta DOUBLE").option("header", True).csv(paths)
+    return rounded(back)
+
+
+@query("a06_latest_result_file", f"SELECT model, {r(f'avg({E} * {E})')} AS score FROM pred_long GROUP BY model", "pred_long")
+def _(spark, d):
+    folder = scratch_path(spark, "results")
+    p = v.preds(spark, d)
+    for name, score in (("first", F.avg(m.abs_err())), ("second", F.avg(m.err() * m.err()))):
+        tb.write_table(p.groupBy("model").agg(score.alias("score")).coalesce(1), f"{folder}/{name}", "csv")
+    latest = tb.latest_file(spark, folder, "*.csv")
+    return rounded(spark.read.schema("model STRING, score DOUBLE").option("header", True).csv(latest))
+
+
+@query("a07_clock_probe_list", "SELECT DISTINCT probe_id FROM clock_coef", "clock_coef")
+def _(spark, d):
+    path = scratch_path(spark, "clock-list")
+    v.clock_coef(spark, d).select("probe_id").write.text(path)
+    return tb.load_clock_probes(spark, path).unionByName(tb.load_clock_probes(spark, path + "-missing"))
+
+
+@query("a09_optional_file", f"SELECT model, count(*) AS n, {r('avg(y_true)')} AS mean_age FROM pred_long GROUP BY model", "pred_long")
+def _(spark, d):
+    path = scratch_path(spark, "optional")
+    tb.write_table(v.preds(spark, d).select("model", "y_true"), path, "csv")
+    parts = [tb.read_optional(spark, p, "csv", "model STRING, y_true DOUBLE") for p in (path, path + "-missing")]
+    (present,) = [p for p in parts if p is not None]
+    return rounded(present.groupBy("model").agg(F.count("*").alias("n"), F.avg("y_true").alias("mean_age")))
+
+
 @query(
     "a12_csv_sink",
     f"SELECT model, count(*) AS n, {r('avg(y_pred)')} AS mean_pred FROM pred_long GROUP BY model",
@@ -179,7 +217,7 @@ def _truth(spark, d):
     "pred_long",
 )
 def _(spark, d):
-    matched = sub.match_to_truth(sub.parse_uploads(uploads(spark, d)), _truth(spark, d))
+    matched = materialize(sub.match_to_truth(sub.parse_uploads(uploads(spark, d)), _truth(spark, d)), "matched")
     return rounded(m.error_metrics(matched, ["upload_id"]).select("upload_id", "n", "mae", "rmse", "mad"))
 
 

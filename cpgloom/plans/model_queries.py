@@ -18,7 +18,7 @@ from cpgloom.operators.impute import impute
 from cpgloom.operators.ordering import running
 from cpgloom.operators.splits import kfold
 from cpgloom.plans import views as v
-from cpgloom.plans.matrix_queries import split_samples
+from cpgloom.plans.matrix_queries import R_SQL, TRAIN_SQL, split_samples
 from cpgloom.plans.registry import query, r, rounded
 from cpgloom.session import materialize, scratch_path
 
@@ -172,6 +172,31 @@ def _(spark, d):
 # --- single models ----------------------------------------------------------------------------
 
 
+@query(
+    "m01_penalties_closed_form",
+    f"""WITH x AS (SELECT b.sample_id, any_value(a.age) AS y, avg(beta) * 100 AS x FROM beta_long b JOIN annot a ON a.sample_id = b.sample_id
+  WHERE a.age IS NOT NULL GROUP BY b.sample_id),
+s AS (SELECT count(*) AS n, covar_pop(x, y) AS c, var_pop(x) AS v, avg(x) AS mx, avg(y) AS my FROM x),
+w AS (SELECT 'ols' AS model, c / v AS coef, mx, my FROM s UNION ALL SELECT 'ridge', c / (v + 200.0::DOUBLE / n), mx, my FROM s
+ UNION ALL SELECT 'lasso', sign(c) * greatest(abs(c) - 0.5::DOUBLE, 0) / v, mx, my FROM s
+ UNION ALL SELECT 'elastic net', sign(c) * greatest(abs(c) - 0.2::DOUBLE, 0) / (v + 0.2::DOUBLE), mx, my FROM s)
+SELECT model, {r('coef', 4)} AS coef, {r('my - coef * mx', 2)} AS intercept FROM w""",
+    "beta_long annot",
+)
+def _(spark, d):
+    ages = v.annot(spark, d).where("age is not null").select("sample_id", F.col("age").alias("label"))
+    means = v.beta(spark, d).groupBy("sample_id").agg((F.avg("beta") * 100).alias("x")).join(ages, "sample_id")
+    rows = materialize(means.select("label", array_to_vector(F.array("x")).alias("features")), "one-feature")
+    fits = {"ols": ln.ridge(0.0), "ridge": ln.ridge(200.0), "lasso": ln.lasso(0.5), "elastic net": ln.elastic_net(0.4, 0.5)}
+    out = []
+    for name, est in fits.items():
+        model = est.fit(rows)
+        out.append((name, float(model.coefficients[0]), float(model.intercept)))
+    # One row per fitted model.
+    table = spark.createDataFrame(out, "model STRING, coef DOUBLE, intercept DOUBLE")
+    return rounded(rounded(table, "coef", digits=4), "intercept", digits=2)
+
+
 @query("m01_ridge")
 def _(spark, d):
     return fit_and_predict(spark, d, ln.ridge(1.0))
@@ -210,9 +235,21 @@ def _(spark, d):
     return fit_and_predict(spark, d, en.boosting(15, 3))
 
 
-@query("m05_neighbour_regression")
+KNN_SQL = f"""WITH {TRAIN_SQL}, s AS (SELECT probe_ord, {R_SQL} AS r, avg(beta) AS mu FROM train GROUP BY probe_ord),
+top AS (SELECT probe_ord, mu FROM s ORDER BY abs(s.r) DESC, probe_ord LIMIT {K}),
+sd AS (SELECT t.probe_ord, stddev_pop(t.beta) AS sd FROM train t GROUP BY t.probe_ord),
+z AS (SELECT p.sample_id, p.split, p.age, b.probe_ord, (coalesce(b.beta, top.mu) - top.mu) / CASE WHEN sd.sd = 0 THEN 1 ELSE sd.sd END AS z
+  FROM beta_long b JOIN parts p ON p.sample_id = b.sample_id JOIN top ON top.probe_ord = b.probe_ord JOIN sd ON sd.probe_ord = b.probe_ord),
+d AS (SELECT a.sample_id, t.sample_id AS did, any_value(a.split) AS split, any_value(a.age) AS y_true, any_value(t.age) AS y,
+  round(sqrt(sum((a.z - t.z) * (a.z - t.z))), 10) AS dist FROM z a JOIN z t ON a.probe_ord = t.probe_ord
+  WHERE t.split = 'train' AND a.sample_id <> t.sample_id GROUP BY a.sample_id, t.sample_id),
+k AS (SELECT *, row_number() OVER (PARTITION BY sample_id ORDER BY dist, did) AS rk FROM d)
+SELECT sample_id, any_value(split) AS split, {r('any_value(y_true)', 6)} AS y_true, {r('sum(y / dist) / sum(1 / dist)', 6)} AS y_pred FROM k WHERE rk <= 8 GROUP BY sample_id"""
+
+
+@query("m05_neighbour_regression", KNN_SQL, "annot beta_long")
 def _(spark, d):
-    return fit_and_predict(spark, d, en.NeighbourRegressor(8))
+    return rounded(fit_and_predict(spark, d, en.NeighbourRegressor(8)), digits=6)
 
 
 @query("m06_residual_learning")
@@ -323,6 +360,29 @@ def _(spark, d):
 # --- evaluation loops -------------------------------------------------------------------------
 
 
+@query(
+    "v08_leak_guard",
+    f"""WITH {FOLD_SQL} SELECT k5.fold AS fold, count(DISTINCT probe_ord) AS n_probes, 0::BIGINT AS n_changed FROM beta_long b
+JOIN k5 ON k5.sample_id = b.sample_id GROUP BY k5.fold""",
+    "annot beta_long",
+)
+def _(spark, d):
+    cells = materialize(folded_cells(spark, d), "cells")
+    out = None
+    for f in range(5):
+        own = F.col("fold") == f
+        bent = cells.withColumns({"beta": F.when(own, 1 - F.col("beta")).otherwise(F.col("beta")), "age": F.when(own, F.col("age") + 7).otherwise(F.col("age"))})
+        a = fw.fold_statistics(cells).where(own)
+        b = fw.fold_statistics(bent).where(own).withColumnsRenamed({"r": "r2", "center": "c2", "spread": "s2"})
+        moved = F.lit(False)
+        for x, y in (("r", "r2"), ("center", "c2"), ("spread", "s2")):
+            gap = F.coalesce(F.abs(F.col(x) - F.col(y)), F.when(F.col(x).isNull() & F.col(y).isNull(), 0.0).otherwise(1.0))
+            moved = moved | (gap > 1e-9)
+        part = a.join(b, ["fold", "probe_ord"]).groupBy("fold").agg(F.count("*").alias("n_probes"), F.count_if(moved).alias("n_changed"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 @query("v06_out_of_fold_predictions")
 def _(spark, d):
     cells = materialize(folded_cells(spark, d), "cells")

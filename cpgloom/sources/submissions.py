@@ -9,6 +9,7 @@ from cpgloom.functions.scalars import short_hash, text_or
 from cpgloom.operators.metrics import error_metrics, metrics_rounded
 from cpgloom.operators.ordering import numbered
 from cpgloom.operators.sizing import sized
+from cpgloom.session import materialize
 
 SUBMISSION_SCHEMA = (
     "id STRING, username STRING, model_category STRING, description STRING, "
@@ -24,7 +25,9 @@ _OUTSIDE_QUOTES = ',(?=(?:[^"]*"[^"]*")*[^"]*$)'
 
 
 def _fields(line: Column) -> Column:
-    return F.transform(F.split(line, _OUTSIDE_QUOTES, -1), lambda c: F.trim(F.regexp_replace(c, '^\\s*"|"\\s*$', "")))
+    plain = F.transform(F.split(line, ",", -1), lambda c: F.trim(c))
+    quoted = F.transform(F.split(line, _OUTSIDE_QUOTES, -1), lambda c: F.trim(F.regexp_replace(c, '^\\s*"|"\\s*$', "")))
+    return F.when(F.contains(line, F.lit('"')), quoted).otherwise(plain)
 
 
 def _first_position(header: Column, names: list[str]) -> Column:
@@ -82,7 +85,8 @@ def reconcile_uploads(parsed: DataFrame, truth: DataFrame, key: str = "upload_id
 
 def score_uploads(uploads: DataFrame, truth: DataFrame) -> DataFrame:
     """Submission records for all uploads that share at least one sample with the truth."""
-    matched = match_to_truth(parse_uploads(uploads), truth)
+    # Parsing is the costly part and the median needs two passes: keep the matched rows.
+    matched = materialize(match_to_truth(parse_uploads(uploads), truth), "matched")
     scored = metrics_rounded(error_metrics(matched, ["upload_id"]))
     info = uploads.select("upload_id", "username", "model_category", "description", "date")
     return scored.join(info, "upload_id").select(
