@@ -12,9 +12,10 @@ from pyspark.sql import functions as F
 
 from cpgloom.operators.design import feature_arrays
 from cpgloom.operators.gram import MAX_FEATURES, centred, fold_grams
-from cpgloom.operators.ordering import exact_quantiles, numbered
+from cpgloom.operators.ordering import exact_quantiles
 from cpgloom.operators.probe_stats import PROBE
 from cpgloom.operators.sizing import sized
+from cpgloom.session import materialize
 
 # Upper size of one block of feature rows inside a task.
 BLOCK_BYTES = 128 * 1024 * 1024
@@ -49,6 +50,12 @@ def apply_fills(cells: DataFrame, fills: DataFrame, value: str = "beta") -> Data
     )
 
 
+def array_positions(cells: DataFrame) -> DataFrame:
+    """``(idx, probe_ord)``: places of the probes in the per-sample arrays, one list of array width."""
+    listed = cells.select(PROBE).distinct().agg(F.sort_array(F.collect_list(PROBE)).alias("p"))
+    return listed.select(F.posexplode("p").alias("idx", PROBE))
+
+
 # --- nearest neighbours -----------------------------------------------------------------------
 
 
@@ -61,8 +68,8 @@ def _block_pairs(receivers: DataFrame, donors: DataFrame, block: int) -> tuple[D
     # Large blocks keep the copies few; small inputs are still cut enough to use every core.
     least = math.ceil(math.sqrt(2 * donors.sparkSession.sparkContext.defaultParallelism))
     nr, nd = (max(1, math.ceil(n / min(block, max(16, math.ceil(n / least))))) for n in (receivers.count(), donors.count()))
-    # New column identities: both sides may come from one table.
-    receivers, donors = (x.select(*[F.col(c).alias(c) for c in x.columns]) for x in (receivers, donors))
+    # Counted, measured and then copied to the blocks: build the arrays once.
+    receivers, donors = materialize(receivers, "receivers"), materialize(donors, "donors")
     width = donors.agg(F.max(F.size("features")).alias("w")).first()["w"] or 1
     block = max(16, min(block, BLOCK_BYTES // (8 * width)))
     key = F.xxhash64("sample_id")
@@ -163,9 +170,7 @@ def knn_fill(cells: DataFrame, train: DataFrame, k: int = 5, block: int = 2000,
     total = F.aggregate("b", F.lit(0.0), lambda s, x: s + x["value"])
     means = found.groupBy("sample_id", "idx").agg(best.alias("b")).select("sample_id", "idx", (total / F.size("b")).alias("_knn"))
     # Array positions back to probe ordinals: the same ascending order as in the arrays.
-    order = cells.select(PROBE).distinct()
-    order = numbered(order, [], [PROBE], "_pos").select(PROBE, (F.col("_pos") - 1).cast("int").alias("idx"))
-    means = means.join(sized(order), "idx").drop("idx")
+    means = means.join(sized(array_positions(cells)), "idx").drop("idx")
     fills = probe_fills(train, "mean", value=value)
     return (
         cells.join(means, ["sample_id", PROBE], "left")
@@ -291,10 +296,9 @@ def mice_fill(cells: DataFrame, train: DataFrame, rounds: int = 5, nearest: int
     filled = model.transform(wide(kept).withColumn("raw", F.col("features")))
     pairs = F.posexplode(F.arrays_zip("raw", "features")).alias("idx", "z")
     gap = F.col("z.raw").isNull() | F.isnan("z.raw")
-    order = numbered(known, [], [PROBE], "_pos").select(PROBE, (F.col("_pos") - 1).cast("int").alias("idx"))
     return (
         filled.select("sample_id", pairs)
         .select("sample_id", "idx", F.col("z.features").alias(value), gap.alias("imputed"))
-        .join(sized(order), "idx")
+        .join(sized(array_positions(kept)), "idx")
         .drop("idx")
     )

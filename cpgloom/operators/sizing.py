@@ -20,7 +20,7 @@ def _field_bytes(field: T.StructField) -> Column:
     return F.lit(16)
 
 
-def sized(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+def sized(df: DataFrame, limit: int | None = None) -> DataFrame:
     """``df`` ready to be the smaller side of a join: stored, measured, broadcast if it fits.
 
     The dimension is computed once into the shared folder and its in-memory size is summed in
@@ -28,6 +28,7 @@ def sized(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
     is, so Spark shuffles both sides and adaptive execution splits skewed keys.  The size changes
     the plan, never the result.
     """
+    limit = BROADCAST_BYTES if limit is None else limit
     spark = df.sparkSession
     path = scratch_path(spark, "dim")
     seen = Observation()

@@ -8,6 +8,7 @@ from cpgloom.functions.scalars import bin_by, m_value, sex_label
 from cpgloom.operators import probe_stats as ps
 from cpgloom.operators import selection as sel
 from cpgloom.operators import splits
+from cpgloom.operators.design import with_samples
 from cpgloom.plans import views as v
 from cpgloom.plans.registry import query, r, rd, rounded
 
@@ -31,7 +32,7 @@ def split_samples(spark, d):
 
 def train_cells(spark, d):
     train = split_samples(spark, d).where("split = 'train'").select("sample_id", "age")
-    return v.beta(spark, d).select("sample_id", "probe_ord", "beta").join(train, "sample_id")
+    return with_samples(v.beta(spark, d).select("sample_id", "probe_ord", "beta"), train)
 
 
 @query(

@@ -14,6 +14,7 @@ from cpgloom.operators import linear as ln
 from cpgloom.operators import metrics as m
 from cpgloom.operators import selection as sel
 from cpgloom.operators import strata as st
+from cpgloom.operators.design import feature_arrays, with_samples
 from cpgloom.operators.impute import impute
 from cpgloom.operators.ordering import running
 from cpgloom.operators.splits import kfold
@@ -30,13 +31,13 @@ FOLD_SQL = """k5 AS (SELECT sample_id, age, (row_number() OVER (ORDER BY md5(sam
 def folded_cells(spark, d, folds: int = 5):
     """Cells of samples with known age and their fold."""
     ids = v.annot(spark, d).where("age is not null").select("sample_id", "age")
-    return v.beta(spark, d).select("sample_id", "probe_ord", "beta").join(kfold(ids, folds), "sample_id")
+    return with_samples(v.beta(spark, d).select("sample_id", "probe_ord", "beta"), kfold(ids, folds))
 
 
 def split_design(spark, d, k: int = K, method: str = "mean"):
     """One prepared row per sample with its split: (sample_id, label, split, features VECTOR)."""
     parts = materialize(split_samples(spark, d), "parts")
-    cells = v.beta(spark, d).select("sample_id", "probe_ord", "beta").join(parts, "sample_id")
+    cells = with_samples(v.beta(spark, d).select("sample_id", "probe_ord", "beta"), parts)
     train = cells.where("split = 'train'")
     chosen = materialize(sel.top_correlated(train, k), "chosen")
     wide = fw.train_design(cells.select("sample_id", "probe_ord", "beta"), train.select("sample_id", "probe_ord", "beta"), chosen, method)
@@ -337,7 +338,7 @@ def _(spark, d):
 @query("m23_feature_blocks")
 def _(spark, d):
     parts = materialize(split_samples(spark, d), "parts")
-    cells = v.beta(spark, d).select("sample_id", "probe_ord", "beta").join(parts, "sample_id")
+    cells = with_samples(v.beta(spark, d).select("sample_id", "probe_ord", "beta"), parts)
     train = cells.where("split = 'train'")
     chosen = materialize(sel.top_correlated(train, 16), "chosen")
     b, t = cells.select("sample_id", "probe_ord", "beta"), train.select("sample_id", "probe_ord", "beta")
@@ -428,8 +429,6 @@ def _(spark, d):
         ages = cells.select("sample_id", "fold", "age").distinct()
         for method in ["zero", "mean", "median", "knn", "mice"]:
             filled = impute(sub.select("sample_id", "probe_ord", "beta"), base.select("sample_id", "probe_ord", "beta"), method)
-            from cpgloom.operators.design import feature_arrays
-
             rows = materialize(feature_arrays(filled.join(pick, "probe_ord")).join(ages, "sample_id").withColumnRenamed("age", "label"), "imputed")
             fit = ln.FoldSums(rows).fit(0.001, 0.5, without=f)
             e = F.abs(fit.column("features") - F.col("label"))

@@ -35,36 +35,44 @@ def _first_position(header: Column, names: list[str]) -> Column:
     return F.coalesce(*[F.nullif(F.array_position(header, n), F.lit(0)) for n in names])
 
 
+def _once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Add a costly column that later filters cannot be pushed through and evaluated again."""
+    return df.select("*", F.explode(F.array(value)).alias(name))
+
+
 def _decoded(uploads: DataFrame) -> DataFrame:
+    """Uploads with their lines and the places of the id and age columns in the header."""
     body = F.element_at(F.split("contents", ",", 2), -1)
-    text = F.regexp_replace(F.expr("try_to_binary(_body, 'base64')").cast("string"), "\r", "")
-    lines = F.split(F.regexp_replace("_text", "\n+$", ""), "\n")
-    out = uploads.withColumn("_body", body).withColumn("_text", text).withColumn("_lines", lines)
-    out = out.withColumn("_header", _fields(F.element_at("_lines", 1)))
-    return out.withColumns({"_id": _first_position(F.col("_header"), ID_HEADERS), "_age": _first_position(F.col("_header"), AGE_HEADERS)})
+    out = uploads.withColumn("_body", body)
+    text = F.regexp_replace(F.expr("try_to_binary(_body, 'base64')").cast("string"), "\r|\n+$", "")
+    out = _once(out, "_lines", F.split(text, "\n")).drop("_body")
+    out = _once(out, "_header", _fields(F.element_at("_lines", 1)))
+    header = F.col("_header")
+    return out.withColumns({"_id": _first_position(header, ID_HEADERS), "_age": _first_position(header, AGE_HEADERS)})
 
 
 def parse_uploads(uploads: DataFrame, key: str = "upload_id") -> DataFrame:
     """Rows ``(key, sample_id, predicted_age)`` of the readable uploads."""
-    ok = _decoded(uploads).where("_id is not null and _age is not null")
-    rows = ok.select(key, "_id", "_age", F.explode(F.slice("_lines", F.lit(2), F.greatest(F.size("_lines") - 1, F.lit(0)))).alias("_line"))
-    f = _fields(F.col("_line"))
+    ok = _decoded(uploads.select(key, "contents")).where("_id is not null and _age is not null")
+    body = F.slice("_lines", F.lit(2), F.greatest(F.size("_lines") - 1, F.lit(0)))
+    rows = ok.select(key, "_id", "_age", F.explode(body).alias("_line"))
+    rows = rows.select(key, "_id", "_age", _fields(F.col("_line")).alias("_f"))
     return rows.select(
         key,
-        F.try_element_at(f, F.col("_id").cast("int")).alias("sample_id"),
-        F.try_element_at(f, F.col("_age").cast("int")).try_cast("double").alias("predicted_age"),
+        F.try_element_at("_f", F.col("_id").cast("int")).alias("sample_id"),
+        F.try_element_at("_f", F.col("_age").cast("int")).try_cast("double").alias("predicted_age"),
     )
 
 
 def rejected_uploads(uploads: DataFrame, key: str = "upload_id") -> DataFrame:
     """Uploads that cannot be scored, with the reason."""
     reason = (
-        F.when(F.col("_text").isNull(), "unreadable")
+        F.when(F.col("_lines").isNull(), "unreadable")
         .when(F.col("_id").isNull() & F.col("_age").isNull(), "no id and no age column")
         .when(F.col("_id").isNull(), "no id column")
         .when(F.col("_age").isNull(), "no age column")
     )
-    return _decoded(uploads).withColumn("reason", reason).where("reason is not null").select(key, "reason")
+    return _decoded(uploads.select(key, "contents")).withColumn("reason", reason).where("reason is not null").select(key, "reason")
 
 
 def match_to_truth(parsed: DataFrame, truth: DataFrame) -> DataFrame:
