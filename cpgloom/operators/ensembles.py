@@ -306,9 +306,9 @@ class SplineRidge(Estimator):
 
     def _fit(self, df: DataFrame) -> SplineModel:
         probs = [(i + 1) / (self.knots + 1) for i in range(self.knots)]
-        long = df.select("sample_id", F.posexplode(vector_to_array("features")).alias("i", "x"))
+        long = df.select(F.posexplode(vector_to_array("features")).alias("i", "x"))
         names = [f"k{j}" for j in range(self.knots)]
-        edges = exact_quantiles(long, ["i"], "x", probs, names, ["sample_id"]).orderBy("i")
+        edges = exact_quantiles(long, ["i"], "x", probs, names).orderBy("i")
         at = [[float(r[n]) for n in names] for r in edges.collect()]  # one row per feature
         return SplineModel(at, Penalised(self.alpha).fit(_spline_columns(df, at)))
 

@@ -34,7 +34,7 @@ def probe_fills(train: DataFrame, method: str, empty: float | None = None, value
         fills = train.groupBy(PROBE).agg(F.avg(value).alias("fill"))
     elif method == "median":
         every = train.select(PROBE).distinct()
-        fills = every.join(exact_quantiles(train, [PROBE], value, [0.5], ["fill"], ["sample_id"]), PROBE, "left")
+        fills = every.join(exact_quantiles(train, [PROBE], value, [0.5], ["fill"]), PROBE, "left")
     else:
         raise ValueError(f"no per-probe fill called {method!r}")
     return fills if empty is None else fills.withColumn("fill", F.coalesce("fill", F.lit(float(empty))))

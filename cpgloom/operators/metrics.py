@@ -36,7 +36,7 @@ def pearson_of(a: str = "y_true", b: str = "y_pred") -> Column:
     return F.coalesce(F.try_divide(F.covar_pop(a, b), den), F.lit(0.0))
 
 
-def error_metrics(preds: DataFrame, group: Sequence[str] = ("model",), tie: Sequence[str] = ("sample_id",)) -> DataFrame:
+def error_metrics(preds: DataFrame, group: Sequence[str] = ("model",)) -> DataFrame:
     """n, MAE, median absolute error, RMSE, R2, Pearson and bias per group."""
     group = list(group)
     base = preds.groupBy(*group).agg(
@@ -47,7 +47,7 @@ def error_metrics(preds: DataFrame, group: Sequence[str] = ("model",), tie: Sequ
         pearson_of().alias("correlation"),
         F.avg(err()).alias("bias"),
     )
-    med = exact_quantiles(preds.select(*group, *tie, abs_err().alias("_ae")), group, "_ae", [0.5], ["mad"], tie)
+    med = exact_quantiles(preds.select(*group, abs_err().alias("_ae")), group, "_ae", [0.5], ["mad"])
     return base.join(med, group)
 
 
@@ -115,7 +115,7 @@ def extended_stats(preds: DataFrame) -> DataFrame:
         F.max("y_true").alias("age_max"),
     )
     q = exact_quantiles(
-        preds.select("model", "sample_id", abs_err().alias("_ae")), ["model"], "_ae", [0.25, 0.75], ["q1", "q3"], ["sample_id"]
+        preds.select("model", abs_err().alias("_ae")), ["model"], "_ae", [0.25, 0.75], ["q1", "q3"]
     )
     return base.join(q.select("model", (F.col("q3") - F.col("q1")).alias("iqr")), "model")
 
@@ -132,7 +132,7 @@ def calibration_curve(preds: DataFrame, bins: int = 10) -> DataFrame:
     """Mean truth, mean prediction and error spread per quantile bin of the truth."""
     probs = [i / bins for i in range(1, bins)]
     names = [f"_e{i}" for i in range(1, bins)]
-    edges = exact_quantiles(preds, ["model"], "y_true", probs, names, ["sample_id"])
+    edges = exact_quantiles(preds, ["model"], "y_true", probs, names)
     edges = edges.select("model", F.array(*names).alias("_edges"))
     binned = preds.join(sized(edges), "model").withColumn(
         "bin", F.size(F.filter("_edges", lambda e: e <= F.col("y_true"))).cast("long")

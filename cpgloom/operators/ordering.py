@@ -57,47 +57,86 @@ def _null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str
     return left.join(right, cond, how).drop(*[f"_r_{k}" for k in keys])
 
 
+# Rank error of the first estimate is 1 / SKETCH of a group; smaller groups are resolved fully.
+SKETCH = 1000
+
+
 def exact_quantiles(
-    df: DataFrame,
-    group: Sequence[str],
-    value: str,
-    probs: Sequence[float],
-    names: Sequence[str],
-    tie: Sequence[str] = (),
-    count: str | None = None,
+    df: DataFrame, group: Sequence[str], value: str, probs: Sequence[float], names: Sequence[str], count: str | None = None
 ) -> DataFrame:
-    """Linear-interpolated quantiles per group, picked by position from a distributed sort.
+    """Linear-interpolated quantiles per group without sorting the data.
+
+    A mergeable sketch brackets every wanted position.  One aggregation then keeps the values
+    inside the brackets with their counts and folds each stretch between brackets into a single
+    counted row, so hot values and the bulk of the rows collapse map-side.  Positions are read off
+    the running count of what remains.  Should a position fall outside its bracket, the same steps
+    run again with brackets over the whole range.
 
-    ``percentile`` keeps every distinct value of a group in one buffer; this keeps none.
     Nulls are ignored.  Groups without values are absent from the result.
     """
-    group = list(group)
-    rows = numbered(
-        df.where(F.col(value).isNotNull()).select(*group, *tie, F.col(value).alias("_v")),
-        group,
-        ["_v", *tie],
-        "_rn",
-        "_n",
+    keys = list(group) or ["_all"]
+    rows = df.where(F.col(value).isNotNull())
+    rows = rows.select(*[F.col(g) for g in group], *([] if group else [F.lit(0).alias("_all")]), F.col(value).cast("double").alias("_v"))
+    for narrow in (True, False):
+        found = materialize(_positions(rows, keys, [float(p) for p in probs], narrow), "quantiles")
+        if not narrow or found.where("_missed").isEmpty():
+            break
+    cols = [F.col(f"_q{i}").alias(name) for i, name in enumerate(names)]
+    return found.select(*group, *cols, *([F.col("_n").alias(count)] if count else []))
+
+
+def _brackets(rows: DataFrame, keys: list[str], probs: list[float], narrow: bool) -> DataFrame:
+    """Per group: size and, for each probability, a range of values that holds its position."""
+    ends = [min(1.0, max(0.0, p + side * 2.0 / SKETCH)) for side in (-1, 1) for p in probs]
+    aggs = [F.count("*").alias("_n"), F.min("_v").alias("_min"), F.max("_v").alias("_max")]
+    if narrow:
+        aggs.append(F.percentile_approx("_v", F.array(*[F.lit(e) for e in ends]), SKETCH).alias("_e"))
+    out = rows.groupBy(*keys).agg(*aggs)
+    small = F.col("_n") < 10 * SKETCH
+
+    def edge(name: str, first: int):
+        full = F.array_repeat(F.col(name), len(probs))
+        return F.when(small, full).otherwise(F.slice("_e", first, len(probs))) if narrow else full
+
+    return out.select(*keys, "_n", edge("_min", 1).alias("_lo"), edge("_max", len(probs) + 1).alias("_hi"))
+
+
+def _positions(rows: DataFrame, keys: list[str], probs: list[float], narrow: bool) -> DataFrame:
+    v = F.col("_v")
+    ranged = _null_safe_join(rows, sized(_brackets(rows, keys, probs, narrow)), keys)
+    inside = F.exists(F.arrays_zip("_lo", "_hi"), lambda b: (v >= b["_lo"]) & (v <= b["_hi"]))
+    marked = ranged.select(*keys, "_n", "_v", inside.alias("_in"), F.size(F.filter("_lo", lambda x: x <= v)).alias("_zone"))
+    # Values inside brackets keep themselves as key, the others only the gap they lie in.
+    counted = (
+        marked.groupBy(*keys, "_n", "_in", F.when(F.col("_in"), v).alias("_key"), F.when(~F.col("_in"), F.col("_zone")).alias("_gap"))
+        .agg(F.count("*").alias("_c"), F.min("_v").alias("_v"))
+        .drop("_key", "_gap")
     )
-    pos = F.col("_rn") - 1
-    spot = [(F.col("_n") - 1) * F.lit(float(p)) for p in probs]
-    wanted = F.lit(False)
-    for h in spot:
-        wanted = wanted | (pos == F.floor(h)) | (pos == F.ceil(h))
-    picked = rows.where(wanted)
+    order = [*keys, "_v"]
+    laid = materialize(
+        counted.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_slot", F.monotonically_increasing_id()), "squeezed"
+    ).withColumn("_part", F.shiftright("_slot", 33))
+    over_group = Window.partitionBy(*keys).orderBy("_part")
+    runs = laid.groupBy("_part", *keys).agg(F.sum("_c").alias("_rows"))
+    runs = runs.select("_part", *keys, (F.sum("_rows").over(over_group) - F.col("_rows")).alias("_before"))
+    local = F.sum("_c").over(Window.partitionBy(*keys, "_part").orderBy("_slot"))
+    placed = _null_safe_join(laid.withColumn("_local", local), sized(runs), ["_part", *keys])
+    end = F.col("_before") + F.col("_local")
+    start = end - F.col("_c")
     aggs = [F.max("_n").alias("_n")]
-    for i, h in enumerate(spot):
-        aggs.append(F.max(F.when(pos == F.floor(h), F.col("_v"))).alias(f"_lo{i}"))
-        aggs.append(F.max(F.when(pos == F.ceil(h), F.col("_v"))).alias(f"_hi{i}"))
-    small = picked.groupBy(*group).agg(*aggs)
-    cols = []
-    for i, (p, name) in enumerate(zip(probs, names)):
-        h = (F.col("_n") - 1) * F.lit(float(p))
+    for i, p in enumerate(probs):
+        h = (F.col("_n") - 1) * F.lit(p)
+        for tag, at in (("lo", F.floor(h)), ("hi", F.ceil(h))):
+            hit = F.col("_in") & (start <= at) & (at < end)
+            aggs.append(F.max(F.when(hit, v)).alias(f"_{tag}{i}"))
+    out = placed.groupBy(*keys).agg(*aggs)
+    cols, missed = [], F.lit(False)
+    for i, p in enumerate(probs):
+        h = (F.col("_n") - 1) * F.lit(p)
         lo, hi = F.col(f"_lo{i}"), F.col(f"_hi{i}")
-        cols.append((lo + (hi - lo) * (h - F.floor(h))).alias(name))
-    if count:
-        cols.append(F.col("_n").alias(count))
-    return small.select(*group, *cols)
+        cols.append((lo + (hi - lo) * (h - F.floor(h))).alias(f"_q{i}"))
+        missed = missed | lo.isNull() | hi.isNull()
+    return out.select(*keys, "_n", *cols, missed.alias("_missed"))
 
 
 def framed(

@@ -20,7 +20,7 @@ def frequency(df: DataFrame, col: str) -> DataFrame:
     return counts.withColumn("pct", F.col("n") * 100.0 / total)
 
 
-def describe(df: DataFrame, value: str, group: Sequence[str] = (), tie: Sequence[str] = ()) -> DataFrame:
+def describe(df: DataFrame, value: str, group: Sequence[str] = ()) -> DataFrame:
     """Count, mean, sample sd, minimum, exact quartiles and maximum."""
     group = list(group)
     base = df.groupBy(*group).agg(
@@ -30,7 +30,7 @@ def describe(df: DataFrame, value: str, group: Sequence[str] = (), tie: Sequence
         F.min(value).alias("min"),
         F.max(value).alias("max"),
     )
-    q = exact_quantiles(df, group, value, [0.25, 0.5, 0.75], ["q25", "q50", "q75"], tie)
+    q = exact_quantiles(df, group, value, [0.25, 0.5, 0.75], ["q25", "q50", "q75"])
     if group:
         return base.join(q, group, "left")
     return base.withColumns({c: q.select(c).scalar() for c in ("q25", "q50", "q75")})
@@ -138,10 +138,10 @@ def density_grid(df: DataFrame, x: str, y: str, bins: int, group: str = "model")
     return ranged.groupBy(group, slot(x).alias("x_bin"), slot(y).alias("y_bin")).agg(F.count("*").alias("n"))
 
 
-def box_stats(df: DataFrame, value: str, group: Sequence[str], tie: Sequence[str]) -> DataFrame:
+def box_stats(df: DataFrame, value: str, group: Sequence[str]) -> DataFrame:
     """Quartiles, whiskers at 1.5 IQR and the number of outliers per group."""
     group = list(group)
-    q = exact_quantiles(df, group, value, [0.25, 0.5, 0.75], ["q1", "median", "q3"], tie)
+    q = exact_quantiles(df, group, value, [0.25, 0.5, 0.75], ["q1", "median", "q3"])
     x, reach = F.col(value), 1.5 * (F.col("q3") - F.col("q1"))
     inside = x.between(F.col("q1") - reach, F.col("q3") + reach)
     return (
@@ -157,8 +157,8 @@ def box_stats(df: DataFrame, value: str, group: Sequence[str], tie: Sequence[str
 
 
 def models_by_median_error(preds: DataFrame) -> DataFrame:
-    slim = preds.select("model", "sample_id", abs_err().alias("_ae"))
-    return exact_quantiles(slim, ["model"], "_ae", [0.5], ["median_abs_error"], ["sample_id"]).orderBy(
+    slim = preds.select("model", abs_err().alias("_ae"))
+    return exact_quantiles(slim, ["model"], "_ae", [0.5], ["median_abs_error"]).orderBy(
         "median_abs_error", "model"
     )
 
@@ -290,10 +290,10 @@ def signed_outliers(preds: DataFrame) -> DataFrame:
     )
 
 
-def percentile_cut(df: DataFrame, value: str, p: float, tie: Sequence[str]) -> DataFrame:
+def percentile_cut(df: DataFrame, value: str, p: float) -> DataFrame:
     """Rows whose absolute value lies above the p-quantile of the absolute values."""
     sized_up = df.withColumn("_abs", F.abs(value))
-    cut = exact_quantiles(sized_up, [], "_abs", [p], ["cut"], tie)
+    cut = exact_quantiles(sized_up, [], "_abs", [p], ["cut"])
     return sized_up.where(F.col("_abs") > cut.select("cut").scalar()).drop("_abs")
 
 

@@ -154,7 +154,7 @@ SELECT probe_ord, {r('s.r')} AS r FROM s WHERE abs(s.r) > (SELECT quantile_cont(
 def _(spark, d):
     from cpgloom.operators.probe_stats import probe_correlation
 
-    return rounded(st.percentile_cut(probe_correlation(train_cells(spark, d)), "r", 0.8, ["probe_ord"]))
+    return rounded(st.percentile_cut(probe_correlation(train_cells(spark, d)), "r", 0.8))
 
 
 @query("b18_known_category", "SELECT sample_id, female FROM annot WHERE female IS NOT NULL", "annot")
@@ -386,7 +386,7 @@ def _(spark, d):
     "annot",
 )
 def _(spark, d):
-    return rounded(st.describe(v.annot(spark, d), "age", tie=["sample_id"]))
+    return rounded(st.describe(v.annot(spark, d), "age"))
 
 
 @query(
@@ -538,7 +538,7 @@ FROM s JOIN q ON s.model = q.model AND s.female = q.female GROUP BY s.model, s.f
     "pred_long",
 )
 def _(spark, d):
-    return rounded(st.box_stats(v.preds(spark, d).withColumn("e", m.err()), "e", ["model", "female"], ["sample_id"]))
+    return rounded(st.box_stats(v.preds(spark, d).withColumn("e", m.err()), "e", ["model", "female"]))
 
 
 @query(

@@ -39,13 +39,43 @@ def test_row_numbers_without_groups_and_null_groups(spark):
 
 def test_quantiles_match_numpy(skewed):
     pdf, df = skewed
-    got = o.exact_quantiles(df, ["g"], "v", [0.0, 0.1, 0.5, 0.975, 1.0], list("abcde"), ["sample_id"], "n").toPandas()
+    got = o.exact_quantiles(df, ["g"], "v", [0.0, 0.1, 0.5, 0.975, 1.0], list("abcde"), "n").toPandas()
     for _, r in got.iterrows():
         want = np.quantile(pdf.loc[pdf.g == r["g"], "v"], [0.0, 0.1, 0.5, 0.975, 1.0])
         assert np.allclose([r[c] for c in "abcde"], want)
     assert int(got["n"].sum()) == len(pdf)
 
 
+@pytest.mark.parametrize("sketch", [20, 50])
+def test_bracketed_quantiles_match_numpy(spark, skewed, monkeypatch, sketch):
+    """A coarse sketch narrows the groups here as the real one does for large groups."""
+    pdf, df = skewed
+    monkeypatch.setattr(o, "SKETCH", sketch)
+    probs = [0.0, 0.05, 0.25, 0.5, 0.75, 0.9, 1.0]
+    seen = []
+    place = o._positions
+    monkeypatch.setattr(o, "_positions", lambda *a: seen.append(a[3]) or place(*a))
+    for value in ("v", "w"):
+        mixed = df.withColumn("w", F.col("v") + F.rand(1).cast("float") * 0)
+        got = o.exact_quantiles(mixed, ["g"], value, probs, [f"q{i}" for i in range(7)]).toPandas()
+        for _, r in got.iterrows():
+            want = np.quantile(pdf.loc[pdf.g == r["g"], "v"], probs)
+            assert np.allclose([r[f"q{i}"] for i in range(7)], want)
+    assert True in seen
+
+
+def test_missed_brackets_fall_back_to_the_whole_range(skewed, monkeypatch):
+    pdf, df = skewed
+    bad = lambda rows, keys, probs, narrow: rows.groupBy(*keys).agg(
+        F.count("*").alias("_n"),
+        F.array(F.lit(-99.0) if narrow else F.min("_v")).alias("_lo"),
+        F.array(F.lit(-98.0) if narrow else F.max("_v")).alias("_hi"),
+    )
+    monkeypatch.setattr(o, "_brackets", bad)
+    got = {r["g"]: r["m"] for r in o.exact_quantiles(df, ["g"], "v", [0.5], ["m"]).collect()}
+    assert got == pytest.approx(pdf.groupby("g")["v"].median().to_dict())
+
+
 @pytest.mark.parametrize("block", [10, 97, 100_000])
 def test_frames_and_running_values_cross_blocks(skewed, block):
     pdf, df = skewed

@@ -36,7 +36,7 @@ OPERATORS = {
     "bands": m.rolling_bands,
     "durbin": m.durbin_watson,
     "kde": lambda p: st.kde(p.withColumn("e", m.err()), "e", "model", 20),
-    "boxes": lambda p: st.box_stats(p.withColumn("e", m.err()), "e", ["model"], ["sample_id"]),
+    "boxes": lambda p: st.box_stats(p.withColumn("e", m.err()), "e", ["model"]),
     "ensemble": st.inverse_error_ensemble,
 }
 
