@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cpgloom.llm import decontaminate, line_dedup, quality
+from cpgloom.llm import decontaminate, line_dedup, ngram_join, quality, sentencepiece_fst
 from cpgloom.llm.common import sha256_list
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -94,3 +94,33 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
         sha256_list(F.col("items")).alias("items_sha256"),
         (F.col("n_hit") > 0).alias("contaminated"),
     )
+
+
+@query(
+    "op2_ngram_jaccard_join",
+    r"""
+    WITH RECURSIVE doc AS (
+      SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+    sh AS (SELECT DISTINCT doc_id, w[i : i + 3] AS s FROM (SELECT *, unnest(range(1, greatest(len(w) - 3, 1) + 1)) AS i FROM doc WHERE len(w) > 0)),
+    n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY 1),
+    both_have AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k FROM sh x JOIN sh y ON x.s = y.s AND x.doc_id < y.doc_id GROUP BY ALL),
+    link AS (SELECT a, b FROM both_have JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b WHERE 100 * k >= 85 * (p.n + q.n - k)),
+    edge AS (SELECT a, b FROM link UNION SELECT b, a FROM link),
+    reach AS (SELECT doc_id AS a, doc_id AS b FROM doc UNION SELECT r.a, e.b FROM reach r JOIN edge e ON r.b = e.a)
+    SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, c AS component_id
+    FROM doc d LEFT JOIN n USING (doc_id) JOIN (SELECT a AS doc_id, min(b) AS c FROM reach GROUP BY 1) USING (doc_id)""",
+)
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.groups(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
+@query("op4_sentencepiece")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    both = sentencepiece_fst.decode(sentencepiece_fst.encode(docs))
+    return both.select(
+        "doc_id",
+        F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_tokens"),
+        sentencepiece_fst.ids_sha256().alias("ids_sha256"),
+        F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"),
+    )
