@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cpgloom.llm import decontaminate, line_dedup, quality
+from cpgloom.llm import decontaminate, line_dedup, ngram_join, quality, sentencepiece_fst
 from cpgloom.session import materialize
 
 
@@ -21,15 +21,27 @@ def single_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return kept.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
 
 
+def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document of each group of near copies: five-word shingles, a similarity of 0.8 or more."""
+    return ngram_join.drop_near_copies(docs, width=5, percent=80)
+
+
 def clean_of_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that hold a window of a benchmark item."""
     return decontaminate.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Adds the SentencePiece ids of the text and their number."""
+    return sentencepiece_fst.encode(docs).withColumn("n_tokens", F.coalesce(F.size("ids"), F.lit(0)))
+
+
 STAGES = [
     ("quality_classifier", good_documents),
     ("line_dedup", single_lines),
+    ("ngram_jaccard_join", one_of_each_group),
     ("benchmark_decontamination", clean_of_benchmark),
+    ("sentencepiece", tokens),
 ]
 
 
