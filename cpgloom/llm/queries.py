@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cpgloom.llm import decontaminate, line_dedup, ngram_join, quality, sentencepiece_fst
+from cpgloom.llm import decontaminate, line_dedup, ngram_join, quality, sentencepiece_fst, suffix_dedup
 from cpgloom.llm.common import sha256_list
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -124,3 +124,15 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
         sentencepiece_fst.ids_sha256().alias("ids_sha256"),
         F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"),
     )
+
+
+@query("op9_suffix_array_dedup")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffix_dedup.drop_repeats(table(spark, sf_dir, "documents"))
+    return out.select(
+        "doc_id",
+        "n_bytes",
+        "n_removed",
+        F.size("removed").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
