@@ -20,11 +20,12 @@ from __future__ import annotations
 
 import re
 import struct
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -33,7 +34,7 @@ from cpgloom.llm.common import slices, texts
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 # Words remembered in a task.
-CACHE = 400_000
+CACHE = 600_000
 
 _SPACE = "▁"
 _NORMAL, _CONTROL, _BYTE, _BPE = 1, 3, 6, 2
@@ -204,8 +205,8 @@ class Machine:
             at, a, b, limit = at[go], a[go], b[go], limit[go]
         return out
 
-    def encode_words(self, words: list[str]) -> list[np.ndarray]:
-        """Shortest path of each word (blanks already U+2581), as ids."""
+    def encode_words(self, words: list[str]) -> list[bytes]:
+        """Shortest path of each word (blanks already U+2581), as packed 32-bit ids."""
         points = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)
         sizes = np.fromiter(map(len, words), np.int64, len(words))
         first = np.cumsum(sizes) - sizes
@@ -246,31 +247,39 @@ class Machine:
             here[todo] -= back[here[todo]]
             todo = todo[last[here[todo]] != _START]
         if not steps:
-            return [np.zeros(0, np.int32)] * len(words)
+            return [b""] * len(words)
         who, where, what = (np.concatenate(x) for x in zip(*steps, strict=True))
         order = np.argsort(where, kind="stable")
         who, where, what = who[order], where[order], what[order]
-        out = np.split(what, np.cumsum(np.bincount(who, minlength=len(words)))[:-1])
-        for i in np.unique(who[what == self.unknown]):
-            out[i] = self._with_bytes(words[i], out[i])
+        packed = what.astype(np.int32).tobytes()
+        ends = (np.cumsum(np.bincount(who, minlength=len(words))) * 4).tolist()
+        out = [packed[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+        for i in np.unique(who[what == self.unknown]).tolist():
+            out[i] = self._with_bytes(words[i], np.frombuffer(out[i], np.int32).tolist())
         return out
 
-    def _with_bytes(self, word: str, ids: np.ndarray) -> np.ndarray:
+    def _with_bytes(self, word: str, ids: list[int]) -> bytes:
         done, place = [], 0
-        for i in ids.tolist():
+        for i in ids:
             if i == self.unknown:
                 done += self.byte_ids[list(word[place].encode())].tolist()
                 place += 1
             else:
                 done.append(i)
                 place += len(self.raw[i].decode())
-        return np.array(done)
+        return np.array(done, np.int32).tobytes()
 
-    def decode(self, ids: Iterable[int]) -> str:
-        raw = b"".join(map(self.raw.__getitem__, ids))
-        if self.dummy_prefix and raw[:1] == b" ":
-            raw = raw[1:]
-        return raw.decode(errors="replace")
+    def decode(self, ids: np.ndarray, ends: np.ndarray) -> list[str]:
+        """Texts of the rows of ids that end at ``ends``."""
+        sizes = np.fromiter(map(len, self.raw), np.int64, len(self.raw))
+        begin = np.cumsum(sizes) - sizes
+        size = sizes[ids]
+        upto = np.cumsum(size)
+        at = np.arange(upto[-1] if len(upto) else 0) + np.repeat(begin[ids] - (upto - size), size)
+        raw = np.frombuffer(b"".join(self.raw), np.uint8)[at].tobytes()
+        cuts = np.concatenate([[0], upto])[ends].tolist()
+        rows = [raw[a:b] for a, b in zip([0, *cuts], cuts, strict=False)]
+        return [(r[1:] if self.dummy_prefix and r[:1] == b" " else r).decode(errors="replace") for r in rows]
 
 
 def _last_merge(piece: str, rank: dict[str, int]) -> tuple[str, str] | None:
@@ -308,15 +317,17 @@ class Encoder:
     def encode(self, rows: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and the offsets of the rows."""
         cut = [self._words(t) if t else [] for t in rows]
-        new = list({w for lines in cut for line in lines for w in line if w not in self.known})
-        if len(self.known) + len(new) > CACHE:
-            self.known, new = {}, list({w for lines in cut for line in lines for w in line})
+        seen: set[bytes] = set()
+        for lines in cut:
+            seen.update(*lines)
+        if len(self.known) + len(seen) > CACHE:
+            self.known = {}
         # Short words together, so that one long word does not hold up the others.
-        new.sort(key=len)
+        new = sorted(seen.difference(self.known), key=len)
         for i in range(0, len(new), 20_000):
             some = new[i : i + 20_000]
-            ids = self.machine.encode_words([w.decode().replace(" ", _SPACE) for w in some])
-            self.known.update(zip(some, (x.astype(np.int32).tobytes() for x in ids), strict=True))
+            words = b"\n".join(some).decode().replace(" ", _SPACE).split("\n")
+            self.known.update(zip(some, self.machine.encode_words(words), strict=True))
         get = self.known.__getitem__
         packed = [self.line_feed.join([b"".join(map(get, line)) for line in lines]) for lines in cut]
         ends = np.cumsum([0, *(len(p) // 4 for p in packed)])
@@ -332,7 +343,7 @@ def encode(docs: DataFrame, model: str = MODEL, text: str = "text", ids: str = "
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(machine)
-        for batch in slices(batches, text):
+        for batch in slices(batches, text, 2 << 20):
             values, ends = encoder.encode(texts(batch.column(text)))
             nulls = batch.column(text).is_null()
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values, pa.int32()), mask=nulls)
@@ -350,10 +361,18 @@ def decode(rows: DataFrame, model: str = MODEL, ids: str = "ids", text: str = "d
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(0, batch.num_rows, 200):  # few rows at a time, for texts may be long
-                part = batch.slice(i, 200)
-                back = [None if x is None else machine.decode(x) for x in part.column(ids).to_pylist()]
-                yield pa.record_batch([*(part.column(c) for c in kept), pa.array(back, pa.string())], [*kept, text])
+            lists = batch.column(ids)
+            ends = np.cumsum(lists.value_lengths().fill_null(0).to_numpy())
+            start = 0
+            while start < batch.num_rows:  # some million ids at a time
+                before = int(ends[start - 1]) if start else 0
+                stop = max(start + 1, int(np.searchsorted(ends, before + (1 << 20), "right")))
+                part = batch.slice(start, stop - start)
+                values = part.column(ids).flatten().to_numpy(zero_copy_only=False)
+                back = pa.array(machine.decode(values, ends[start:stop] - before), pa.string())
+                back = pc.if_else(part.column(ids).is_null(), pa.scalar(None, pa.string()), back)
+                yield pa.record_batch([*(part.column(c) for c in kept), back], [*kept, text])
+                start = stop
 
     return base.mapInArrow(work, schema)
 
