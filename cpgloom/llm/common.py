@@ -48,19 +48,12 @@ def texts(column: pa.Array) -> list[bytes]:
     return column.fill_null("").cast(pa.binary() if pa.types.is_string(column.type) else pa.large_binary()).to_pylist()
 
 
-class WordHash(dict):
-    """64-bit hashes of words, remembered up to a bound."""
-
-    LIMIT = 1 << 20
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.LIMIT:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+# Odd multipliers for the places of a window.
+_PLACES = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93]
+_LOWER = np.frombuffer(LOWER, np.uint8)
+_BLANK = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+# The low n bytes of a 64-bit word.
+_MASKS = np.array([(1 << (8 * n)) - 1 for n in range(9)], np.uint64)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -70,12 +63,40 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+def word_hashes(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hash of every word (what stands between ASCII white space, A-Z lower-cased) of the texts
+    between ``bounds``, in order, and the number of words of each text."""
+    data = _LOWER[data]
+    blank = _BLANK[data]
+    before = np.concatenate([[True], blank[:-1]])[: len(data)]
+    full = np.flatnonzero(np.diff(bounds) > 0)
+    before[bounds[:-1][full]] = True
+    start = np.flatnonzero(~blank & before)
+    after = np.concatenate([blank[1:], [True]])[: len(data)]
+    after[bounds[1:][full] - 1] = True
+    size = np.flatnonzero(~blank & after) + 1 - start
+    grams = np.ndarray((len(data) + 1,), "<u8", np.concatenate([data, np.zeros(8, np.uint8)]).data, strides=(1,))
+    out = mix((grams[start] & _MASKS[np.minimum(size, 8)]) + size.astype(np.uint64) * np.uint64(_PLACES[0]))
+    left, done = np.flatnonzero((size > 8) & (size <= 256)), 8
+    while len(left):
+        piece = grams[start[left] + done] & _MASKS[np.minimum(size[left] - done, 8)]
+        out[left] = mix(out[left] * np.uint64(_PLACES[1]) + piece)
+        done += 8
+        left = left[size[left] > done]
+    for i in np.flatnonzero(size > 256):
+        out[i] = xxhash.xxh3_64_intdigest(data[start[i] : start[i] + size[i]].tobytes())
+    return out, np.diff(np.searchsorted(start, bounds))
+
+
 def fold(hashes: np.ndarray, width: int) -> np.ndarray:
-    """Order-sensitive hash of every ``width`` consecutive values; needs at least ``width`` of them."""
-    out = np.zeros(len(hashes) - width + 1, np.uint64)
+    """Order-sensitive hash of every ``width`` consecutive word hashes; needs at least ``width`` of them."""
+    n = len(hashes) - width + 1
+    out = np.full(n, width, np.uint64)
     for i in range(width):
-        out = mix(out * np.uint64(0x9E3779B97F4A7C15) + hashes[i : i + len(out)])
-    return out
+        if i % len(_PLACES) == 0 and i:
+            out = mix(out)
+        out += hashes[i : i + n] * np.uint64(_PLACES[i % len(_PLACES)])
+    return mix(out)
 
 
 def text_key(text: str = "text") -> Column:

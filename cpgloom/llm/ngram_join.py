@@ -8,11 +8,13 @@ columns enter the product.  The order puts columns that recur in many texts last
 others first, by hash: passages shared by texts that differ otherwise never meet.  The counts of all
 texts feed the order; whichever columns it holds, the links found are the same.
 
-Columns are blocks by hash (the shuffle).  Within a column rows first meet only its smallest and its largest
-class, so a column of m rows gives at most 2 m pairs.  Overlaps of the pairs that the bounds leave are summed
-over all columns, and those that reach the threshold link.  Classes linked so far are components; in
-columns that still hold several components all pairs across components follow.  Each pair of texts
-that could link has thus been compared, or lies within one component already.
+Columns are blocks by hash (the shuffle).  A column of few classes gives all its pairs, whose overlaps are
+summed over columns; in a column of many classes each first meets only the smallest and the largest one.
+Sets that link share at least so many leading columns as ``_least_shared`` derives from their sizes, and
+pairs that can't reach that are discarded before any whole set is read.  Whole sets decide about the
+rest, and classes linked so far are components; columns of many classes that still hold several
+components then give the pairs across components.  So each pair of texts has been compared, is ruled
+out by a bound, or lies within one component already.
 
 Documents: shingles of ``width`` lower-cased words, or all words as one where there are fewer; without
 words the set is empty and links with nothing.  A null text is an empty one.  Rows that agree in text and
@@ -25,37 +27,42 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cpgloom.llm.common import LOWER, WordHash, fold, mix, slices, texts
+from cpgloom.llm.common import fold, slices, utf8, word_hashes
 from cpgloom.operators.sizing import sized
 from cpgloom.session import materialize
 
 WIDTH, PERCENT = 4, 85
 # The order of columns knows the counts of at most this many n-grams, the most frequent ones: 4 MB.
 KNOWN_COUNTS = 1 << 18
+# Columns of at most this many classes give all their pairs; those of more first meet two classes only.
+FEW = 16
 
 
-def shingles(words: list[bytes], width: int, known: WordHash) -> np.ndarray:
-    """Distinct shingle hashes, sorted."""
-    if not words:
-        return np.zeros(0, np.uint64)
-    h = known.of(words)
-    n = min(width, len(words))
-    # A short text is one shingle that differs from every part of a longer one.
-    return np.unique(fold(h, n) if n == width else mix(fold(h, n) + np.uint64(n)))
+def _digest(s: np.ndarray) -> tuple[int, int]:
+    h = xxhash.xxh3_128_intdigest(s.tobytes())
+    return (h >> 64) - 2**63, (h & (2**64 - 1)) - 2**63
 
 
-def _digest(s: np.ndarray) -> tuple[int, int]:
-    a = int(np.add.reduce(mix(s ^ np.uint64(0x5851F42D4C957F2D)))) & (2**64 - 1)
-    b = int(np.bitwise_xor.reduce(mix(s * np.uint64(3)))) & (2**64 - 1)
-    return a - 2**63, b - 2**63
+def shingle_sets(data: np.ndarray, bounds: np.ndarray, width: int) -> Iterator[np.ndarray]:
+    """Distinct shingle hashes of each text, sorted; fewer words than ``width`` are one shingle."""
+    words, counts = word_hashes(data, bounds)
+    every = fold(words, width) if len(words) >= width else words
+    start = 0
+    for n in counts.tolist():
+        if n >= width:
+            s = np.sort(every[start : start + n - width + 1])
+            yield s[np.concatenate([[True], s[1:] != s[:-1]])]
+        else:
+            yield fold(words[start : start + n], n) if n else words[:0]
+        start += n
 
 
-def _sets(batch: pa.RecordBatch, width: int, known: WordHash) -> Iterator[np.ndarray]:
-    for text in texts(batch.column("t")):
-        yield shingles(text.translate(LOWER).split(), width, known)
+def _sets(batch: pa.RecordBatch, width: int) -> Iterator[np.ndarray]:
+    return shingle_sets(*utf8(batch.column("t")), width)
 
 
 def _signed(h: np.ndarray) -> np.ndarray:
@@ -72,9 +79,8 @@ def frequent(keyed: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
     Every text is counted; a count below two in a task's slice of some megabytes is not sent on."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordHash()
         for batch in slices(batches, "t", 16 << 20):
-            every = list(_sets(batch, width, known))
+            every = list(_sets(batch, width))
             h, n = np.unique(np.concatenate(every), return_counts=True)
             yield pa.record_batch([_signed(h[n > 1]), n[n > 1].astype(np.int64)], ["h", "n"])
 
@@ -105,10 +111,9 @@ def _incidence(keyed: DataFrame, width: int, percent: int) -> DataFrame:
     common, rank = frequent(keyed, width)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordHash()
         for batch in slices(batches, "t"):
             n, a, b, cols = [], [], [], []
-            for s in _sets(batch, width, known):
+            for s in _sets(batch, width):
                 least = -(-percent * len(s) // 100)
                 n.append(len(s))
                 x, y = _digest(s) if len(s) else (0, 0)
@@ -148,11 +153,43 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("u").alias("node"), F.col("v").alias("comp")).unionByName(tops)
 
 
-def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _fits(percent: int) -> Column:
+    """Neither size is smaller than the threshold times the other."""
+    return F.least("nu", "nv") * 100 >= percent * F.greatest("nu", "nv")
+
+
+def _least_shared(percent: int) -> Column:
+    """How many columns sets of sizes nu and nv that link share at least among their leading columns.
+
+    The k-th shared column lies at most k - 1 plus the unshared ones from the start of either set."""
+    need = F.ceil(F.lit(percent) * (F.col("nu") + F.col("nv")) / F.lit(100 + percent) - F.lit(1e-9))
+    room = [F.lit(1) - F.ceil(F.lit(percent) * F.col(n) / F.lit(100) - F.lit(1e-9)) + need for n in ("nu", "nv")]
+    return F.greatest(F.lit(1), F.least(*room))
+
+
+def _product(left: DataFrame, right: DataFrame, percent: int, on: Column) -> DataFrame:
+    """Overlap counts ``shared`` of pairs (u, v) over the columns that both have, within the size bound."""
+    a = left.withColumnsRenamed({"c": "u", "n": "nu", "comp": "compu"})
+    b = right.withColumnsRenamed({"c": "v", "n": "nv", "comp": "compv"})
+    both = a.join(b, "col").where(on & _fits(percent))
+    return both.groupBy("u", "v", "nu", "nv").agg(F.count("*").alias("shared"))
+
+
+def _links(pairs: DataFrame, keyed: DataFrame, members: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs (u, v) of classes whose whole sets reach the threshold."""
+    involved = pairs.select(F.explode(F.array("u", "v")).alias("c")).distinct()
+    wanted = sized(members.select("c", F.col("doc_id").alias("_id"), F.col("key").alias("_key")).join(involved, "c"))
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "t"):
+            sets = pa.array([_signed(s) for s in _sets(batch, width)], pa.list_(pa.int64()))
+            yield pa.record_batch([batch.column("c"), sets], ["c", "s"])
+
+    sets = keyed.join(wanted, keyed["doc_id"].eqNullSafe(wanted["_id"]) & (keyed["key"] == wanted["_key"])).select("c", "t")
+    sets = materialize(sets.mapInArrow(whole, "c long, s array<long>"), "sets").dropDuplicates(["c"])
     left = sets.select(F.col("c").alias("u"), F.col("s").alias("su"))
     right = sets.select(F.col("c").alias("v"), F.col("s").alias("sv"))
-    both = pairs.join(right, "v").join(left, "u")
+    both = pairs.select("u", "v").join(right, "v").join(left, "u")
     shared = F.size(F.array_intersect("su", "sv"))
     return both.where(100 * shared >= percent * (F.size("su") + F.size("sv") - shared)).select("u", "v")
 
@@ -170,43 +207,37 @@ def groups(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, text: st
     # The leading columns of every class; those of a single class link nothing.
     cells = members.select("c", "n", F.explode("cols").alias("col"))
     met = cells.groupBy("col").agg(F.count("*").alias("k"), F.min("c").alias("low"), F.max("c").alias("high")).where("k > 1")
-    cells = materialize(cells.join(met.drop("k"), "col"), "cells")
-    involved = cells.select("c").distinct()
-    wanted = sized(members.select("c", F.col("doc_id").alias("_id"), F.col("key").alias("_key")).join(involved, "c"))
-
-    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordHash()
-        for batch in slices(batches, "t"):
-            yield pa.record_batch(
-                [batch.column("c"), pa.array([_signed(s) for s in _sets(batch, width, known)], pa.list_(pa.int64()))], ["c", "s"]
-            )
-
-    sets = keyed.join(wanted, keyed["doc_id"].eqNullSafe(wanted["_id"]) & (keyed["key"] == wanted["_key"])).select("c", "t")
-    sets = materialize(sets.mapInArrow(whole, "c long, s array<long>").dropDuplicates(["c"]), "sets")
-    size = cells.select("c", "n").distinct()
-    fits = F.least("nu", "nv") * 100 >= percent * F.greatest("nu", "nv")
-
-    def bounded(pairs: DataFrame) -> DataFrame:
-        """Distinct pairs that the size bound leaves."""
-        pairs = pairs.distinct().join(size.select(F.col("c").alias("u"), F.col("n").alias("nu")), "u")
-        return pairs.join(size.select(F.col("c").alias("v"), F.col("n").alias("nv")), "v").where(fits).select("u", "v")
-
-    star = cells.select(F.col("c").alias("v"), F.explode(F.array_distinct(F.array("low", "high"))).alias("u")).where("u != v")
-    star = star.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
-    links = materialize(_links(bounded(star), sets, percent), "links")
-    comp = components(links)
-    # Columns that still hold several components: all pairs across them.
-    cells = cells.join(sized(comp.withColumnRenamed("node", "c")), "c", "left").withColumn("comp", F.coalesce("comp", "c"))
-    mixed = cells.groupBy("col").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("col")
-    left_over = materialize(cells.join(mixed, "col").select("col", "c", "n", "comp"), "mixed")
-    other = left_over.select("col", *(F.col(x).alias(f"{x}2") for x in ("c", "n", "comp")))
-    across = left_over.join(other, "col").where(
-        (F.col("comp") != F.col("comp2"))
-        & (F.col("c") < F.col("c2"))
-        & (F.least("n", "n2") * 100 >= percent * F.greatest("n", "n2"))
+    cells = materialize(cells.join(met.withColumn("hot", F.col("k") > FEW).drop("k"), "col"), "cells")
+    cold = cells.where("not hot").select("col", "c", "n")
+    hot = materialize(cells.where("hot").select("col", "c", "n", "low", "high"), "hot")
+    n_hot = hot.groupBy("c").agg(F.count("*").alias("h"))
+    # The product: overlaps over the columns of few classes, and candidates from the others.
+    met_cold = _product(cold, cold, percent, F.col("u") < F.col("v"))
+    star = hot.select(F.col("c").alias("v"), F.explode(F.array_distinct(F.array("low", "high"))).alias("u"), "n").where("u != v")
+    tops = hot.select(F.col("c").alias("u"), F.col("n").alias("nu")).distinct()
+    star = star.withColumnRenamed("n", "nv").join(tops, "u").where(_fits(percent)).distinct()
+    flip = F.col("u") > F.col("v")
+    star = star.select(
+        *(F.when(flip, F.col(y)).otherwise(F.col(x)).alias(x) for x, y in (("u", "v"), ("v", "u"), ("nu", "nv"), ("nv", "nu"))),
+        F.lit(0).cast("long").alias("shared"),
     )
-    more = _links(across.select(F.col("c").alias("u"), F.col("c2").alias("v")).distinct(), sets, percent)
-    comp = components(links.unionByName(more))
+    pairs = met_cold.unionByName(star).groupBy("u", "v", "nu", "nv").agg(F.sum("shared").alias("shared"))
+    for x in ("u", "v"):
+        pairs = pairs.join(n_hot.select(F.col("c").alias(x), F.col("h").alias(f"h{x}")), x, "left")
+    unseen = F.least(F.coalesce("hu", F.lit(0)), F.coalesce("hv", F.lit(0)))
+    pairs = materialize(pairs.where(F.col("shared") + unseen >= _least_shared(percent)), "pairs")
+    links = materialize(_links(pairs, keyed, members, width, percent), "links")
+    comp = components(links)
+    # Hot columns that still hold several components: the product across them, now with all overlaps.
+    hot = hot.drop("low", "high").join(sized(comp.withColumnRenamed("node", "c")), "c", "left")
+    hot = hot.withColumn("comp", F.coalesce("comp", "c"))
+    mixed = hot.groupBy("col").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("col")
+    hot = materialize(hot.join(mixed, "col"), "mixed")
+    across = _product(hot, hot, percent, (F.col("u") < F.col("v")) & (F.col("compu") != F.col("compv")))
+    across = across.join(met_cold.select("u", "v", F.col("shared").alias("more")), ["u", "v"], "left")
+    across = across.where(F.col("shared") + F.coalesce("more", F.lit(0)) >= _least_shared(percent))
+    across = materialize(across.select("u", "v").join(pairs.select("u", "v"), ["u", "v"], "left_anti"), "across")
+    comp = components(links.unionByName(_links(across, keyed, members, width, percent)))
     named = classes.join(comp.withColumnRenamed("node", "c"), "c", "left").withColumn("comp", F.coalesce("comp", "c"))
     tops = named.groupBy("comp").agg(F.min("least").alias("component_id"), F.min("first").alias("_top"))
     by_class = named.join(tops, "comp").select("a", "b", "n", "component_id", "_top")
