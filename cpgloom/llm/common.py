@@ -19,6 +19,18 @@ LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 ALNUM = bytes(c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in LOWER)
 
 
+# Spark hands Arrow batches to Python tasks; 64 MB of text each (its default) is more than a small worker needs.
+BATCH_BYTES = 8 << 20
+
+
+def bounded(docs: DataFrame) -> DataFrame:
+    """``docs``, after asking its session for Arrow batches of few bytes, unless it was told otherwise."""
+    conf, name = docs.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if conf.get(name, "67108864b") == "67108864b":
+        conf.set(name, str(BATCH_BYTES))
+    return docs
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string column and its offsets (one more than rows); null counts as empty."""
     column = column.fill_null("")

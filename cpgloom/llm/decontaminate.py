@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cpgloom.llm.common import ALNUM, slices, texts
+from cpgloom.llm.common import ALNUM, bounded, slices, texts
 from cpgloom.operators.sizing import sized
 from cpgloom.session import materialize
 
@@ -75,7 +75,7 @@ def build_index(docs: DataFrame, wanted: frozenset[bytes] | None = None, text: s
             names = ["doc_id", "key", "first", "words", "terms", "ends", "postings"]
             yield pa.record_batch([pa.array([v], pa.list_(k)) for v, k in zip(lists, kinds, strict=True)], names)
 
-    keyed = docs.select("doc_id", F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("key"), F.col(text).alias("t"))
+    keyed = bounded(docs).select("doc_id", F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("key"), F.col(text).alias("t"))
     return keyed.mapInArrow(work, INDEX)
 
 

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cpgloom.llm.common import same, slices, texts
+from cpgloom.llm.common import bounded, same, slices, texts
 from cpgloom.operators.ordering import numbered
 from cpgloom.operators.sizing import sized
 from cpgloom.session import materialize
@@ -33,7 +33,7 @@ _AT = ["doc_id", "key"]
 
 
 def _keyed(docs: DataFrame, text: str) -> DataFrame:
-    return docs.select("doc_id", F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("key"), F.col(text).alias("t"))
+    return bounded(docs).select("doc_id", F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("key"), F.col(text).alias("t"))
 
 
 def line_ids(docs: DataFrame, min_words: int, text: str = "text") -> DataFrame:

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cpgloom.llm.common import fold, slices, utf8, word_hashes
+from cpgloom.llm.common import bounded, fold, slices, utf8, word_hashes
 from cpgloom.operators.sizing import sized
 from cpgloom.session import materialize
 
@@ -70,7 +70,7 @@ def _signed(h: np.ndarray) -> np.ndarray:
 
 
 def _keyed(docs: DataFrame, text: str) -> DataFrame:
-    return docs.select("doc_id", F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("key"), F.col(text).alias("t"))
+    return bounded(docs).select("doc_id", F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("key"), F.col(text).alias("t"))
 
 
 def frequent(keyed: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:

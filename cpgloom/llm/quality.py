@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cpgloom.llm.common import slices, texts
+from cpgloom.llm.common import bounded, slices, texts
 from cpgloom.session import materialize
 
 # Weight of the pooled covariance, and then of the scaled identity.
@@ -77,7 +77,7 @@ def statistics(docs: DataFrame, text: str = "text") -> DataFrame:
             x = _statistics(texts(b.column("t")))
             yield pa.record_batch([b.column("doc_id"), pa.array(list(x), pa.list_(pa.float64()))], ["doc_id", "stats"])
 
-    return docs.select("doc_id", F.col(text).alias("t")).mapInArrow(work, "doc_id long, stats array<double>")
+    return bounded(docs).select("doc_id", F.col(text).alias("t")).mapInArrow(work, "doc_id long, stats array<double>")
 
 
 @dataclass
@@ -174,4 +174,4 @@ def keep_good(docs: DataFrame, labels: DataFrame, text: str = "text", least: flo
         for b in slices(batches, text):
             yield b.filter(pa.array(model.score(_statistics(texts(b.column(text)))) >= least))
 
-    return docs.mapInArrow(work, docs.schema)
+    return bounded(docs).mapInArrow(work, docs.schema)

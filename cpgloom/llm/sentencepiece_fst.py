@@ -30,11 +30,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cpgloom.llm.common import slices, texts
+from cpgloom.llm.common import bounded, slices, texts
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 # Words remembered in a task.
-CACHE = 600_000
+CACHE = 250_000
 
 _SPACE = "▁"
 _NORMAL, _CONTROL, _BYTE, _BPE = 1, 3, 6, 2
@@ -321,7 +321,7 @@ class Encoder:
         for lines in cut:
             seen.update(*lines)
         if len(self.known) + len(seen) > CACHE:
-            self.known = {}
+            self.known = {w: self.known[w] for w in seen if w in self.known}
         # Short words together, so that one long word does not hold up the others.
         new = sorted(seen.difference(self.known), key=len)
         for i in range(0, len(new), 20_000):
@@ -343,13 +343,13 @@ def encode(docs: DataFrame, model: str = MODEL, text: str = "text", ids: str = "
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(machine)
-        for batch in slices(batches, text, 2 << 20):
+        for batch in slices(batches, text, 1 << 20):
             values, ends = encoder.encode(texts(batch.column(text)))
             nulls = batch.column(text).is_null()
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values, pa.int32()), mask=nulls)
             yield pa.record_batch([*(batch.column(c) for c in kept), lists], [*kept, ids])
 
-    return base.mapInArrow(work, schema)
+    return bounded(base).mapInArrow(work, schema)
 
 
 def decode(rows: DataFrame, model: str = MODEL, ids: str = "ids", text: str = "decoded") -> DataFrame:
@@ -364,9 +364,9 @@ def decode(rows: DataFrame, model: str = MODEL, ids: str = "ids", text: str = "d
             lists = batch.column(ids)
             ends = np.cumsum(lists.value_lengths().fill_null(0).to_numpy())
             start = 0
-            while start < batch.num_rows:  # some million ids at a time
+            while start < batch.num_rows:  # some ids at a time
                 before = int(ends[start - 1]) if start else 0
-                stop = max(start + 1, int(np.searchsorted(ends, before + (1 << 20), "right")))
+                stop = max(start + 1, int(np.searchsorted(ends, before + (1 << 18), "right")))
                 part = batch.slice(start, stop - start)
                 values = part.column(ids).flatten().to_numpy(zero_copy_only=False)
                 back = pa.array(machine.decode(values, ends[start:stop] - before), pa.string())
@@ -374,7 +374,7 @@ def decode(rows: DataFrame, model: str = MODEL, ids: str = "ids", text: str = "d
                 yield pa.record_batch([*(part.column(c) for c in kept), back], [*kept, text])
                 start = stop
 
-    return base.mapInArrow(work, schema)
+    return bounded(base).mapInArrow(work, schema)
 
 
 def ids_sha256(ids: str = "ids"):

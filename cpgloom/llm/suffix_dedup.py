@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cpgloom.llm.common import mix, same, slices, utf8
+from cpgloom.llm.common import bounded, mix, same, slices, utf8
 from cpgloom.operators.sizing import sized
 from cpgloom.session import materialize
 
@@ -90,7 +90,7 @@ def _stretches(batch: pa.RecordBatch, length: int) -> Iterator[tuple[np.ndarray,
 
 
 def _keyed(docs: DataFrame, text: str) -> DataFrame:
-    return docs.select("doc_id", F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("key"), F.col(text).alias("t"))
+    return bounded(docs).select("doc_id", F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("key"), F.col(text).alias("t"))
 
 
 def _all_runs(keyed: DataFrame, length: int) -> DataFrame:
