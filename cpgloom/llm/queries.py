@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cpgloom.llm import decontaminate, line_dedup, ngram_join, quality, sentencepiece_fst, suffix_dedup
+from cpgloom.llm import decontaminate, hash_forest, line_dedup, lm_score, ngram_join, quality, sentencepiece_fst, suffix_dedup
 from cpgloom.llm.common import sha256_list
+from cpgloom.operators.sizing import sized
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -136,3 +137,16 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.size("removed").cast("long").alias("n_spans"),
         F.sha2("kept", 256).alias("kept_sha256"),
     )
+
+
+@query("op6_lm_cross_entropy_difference")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target: documents that the labels call good and not toxic."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    good = table(spark, sf_dir, "labels").where("quality = 1 and toxic = 0").select("doc_id").distinct().withColumn("good", F.lit(True))
+    return lm_score.score(docs.join(sized(good), "doc_id", "left"), F.col("good"))
+
+
+@query("op7_hash_prefix_forest")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hash_forest.neighbours(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
