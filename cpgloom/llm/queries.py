@@ -7,9 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cpgloom.llm import decontaminate, hash_forest, line_dedup, lm_score, ngram_join, quality, sentencepiece_fst, suffix_dedup
+from cpgloom.llm import decontaminate, hash_forest, line_dedup, lm_score, ngram_join, quality, sentencepiece_fst, suffix_dedup, warc
 from cpgloom.llm.common import sha256_list
 from cpgloom.operators.sizing import sized
+from cpgloom.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -150,3 +151,32 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_hash_prefix_forest")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hash_forest.neighbours(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+_BASE32 = "||".join(
+    f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(h, {5 * g + 1}, 5))::INTEGER >> {shift}) & 31) + 1, 1)"
+    for g in range(8)
+    for shift in (15, 10, 5, 0)
+)
+
+
+@query(
+    "op8_warc",
+    f"""
+    WITH p AS (SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS h FROM pages),
+    q AS (SELECT *, {_BASE32} AS payload_digest, max(page_id) OVER (PARTITION BY h) AS top FROM p)
+    SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type,
+           CASE WHEN page_id <> top THEN top END AS refers_to
+    FROM q""",
+)
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = scratch_path(spark, "warc")
+    warc.write(table(spark, sf_dir, "pages"), folder)
+    found = warc.read(spark, folder)
+    return found.select(
+        warc.page_of(F.col("record_id")).alias("page_id"),
+        "payload_bytes",
+        "payload_digest",
+        "record_type",
+        warc.page_of(F.col("refers_to_id")).alias("refers_to"),
+    )
