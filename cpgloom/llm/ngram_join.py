@@ -9,12 +9,13 @@ others first, by hash: passages shared by texts that differ otherwise never meet
 texts feed the order; whichever columns it holds, the links found are the same.
 
 Columns are blocks by hash (the shuffle).  A column of few classes gives all its pairs, whose overlaps are
-summed over columns; in a column of many classes each first meets only the smallest and the largest one.
+summed over columns; in a column of many classes each first meets only two, which the column draws.
 Sets that link share at least so many leading columns as ``_least_shared`` derives from their sizes, and
 pairs that can't reach that are discarded before any whole set is read.  Whole sets decide about the
-rest, and classes linked so far are components; columns of many classes that still hold several
-components then give the pairs across components.  So each pair of texts has been compared, is ruled
-out by a bound, or lies within one component already.
+rest, and classes linked so far are components.  Columns of many classes that still hold several
+components draw again, a few times, and then give the pairs across components, each in the columns where
+two sets that link can first meet.  So each pair of texts has been compared, is ruled out by a bound, or
+lies within one component already.
 
 Documents: shingles of ``width`` lower-cased words, or all words as one where there are fewer; without
 words the set is empty and links with nothing.  A null text is an empty one.  Rows that agree in text and
@@ -40,6 +41,8 @@ WIDTH, PERCENT = 4, 85
 KNOWN_COUNTS = 1 << 18
 # Columns of at most this many classes give all their pairs; those of more first meet two classes only.
 FEW = 16
+# How often columns of many classes draw new leads before all pairs across components follow.
+TURNS = 3
 
 
 def _digest(s: np.ndarray) -> tuple[int, int]:
@@ -158,23 +161,53 @@ def _fits(percent: int) -> Column:
     return F.least("nu", "nv") * 100 >= percent * F.greatest("nu", "nv")
 
 
+def _need(percent: int) -> Column:
+    """The overlap that sets of sizes nu and nv need to link."""
+    return F.ceil(F.lit(percent) * (F.col("nu") + F.col("nv")) / F.lit(100 + percent) - F.lit(1e-9))
+
+
 def _least_shared(percent: int) -> Column:
     """How many columns sets of sizes nu and nv that link share at least among their leading columns.
 
     The k-th shared column lies at most k - 1 plus the unshared ones from the start of either set."""
-    need = F.ceil(F.lit(percent) * (F.col("nu") + F.col("nv")) / F.lit(100 + percent) - F.lit(1e-9))
-    room = [F.lit(1) - F.ceil(F.lit(percent) * F.col(n) / F.lit(100) - F.lit(1e-9)) + need for n in ("nu", "nv")]
+    room = [F.lit(1) - F.ceil(F.lit(percent) * F.col(n) / F.lit(100) - F.lit(1e-9)) + _need(percent) for n in ("nu", "nv")]
     return F.greatest(F.lit(1), F.least(*room))
 
 
-def _product(left: DataFrame, right: DataFrame, percent: int, on: Column) -> DataFrame:
+def _product(cells: DataFrame, percent: int) -> DataFrame:
     """Overlap counts ``shared`` of pairs (u, v) over the columns that both have, within the size bound."""
-    a = left.withColumnsRenamed({"c": "u", "n": "nu", "comp": "compu"})
-    b = right.withColumnsRenamed({"c": "v", "n": "nv", "comp": "compv"})
-    both = a.join(b, "col").where(on & _fits(percent))
+    a, b = (cells.withColumnsRenamed({"c": x, "n": f"n{x}"}) for x in ("u", "v"))
+    both = a.join(b, "col").where((F.col("u") < F.col("v")) & _fits(percent))
     return both.groupBy("u", "v", "nu", "nv").agg(F.count("*").alias("shared"))
 
 
+def _leads(cells: DataFrame, turn: int, percent: int) -> DataFrame:
+    """Pairs of each cell's class with two classes of its column, which each column and turn draws anew."""
+    draw = F.struct(F.xxhash64("c", "col", F.lit(turn)).alias("draw"), "c", "n", "comp")
+    two = cells.groupBy("col").agg(F.min(draw).alias("low"), F.max(draw).alias("high"))
+    met = cells.join(two, "col").select("c", "n", "comp", F.explode(F.array("low", "high")).alias("x"))
+    met = met.where("comp != x.comp")
+    flip = F.col("c") > F.col("x.c")
+    ends = ((F.col("c"), F.col("x.c"), "u", "v"), (F.col("n"), F.col("x.n"), "nu", "nv"))
+    met = met.select(*(c for a, b, u, v in ends for c in (F.when(flip, b).otherwise(a).alias(u), F.when(flip, a).otherwise(b).alias(v))))
+    return met.where(_fits(percent)).distinct().withColumn("shared", F.lit(0).cast("long"))
+
+
+def _possible(pairs: DataFrame, n_hot: DataFrame, percent: int) -> DataFrame:
+    """Pairs whose overlap counted so far and columns not counted yet can reach the least one."""
+    for x in ("u", "v"):
+        pairs = pairs.join(n_hot.select(F.col("c").alias(x), F.col("h").alias(f"h{x}")), x, "left")
+    unseen = F.least(F.coalesce("hu", F.lit(0)), F.coalesce("hv", F.lit(0)))
+    return materialize(pairs.where(F.col("shared") + unseen >= _least_shared(percent)).select("u", "v"), "pairs")
+
+
+def _mixed(hot: DataFrame, comp: DataFrame) -> DataFrame:
+    """The cells of columns that hold several components, with ``comp``."""
+    hot = hot.join(sized(comp.withColumnRenamed("node", "c")), "c", "left").withColumn("comp", F.coalesce("comp", "c"))
+    several = hot.groupBy("col").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("col")
+    return materialize(hot.join(several, "col"), "mixed")
+
+
 def _links(pairs: DataFrame, keyed: DataFrame, members: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs (u, v) of classes whose whole sets reach the threshold."""
     involved = pairs.select(F.explode(F.array("u", "v")).alias("c")).distinct()
@@ -205,38 +238,44 @@ def groups(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, text: st
     members = rows.withColumnsRenamed({"n": "_n"}).join(firsts, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("key") == F.col("_key")))
     members = members.dropDuplicates(["c"])
     # The leading columns of every class; those of a single class link nothing.
-    cells = members.select("c", "n", F.explode("cols").alias("col"))
-    met = cells.groupBy("col").agg(F.count("*").alias("k"), F.min("c").alias("low"), F.max("c").alias("high")).where("k > 1")
+    cells = members.select("c", "n", F.posexplode("cols").alias("pos", "col"))
+    met = cells.groupBy("col").agg(F.count("*").alias("k")).where("k > 1")
     cells = materialize(cells.join(met.withColumn("hot", F.col("k") > FEW).drop("k"), "col"), "cells")
     cold = cells.where("not hot").select("col", "c", "n")
-    hot = materialize(cells.where("hot").select("col", "c", "n", "low", "high"), "hot")
+    hot = materialize(cells.where("hot").select("col", "c", "n", "pos"), "hot")
     n_hot = hot.groupBy("c").agg(F.count("*").alias("h"))
     # The product: overlaps over the columns of few classes, and candidates from the others.
-    met_cold = _product(cold, cold, percent, F.col("u") < F.col("v"))
-    star = hot.select(F.col("c").alias("v"), F.explode(F.array_distinct(F.array("low", "high"))).alias("u"), "n").where("u != v")
-    tops = hot.select(F.col("c").alias("u"), F.col("n").alias("nu")).distinct()
-    star = star.withColumnRenamed("n", "nv").join(tops, "u").where(_fits(percent)).distinct()
-    flip = F.col("u") > F.col("v")
-    star = star.select(
-        *(F.when(flip, F.col(y)).otherwise(F.col(x)).alias(x) for x, y in (("u", "v"), ("v", "u"), ("nu", "nv"), ("nv", "nu"))),
-        F.lit(0).cast("long").alias("shared"),
-    )
-    pairs = met_cold.unionByName(star).groupBy("u", "v", "nu", "nv").agg(F.sum("shared").alias("shared"))
-    for x in ("u", "v"):
-        pairs = pairs.join(n_hot.select(F.col("c").alias(x), F.col("h").alias(f"h{x}")), x, "left")
-    unseen = F.least(F.coalesce("hu", F.lit(0)), F.coalesce("hv", F.lit(0)))
-    pairs = materialize(pairs.where(F.col("shared") + unseen >= _least_shared(percent)), "pairs")
-    links = materialize(_links(pairs, keyed, members, width, percent), "links")
+    met_cold = _product(cold, percent)
+    pairs = met_cold.unionByName(_leads(hot.withColumn("comp", F.col("c")), 0, percent))
+    pairs = pairs.groupBy("u", "v", "nu", "nv").agg(F.sum("shared").alias("shared"))
+    links = materialize(_links(_possible(pairs, n_hot, percent), keyed, members, width, percent), "links")
     comp = components(links)
-    # Hot columns that still hold several components: the product across them, now with all overlaps.
-    hot = hot.drop("low", "high").join(sized(comp.withColumnRenamed("node", "c")), "c", "left")
-    hot = hot.withColumn("comp", F.coalesce("comp", "c"))
-    mixed = hot.groupBy("col").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("col")
-    hot = materialize(hot.join(mixed, "col"), "mixed")
-    across = _product(hot, hot, percent, (F.col("u") < F.col("v")) & (F.col("compu") != F.col("compv")))
-    across = across.join(met_cold.select("u", "v", F.col("shared").alias("more")), ["u", "v"], "left")
-    across = across.where(F.col("shared") + F.coalesce("more", F.lit(0)) >= _least_shared(percent))
-    across = materialize(across.select("u", "v").join(pairs.select("u", "v"), ["u", "v"], "left_anti"), "across")
+    # Columns of many classes that still hold several components: more leads while pairs would be many.
+    for turn in range(1, TURNS + 1):
+        mixed = _mixed(hot, comp)
+        sizes = mixed.groupBy("col", "comp").agg(F.count("*").alias("m")).groupBy("col")
+        sizes = sizes.agg((F.sum("m") * F.sum("m") - F.sum(F.col("m") * F.col("m"))).alias("across"), F.sum("m").alias("cells"))
+        across, n_cells = sizes.agg(F.coalesce(F.sum("across"), F.lit(0)), F.coalesce(F.sum("cells"), F.lit(0))).first()
+        if across <= 8 * n_cells:
+            break
+        led = _leads(mixed, turn, percent).join(met_cold.select("u", "v", F.col("shared").alias("more")), ["u", "v"], "left")
+        led = led.withColumn("shared", F.coalesce("more", F.lit(0))).drop("more")
+        found = materialize(_links(_possible(led, n_hot, percent), keyed, members, width, percent), "links")
+        links = links.unionByName(found)
+        comp = components(links)
+    # Then all pairs across components, each in the columns where it can first meet.
+    mixed = _mixed(hot, comp)
+    other = mixed.withColumnsRenamed({"c": "v", "n": "nv", "pos": "posv", "comp": "compv"})
+    mixed = mixed.withColumnsRenamed({"c": "u", "n": "nu", "pos": "posu", "comp": "compu"})
+    need = _need(percent)
+    across = mixed.join(other, "col").where(
+        (F.col("u") < F.col("v"))
+        & (F.col("compu") != F.col("compv"))
+        & _fits(percent)
+        & (F.col("posu") <= F.col("nu") - need)
+        & (F.col("posv") <= F.col("nv") - need)
+    )
+    across = materialize(across.select("u", "v").distinct(), "across")
     comp = components(links.unionByName(_links(across, keyed, members, width, percent)))
     named = classes.join(comp.withColumnRenamed("node", "c"), "c", "left").withColumn("comp", F.coalesce("comp", "c"))
     tops = named.groupBy("comp").agg(F.min("least").alias("component_id"), F.min("first").alias("_top"))
