@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cpgloom.llm import decontaminate, hash_forest, line_dedup, lm_score, ngram_join, quality, sentencepiece_fst, suffix_dedup, warc
+from cpgloom.llm import chat, decontaminate, hash_forest, line_dedup, lm_score, ngram_join, quality, sentencepiece_fst, suffix_dedup, warc
 from cpgloom.llm.common import sha256_list
 from cpgloom.operators.sizing import sized
 from cpgloom.session import scratch_path
@@ -180,3 +180,26 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
         "record_type",
         warc.page_of(F.col("refers_to_id")).alias("refers_to"),
     )
+
+
+_MARKED = r"(<\\*\|turn\|>|<\\*\|text\|>|<\\*\|end\|>|<\\*\|im_start\|>|<\\*\|im_end\|>|<\\*\|endoftext\|>|<\\*s>|<\\*/s>|\[\\*INST\]|\[\\*/INST\]|<\\*<SYS>>|<\\*</SYS>>)"
+
+
+@query(
+    "op5_chat_format",
+    rf"""
+    WITH t AS (
+      SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+      UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+    x AS (SELECT *, len(regexp_extract_all(role, '{_MARKED}')) + len(regexp_extract_all(text, '{_MARKED}')) AS slashes FROM t)
+    SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+           coalesce(sum(CASE WHEN role = 'assistant' THEN length(text) END), 0)::BIGINT AS loss_chars,
+           sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn, role, text), '')) AS loss_sha256,
+           sum(length(role) + length(text) + slashes + {len(chat.TURN + chat.TEXT + chat.END)})::BIGINT AS formatted_chars
+    FROM x GROUP BY conv_id""",
+)
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    return chat.read_back(chat.render(turns))
