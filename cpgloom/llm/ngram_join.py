@@ -9,7 +9,7 @@ others first, by hash: passages shared by texts that differ otherwise never meet
 texts feed the order; whichever columns it holds, the links found are the same.
 
 Columns are blocks by hash (the shuffle).  A column of few classes gives all its pairs, whose overlaps are
-summed over columns; in a column of many classes each first meets only two, which the column draws.
+summed over columns; in a column of many classes each first meets only one, which the column draws.
 Sets that link share at least so many leading columns as ``_least_shared`` derives from their sizes, and
 pairs that can't reach that are discarded before any whole set is read.  Whole sets decide about the
 rest, and classes linked so far are components.  Columns of many classes that still hold several
@@ -39,8 +39,8 @@ from cpgloom.session import materialize
 WIDTH, PERCENT = 4, 85
 # The order of columns knows the counts of at most this many n-grams, the most frequent ones: 4 MB.
 KNOWN_COUNTS = 1 << 18
-# Columns of at most this many classes give all their pairs; those of more first meet two classes only.
-FEW = 16
+# Columns of at most this many classes give all their pairs; in those of more each first meets one class only.
+FEW = 4
 # How often columns of many classes draw new leads before all pairs across components follow.
 TURNS = 3
 
@@ -182,11 +182,10 @@ def _product(cells: DataFrame, percent: int) -> DataFrame:
 
 
 def _leads(cells: DataFrame, turn: int, percent: int) -> DataFrame:
-    """Pairs of each cell's class with two classes of its column, which each column and turn draws anew."""
+    """Pairs of each cell's class with one class of its column, which each column and turn draws anew."""
     draw = F.struct(F.xxhash64("c", "col", F.lit(turn)).alias("draw"), "c", "n", "comp")
-    two = cells.groupBy("col").agg(F.min(draw).alias("low"), F.max(draw).alias("high"))
-    met = cells.join(two, "col").select("c", "n", "comp", F.explode(F.array("low", "high")).alias("x"))
-    met = met.where("comp != x.comp")
+    one = cells.groupBy("col").agg(F.min(draw).alias("x"))
+    met = cells.join(one, "col").where("comp != x.comp")
     flip = F.col("c") > F.col("x.c")
     ends = ((F.col("c"), F.col("x.c"), "u", "v"), (F.col("n"), F.col("x.n"), "nu", "nv"))
     met = met.select(*(c for a, b, u, v in ends for c in (F.when(flip, b).otherwise(a).alias(u), F.when(flip, a).otherwise(b).alias(v))))
