@@ -57,6 +57,8 @@ def t_two_sided(t: float, df: float) -> float:
         return float("nan")
     if math.isinf(t):
         return 0.0
+    if df > 1e7:  # the normal with its 1/df terms: the beta function loses digits here
+        return normal_two_sided(t * (1.0 - 0.25 / df) / math.sqrt(1.0 + t * t / (2.0 * df)))
     return incomplete_beta(df / 2.0, 0.5, df / (df + t * t))
 
 

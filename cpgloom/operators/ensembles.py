@@ -90,7 +90,9 @@ class NeighbourModel(Model):
         exact = F.avg(F.when(d == 0, F.col("_y")))
         weighted = F.try_divide(F.sum(F.when(d > 0, F.col("_y") / d)), F.sum(F.when(d > 0, 1.0 / d)))
         out = near.join(labels, "donor_id").groupBy("sample_id").agg(F.coalesce(exact, weighted).alias("prediction"))
-        return df.join(out, "sample_id")
+        # Without a usable neighbour: the mean training label.
+        mean = self.train.agg(F.avg("label")).first()[0]
+        return df.join(out, "sample_id", "left").withColumn("prediction", F.coalesce("prediction", F.lit(mean)))
 
 
 class ResidualLearner(Estimator):
@@ -170,7 +172,9 @@ class Stacking(Estimator):
         rows = materialize(kfold(df.select("sample_id", "label", "features"), self.folds, self.seed, out="_fold"), "stacking")
         oof = out_of_fold(rows, self.base, range(self.folds), "_fold")
         wide = oof.groupBy("sample_id").pivot("model", list(self.base)).agg(F.first("y_pred"))
-        staged = rows.join(wide.select("sample_id", *[F.col(n).alias(f"p_{n}") for n in self.base]), "sample_id")
+        wide = wide.select("sample_id", *[F.col(n).alias(f"p_{n}") for n in self.base])
+        # The final fit reads this several times: predict once.
+        staged = materialize(rows.join(wide, "sample_id"), "stacked")
         final = Penalised(self.meta_alpha).fit(self._assemble(staged))
         return StackedModel({n: e.fit(rows) for n, e in self.base.items()}, final, self)
 

@@ -65,13 +65,13 @@ def _block_pairs(receivers: DataFrame, donors: DataFrame, block: int) -> tuple[D
     Only whole blocks meet in a task and only the best few donors per receiver leave it, so
     neither the pair list nor one side has to fit anywhere.
     """
-    # Large blocks keep the copies few; small inputs are still cut enough to use every core.
-    least = math.ceil(math.sqrt(2 * donors.sparkSession.sparkContext.defaultParallelism))
-    nr, nd = (max(1, math.ceil(n / min(block, max(16, math.ceil(n / least))))) for n in (receivers.count(), donors.count()))
     # Counted, measured and then copied to the blocks: build the arrays once.
     receivers, donors = materialize(receivers, "receivers"), materialize(donors, "donors")
-    width = donors.agg(F.max(F.size("features")).alias("w")).first()["w"] or 1
-    block = max(16, min(block, BLOCK_BYTES // (8 * width)))
+    width, n_donors = donors.agg(F.max(F.size("features")), F.count("*")).first()
+    block = max(16, min(block, BLOCK_BYTES // (8 * (width or 1))))
+    # Large blocks keep the copies few; small inputs are still cut enough to use every core.
+    least = math.ceil(math.sqrt(2 * donors.sparkSession.sparkContext.defaultParallelism))
+    nr, nd = (max(1, math.ceil(n / min(block, max(16, math.ceil(n / least))))) for n in (receivers.count(), n_donors))
     key = F.xxhash64("sample_id")
     all_r = F.explode(F.sequence(F.lit(0), F.lit(nr - 1)))
     all_d = F.explode(F.sequence(F.lit(0), F.lit(nd - 1)))

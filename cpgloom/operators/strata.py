@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from cpgloom.functions.scalars import bin_by, chip_id
 from cpgloom.operators.metrics import abs_err, err
-from cpgloom.operators.ordering import exact_quantiles
+from cpgloom.operators.ordering import exact_quantiles, numbered
 from cpgloom.operators.sizing import sized
 
 
@@ -352,9 +352,9 @@ def range_normalise(df: DataFrame, col: str, out: str) -> DataFrame:
 
 
 def factorize(df: DataFrame, col: str, order: str, out: str) -> DataFrame:
-    """0-based code per value in order of first appearance (few values, many rows)."""
+    """0-based code per value in order of first appearance."""
     firsts = df.groupBy(col).agg(F.min(order).alias("_first"))
-    codes = firsts.withColumn(out, (F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("_first")) - 1).cast("long"))
+    codes = numbered(firsts, [], ["_first", col], "_code").withColumn(out, (F.col("_code") - 1).cast("long")).drop("_code")
     return df.join(sized(codes.drop("_first")), col)
 
 

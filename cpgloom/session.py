@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import functools
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -25,6 +28,14 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, app: str = "cpg
     )
 
 
+@functools.cache
+def _local_folder() -> str:
+    """One temporary folder for this process, removed at its end."""
+    folder = tempfile.mkdtemp(prefix="cpgloom-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
+
+
 def scratch_folder(spark: SparkSession) -> str:
     """The folder every executor can reach, as named by ``spark.checkpoint.dir``.
 
@@ -38,9 +49,7 @@ def scratch_folder(spark: SparkSession) -> str:
     master = spark.sparkContext.master
     if not master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-    folder = tempfile.mkdtemp(prefix="cpgloom-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    return _local_folder()
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cpgloom.operators.sizing import sized
+from cpgloom.session import materialize
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -73,13 +74,22 @@ def ingest(spark: SparkSession, path: str, out: str, samples: DataFrame | None =
 def export_wide(cells: DataFrame, path: str, order: str = "sample_id", value: str = "beta") -> None:
     """Write the long matrix back as a wide CSV; part files in name order form the file.
 
-    One line holds all samples of a probe: that is the format, not a choice made here.
+    One line holds all samples of a probe: that is the format, not a choice made here.  Values go
+    to the place of their sample in the header; absent cells are empty, repeated ones an error.
     """
-    entry = F.struct(F.col(order).alias("o"), F.coalesce(F.col(value).cast("string"), F.lit("")).alias("v"))
-    body = cells.groupBy("probe_ord").agg(F.sort_array(F.collect_list(entry)).alias("e"))
-    body = body.select("probe_ord", F.concat_ws(",", F.transform("e", lambda x: x["v"])).alias("value"))
     names = cells.select(F.col(order).alias("o"), "sample_id").distinct()
-    names = names.agg(F.sort_array(F.collect_list(F.struct("o", "sample_id"))).alias("e"))
+    names = materialize(names.agg(F.sort_array(F.collect_list(F.struct("o", "sample_id"))).alias("e")), "header")
+    places = names.select(F.size("e").alias("_n"), F.posexplode("e").alias("_at", "s")).select("_n", "_at", F.col("s.sample_id").alias("sample_id"))
+    entry = F.struct(F.col("_at").alias("at"), F.coalesce(F.col(value).cast("string"), F.lit("")).alias("v"))
+    body = cells.join(sized(places), "sample_id").groupBy("probe_ord").agg(F.sort_array(F.collect_list(entry)).alias("e"), F.first("_n").alias("n"))
+    # As many commas before a value as there are places since the one before.
+    gaps = F.transform("e", lambda x, i: x["at"] - F.when(i > 0, F.get("e", i - 1)["at"]).otherwise(0))
+    body = body.withColumn("gaps", gaps)
+    body = body.withColumn("twice", F.exists(F.slice("gaps", 2, F.greatest(F.size("gaps") - 1, F.lit(0))), lambda g: g == 0))
+    filled = F.zip_with("gaps", "e", lambda g, x: F.concat(F.repeat(F.lit(","), g), x["v"]))
+    rest = F.repeat(F.lit(","), F.col("n") - 1 - F.element_at("e", -1)["at"])
+    line = F.when(F.col("twice"), F.raise_error(F.lit("a probe has two values of one sample"))).otherwise(F.concat(F.array_join(filled, ""), rest))
+    body = body.select("probe_ord", line.alias("value"))
     head = names.select(
         F.lit(-1).cast("long").alias("probe_ord"), F.concat_ws(",", F.transform("e", lambda x: x["sample_id"])).alias("value")
     )

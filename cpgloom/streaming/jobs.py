@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cpgloom.operators.ordering import numbered
+from cpgloom.session import materialize
 from cpgloom.sources.submissions import SUBMISSION_SCHEMA, score_uploads
 
 CELL_SCHEMA = "probe_ord BIGINT, sample_id STRING, beta DOUBLE"
@@ -46,26 +47,29 @@ def run_sample_moments(spark: SparkSession, source: str, out: str, checkpoint: s
 
 
 def run_best_per_user(
-    spark: SparkSession, source: str, out: str, checkpoint: str, watermark: str = "40 days", files_per_trigger: int | None = None
+    spark: SparkSession, source: str, out: str, checkpoint: str, files_per_trigger: int | None = None
 ) -> DataFrame:
-    """Best score and number of submissions per user over arriving submission files.
+    """Best score, number of submissions and rank per user over arriving submission files.
 
-    Repeated ids inside the watermark count once.  Ranks are not available on a stream and are
-    added to the finished table by :func:`rank_users`.
+    Repeated ids count once, however late they arrive: the state holds every id seen, spread
+    over the partitions by hash.  Every epoch writes the ranked users to ``out`` and the key
+    figures (best score, submissions, participants) to ``<out>-kpis``.
     """
+
+    def put(batch: DataFrame, epoch: int) -> None:
+        ranked = rank_users(batch)
+        ranked.write.mode("overwrite").parquet(out)
+        kpis = ranked.agg(F.min("best_mae").alias("best_mae"), F.sum("n").alias("total"), F.count("*").alias("participants"))
+        kpis.write.mode("overwrite").parquet(f"{out}-kpis")
+
     reader = spark.readStream.schema(SUBMISSION_SCHEMA)
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
-    subs = (
-        reader.json(source)
-        .withColumn("at", F.to_timestamp("date"))
-        .withWatermark("at", watermark)
-        .dropDuplicatesWithinWatermark(["id"])
-    )
+    subs = reader.json(source).dropDuplicates(["id"])
     best = subs.groupBy("username").agg(F.min("metrics.mae").alias("best_mae"), F.count("*").alias("n"))
     q = (
         best.writeStream.outputMode("complete")
-        .foreachBatch(_overwrite(out))
+        .foreachBatch(put)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
@@ -82,11 +86,12 @@ def run_scoring(spark: SparkSession, source: str, truth: DataFrame, store: str,
     """Score arriving upload files against the truth into an append-only store.
 
     Every epoch owns one folder of the store and overwrites it, so a restarted epoch does not
-    count twice.
+    count twice.  The truth is stored once for the whole run, a batch once per epoch.
     """
+    truth = materialize(truth, "truth")
 
     def put(batch: DataFrame, epoch: int) -> None:
-        score_uploads(batch, truth).write.mode("overwrite").json(f"{store}/epoch={epoch}")
+        score_uploads(materialize(batch, "uploads"), truth).write.mode("overwrite").json(f"{store}/epoch={epoch}")
 
     reader = spark.readStream.schema(UPLOAD_SCHEMA)
     if files_per_trigger:

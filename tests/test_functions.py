@@ -126,3 +126,8 @@ def test_two_group_test_needs_values(spark):
     r = m.two_sample_t(df, "v", "g", "x", "y").first()
     assert r["t"] == pytest.approx((1.5 - 6) / np.sqrt((0.5 + 2.0) / 2 * 1.0))
     assert r["stars"] in ("ns", "*")
+
+
+def test_t_of_many_degrees_of_freedom_nears_the_normal():
+    assert d.t_two_sided(1.96, 1e12) == pytest.approx(d.normal_two_sided(1.96), rel=1e-9)
+    assert d.t_two_sided(1.96, 1.0001e7) == pytest.approx(d.t_two_sided(1.96, 0.9999e7), rel=1e-6)

@@ -184,5 +184,30 @@ def test_best_per_user_ignores_repeats(spark, tmp_path):
     rec = spark.createDataFrame(rows, "id STRING, username STRING, mae DOUBLE").select("id", "username", F.struct("mae").alias("metrics"), F.lit("2024-01-01T00:00:00").alias("date"))
     rec.write.json(src)
     best = jobs.run_best_per_user(spark, src, str(tmp_path / "o"), str(tmp_path / "ck"))
-    got = {r["username"]: (r["best_mae"], r["n"], r["rank"]) for r in jobs.rank_users(best).collect()}
+    got = {r["username"]: (r["best_mae"], r["n"], r["rank"]) for r in best.collect()}
     assert got == {"u": (1.0, 2, 1), "v": (2.0, 1, 2)}
+    assert tuple(spark.read.parquet(str(tmp_path / "o-kpis")).select("best_mae", "total", "participants").first()) == (1.0, 3, 2)
+
+
+def test_late_submissions_count(spark, tmp_path):
+    src, out, ck = (str(tmp_path / n) for n in ("subs", "o", "ck"))
+    for i, (row, day) in enumerate([(("a", "u", 3.0), "06-01"), (("b", "v", 2.0), "06-02"), (("c", "w", 1.0), "01-01"), (("a", "u", 3.0), "06-03")]):
+        rec = spark.createDataFrame([row], "id STRING, username STRING, mae DOUBLE")
+        rec = rec.select("id", "username", F.struct("mae").alias("metrics"), F.lit(f"2024-{day}T00:00:00").alias("date"))
+        rec.coalesce(1).write.mode("append").json(src)
+        if i == 1:
+            jobs.run_best_per_user(spark, src, out, ck, files_per_trigger=1)
+    best = jobs.run_best_per_user(spark, src, out, ck, files_per_trigger=1)
+    got = {r["username"]: (r["best_mae"], r["n"], r["rank"]) for r in best.collect()}
+    assert got == {"w": (1.0, 1, 1), "v": (2.0, 1, 2), "u": (3.0, 1, 3)}
+
+
+def test_sparse_export_keeps_columns(spark, tmp_path):
+    rows = [(0, "S1", 0.1), (0, "S2", 0.2), (0, "S3", 0.3), (0, "S4", None), (1, "S1", 0.4), (1, "S3", 0.5), (2, "S4", 0.6)]
+    cells = spark.createDataFrame(rows, "probe_ord BIGINT, sample_id STRING, beta DOUBLE")
+    out = str(tmp_path / "sparse")
+    mf.export_wide(cells, out)
+    back = {(r["probe_ord"], r["sample_id"]): r["beta"] for r in mf.read_wide(spark, out).collect()}
+    assert back == {(p, s): next((b for q, t, b in rows if (q, t) == (p, s)), None) for p in range(3) for s in ("S1", "S2", "S3", "S4")}
+    with pytest.raises(Exception, match="two values of one sample"):
+        mf.export_wide(cells.unionByName(cells.where("probe_ord = 1")), str(tmp_path / "twice"))
