@@ -16,7 +16,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Above this width the sums are no longer small; callers then fit by gradient passes instead.
+# Above this width the sums are no longer small for the driver; callers that check it refuse.
 MAX_FEATURES = 3000
 
 
