@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import contextlib
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cpgloom.session import scratch_folder
+
 # Text is worked on in slices of about this many bytes; a single longer text is a slice of its own.
 SLICE_BYTES = 4 << 20
 
@@ -31,6 +35,31 @@ def bounded(docs: DataFrame) -> DataFrame:
     return docs
 
 
+@contextlib.contextmanager
+def scratch_room(spark: SparkSession) -> Iterator[str]:
+    """Labels for tables that only the steps inside need: their folder goes at the end, and the shuffle
+    files of each query when it ends, so that disk holds one step's data and not all steps'."""
+    room = f"room-{uuid.uuid4().hex}"
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield room
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+        remove_scratch(spark, room)
+
+
+def remove_scratch(spark: SparkSession, label: str) -> None:
+    """Removes a folder that ``materialize`` filled, from whatever store holds it."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(f"{scratch_folder(spark)}/{label}")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string column and its offsets (one more than rows); null counts as empty."""
     column = column.fill_null("")

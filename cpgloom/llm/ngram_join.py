@@ -24,6 +24,7 @@ doc_id share a class; ties go to the smaller doc_id.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cpgloom.llm.common import bounded, fold, slices, utf8, word_hashes
+from cpgloom.llm.common import bounded, fold, remove_scratch, scratch_room, slices, utf8, word_hashes
 from cpgloom.operators.sizing import sized
 from cpgloom.session import materialize
 
@@ -109,8 +110,8 @@ def leading(s: np.ndarray, n: int, common: np.ndarray, rank: np.ndarray) -> np.n
     return np.concatenate([rare, rest[: n - len(rare)]])
 
 
-def _incidence(keyed: DataFrame, width: int, percent: int) -> DataFrame:
-    """A row per text: ``doc_id``, ``key``, set size ``n``, set digest ``a``, ``b``, and its leading columns."""
+def _incidence(keyed: DataFrame, width: int, percent: int, label: str) -> DataFrame:
+    """A row ``row`` per text: ``doc_id``, ``key``, set size ``n``, set digest ``a``, ``b``, and its leading columns."""
     common, rank = frequent(keyed, width)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -129,15 +130,16 @@ def _incidence(keyed: DataFrame, width: int, percent: int) -> DataFrame:
                 ["doc_id", "key", "n", "a", "b", "cols"],
             )
 
-    return materialize(keyed.mapInArrow(work, "doc_id long, key long, n long, a long, b long, cols array<long>"), "incidence")
+    found = keyed.mapInArrow(work, "doc_id long, key long, n long, a long, b long, cols array<long>")
+    return materialize(found.withColumn("row", F.monotonically_increasing_id()), label)
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, room: str = "components") -> DataFrame:
     """Smallest reachable node of every node of the undirected ``edges`` (u, v): ``node``, ``comp``.
 
     Alternates large-star and small-star steps, each a minimum by node and a join."""
     spark = edges.sparkSession
-    now = materialize(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u > v").distinct(), "edges")
+    now = materialize(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u > v").distinct(), f"{room}/edges")
     last = None
     while True:
         mark = tuple(now.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).first())
@@ -149,7 +151,7 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v")
-        now = materialize(small.unionByName(low.withColumnRenamed("m", "v")).distinct(), "star")
+        now = materialize(small.unionByName(low.withColumnRenamed("m", "v")).distinct(), f"{room}/star")
     if not now.head(1):
         return spark.createDataFrame([], "node long, comp long")
     tops = now.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct()
@@ -193,25 +195,26 @@ def _leads(cells: DataFrame, turn: int, percent: int) -> DataFrame:
     return met.where(_fits(percent)).distinct().withColumn("shared", F.lit(0).cast("long"))
 
 
-def _possible(pairs: DataFrame, n_hot: DataFrame, percent: int) -> DataFrame:
+def _possible(pairs: DataFrame, n_hot: DataFrame, percent: int, room: str) -> DataFrame:
     """Pairs whose overlap counted so far and columns not counted yet can reach the least one."""
     for x in ("u", "v"):
         pairs = pairs.join(n_hot.select(F.col("c").alias(x), F.col("h").alias(f"h{x}")), x, "left")
     unseen = F.least(F.coalesce("hu", F.lit(0)), F.coalesce("hv", F.lit(0)))
-    return materialize(pairs.where(F.col("shared") + unseen >= _least_shared(percent)).select("u", "v"), "pairs")
+    return materialize(pairs.where(F.col("shared") + unseen >= _least_shared(percent)).select("u", "v"), f"{room}/pairs")
 
 
-def _mixed(hot: DataFrame, comp: DataFrame) -> DataFrame:
+def _mixed(hot: DataFrame, comp: DataFrame, room: str) -> DataFrame:
     """The cells of columns that hold several components, with ``comp``."""
     hot = hot.join(sized(comp.withColumnRenamed("node", "c")), "c", "left").withColumn("comp", F.coalesce("comp", "c"))
     several = hot.groupBy("col").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("col")
-    return materialize(hot.join(several, "col"), "mixed")
+    return materialize(hot.join(several, "col"), f"{room}/mixed")
 
 
-def _links(pairs: DataFrame, keyed: DataFrame, members: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs (u, v) of classes whose whole sets reach the threshold."""
+def _links(pairs: DataFrame, keyed: DataFrame, firsts: DataFrame, width: int, percent: int, room: str) -> DataFrame:
+    """The pairs (u, v) of classes whose whole sets reach the threshold, stored; the sets go again."""
+    spark, place = pairs.sparkSession, f"{room}/{uuid.uuid4().hex}"
     involved = pairs.select(F.explode(F.array("u", "v")).alias("c")).distinct()
-    wanted = sized(members.select("c", F.col("doc_id").alias("_id"), F.col("key").alias("_key")).join(involved, "c"))
+    wanted = sized(firsts.join(involved, "c"))
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "t"):
@@ -219,40 +222,49 @@ def _links(pairs: DataFrame, keyed: DataFrame, members: DataFrame, width: int, p
             yield pa.record_batch([batch.column("c"), sets], ["c", "s"])
 
     sets = keyed.join(wanted, keyed["doc_id"].eqNullSafe(wanted["_id"]) & (keyed["key"] == wanted["_key"])).select("c", "t")
-    sets = materialize(sets.mapInArrow(whole, "c long, s array<long>"), "sets").dropDuplicates(["c"])
+    sets = materialize(sets.mapInArrow(whole, "c long, s array<long>"), f"{place}/sets").dropDuplicates(["c"])
     left = sets.select(F.col("c").alias("u"), F.col("s").alias("su"))
     right = sets.select(F.col("c").alias("v"), F.col("s").alias("sv"))
     both = pairs.select("u", "v").join(right, "v").join(left, "u")
     shared = F.size(F.array_intersect("su", "sv"))
-    return both.where(100 * shared >= percent * (F.size("su") + F.size("sv") - shared)).select("u", "v")
+    linked = both.where(100 * shared >= percent * (F.size("su") + F.size("sv") - shared)).select("u", "v")
+    linked = materialize(linked, f"{room}/links")
+    remove_scratch(spark, place)
+    return linked
 
 
 def groups(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, text: str = "text") -> DataFrame:
     """One row per document: ``doc_id``, ``key`` of the text, ``n_shingles``, ``component_id`` (smallest doc_id
     reachable by links) and ``stays`` (the one document of its group that is kept; an empty set always)."""
-    keyed = _keyed(docs, text)
-    rows = _incidence(keyed, width, percent)
-    by_set = rows.where("n > 0").groupBy("a", "b", "n").agg(F.min(F.struct("doc_id", "key")).alias("first"), F.min("doc_id").alias("least"))
-    classes = materialize(by_set.withColumn("c", F.monotonically_increasing_id()), "classes")
-    firsts = classes.select("c", "n", F.col("first.doc_id").alias("_id"), F.col("first.key").alias("_key"))
-    members = rows.withColumnsRenamed({"n": "_n"}).join(firsts, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("key") == F.col("_key")))
-    members = members.dropDuplicates(["c"])
+    with scratch_room(docs.sparkSession) as room:
+        return _groups(_keyed(docs, text), width, percent, room)
+
+
+def _groups(keyed: DataFrame, width: int, percent: int, room: str) -> DataFrame:
+    spark = keyed.sparkSession
+    whole = _incidence(keyed, width, percent, f"{room}/incidence/whole")
+    rows = materialize(whole.drop("cols"), "rows")
+    by_set = rows.where("n > 0").groupBy("a", "b", "n").agg(F.min(F.struct("doc_id", "key", "row")).alias("first"), F.min("doc_id").alias("least"))
+    classes = materialize(by_set.withColumn("c", F.col("first.row")), "classes")
+    firsts = classes.select("c", F.col("first.doc_id").alias("_id"), F.col("first.key").alias("_key"))
     # The leading columns of every class; those of a single class link nothing.
-    cells = members.select("c", "n", F.posexplode("cols").alias("pos", "col"))
+    cells = whole.withColumnRenamed("row", "c").join(sized(firsts.select("c")), "c")
+    cells = cells.select("c", F.col("n").cast("int").alias("n"), F.posexplode("cols").alias("pos", "col"))
     met = cells.groupBy("col").agg(F.count("*").alias("k")).where("k > 1")
-    cells = materialize(cells.join(met.withColumn("hot", F.col("k") > FEW).drop("k"), "col"), "cells")
+    cells = materialize(cells.join(met.withColumn("hot", F.col("k") > FEW).drop("k"), "col"), f"{room}/cells")
+    remove_scratch(spark, f"{room}/incidence")
     cold = cells.where("not hot").select("col", "c", "n")
-    hot = materialize(cells.where("hot").select("col", "c", "n", "pos"), "hot")
+    hot = cells.where("hot").select("col", "c", "n", "pos")
     n_hot = hot.groupBy("c").agg(F.count("*").alias("h"))
     # The product: overlaps over the columns of few classes, and candidates from the others.
     met_cold = _product(cold, percent)
     pairs = met_cold.unionByName(_leads(hot.withColumn("comp", F.col("c")), 0, percent))
     pairs = pairs.groupBy("u", "v", "nu", "nv").agg(F.sum("shared").alias("shared"))
-    links = materialize(_links(_possible(pairs, n_hot, percent), keyed, members, width, percent), "links")
-    comp = components(links)
+    links = _links(_possible(pairs, n_hot, percent, room), keyed, firsts, width, percent, room)
+    comp = components(links, room)
     # Columns of many classes that still hold several components: more leads while pairs would be many.
     for turn in range(1, TURNS + 1):
-        mixed = _mixed(hot, comp)
+        mixed = _mixed(hot, comp, room)
         sizes = mixed.groupBy("col", "comp").agg(F.count("*").alias("m")).groupBy("col")
         sizes = sizes.agg((F.sum("m") * F.sum("m") - F.sum(F.col("m") * F.col("m"))).alias("across"), F.sum("m").alias("cells"))
         across, n_cells = sizes.agg(F.coalesce(F.sum("across"), F.lit(0)), F.coalesce(F.sum("cells"), F.lit(0))).first()
@@ -260,11 +272,10 @@ def groups(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, text: st
             break
         led = _leads(mixed, turn, percent).join(met_cold.select("u", "v", F.col("shared").alias("more")), ["u", "v"], "left")
         led = led.withColumn("shared", F.coalesce("more", F.lit(0))).drop("more")
-        found = materialize(_links(_possible(led, n_hot, percent), keyed, members, width, percent), "links")
-        links = links.unionByName(found)
-        comp = components(links)
+        links = links.unionByName(_links(_possible(led, n_hot, percent, room), keyed, firsts, width, percent, room))
+        comp = components(links, room)
     # Then all pairs across components, each in the columns where it can first meet.
-    mixed = _mixed(hot, comp)
+    mixed = _mixed(hot, comp, room)
     other = mixed.withColumnsRenamed({"c": "v", "n": "nv", "pos": "posv", "comp": "compv"})
     mixed = mixed.withColumnsRenamed({"c": "u", "n": "nu", "pos": "posu", "comp": "compu"})
     need = _need(percent)
@@ -275,12 +286,14 @@ def groups(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, text: st
         & (F.col("posu") <= F.col("nu") - need)
         & (F.col("posv") <= F.col("nv") - need)
     )
-    across = materialize(across.select("u", "v").distinct(), "across")
-    comp = components(links.unionByName(_links(across, keyed, members, width, percent)))
+    across = materialize(across.select("u", "v").distinct(), f"{room}/across")
+    links = links.unionByName(_links(across, keyed, firsts, width, percent, room))
+    # Stored outside the room: the result below reads it.
+    comp = materialize(components(links, room), "components")
     named = classes.join(comp.withColumnRenamed("node", "c"), "c", "left").withColumn("comp", F.coalesce("comp", "c"))
-    tops = named.groupBy("comp").agg(F.min("least").alias("component_id"), F.min("first").alias("_top"))
+    tops = named.groupBy("comp").agg(F.min("least").alias("component_id"), F.min(F.struct("first.doc_id", "first.key")).alias("_top"))
     by_class = named.join(tops, "comp").select("a", "b", "n", "component_id", "_top")
-    out = rows.drop("cols").join(by_class, ["a", "b", "n"], "left")
+    out = rows.join(by_class, ["a", "b", "n"], "left")
     stays = (F.col("n") == 0) | F.struct("doc_id", "key").eqNullSafe(F.col("_top"))
     return out.select(
         "doc_id",
