@@ -7,7 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cpgloom.llm import chat, decontaminate, hash_forest, line_dedup, lm_score, ngram_join, quality, sentencepiece_fst, suffix_dedup, warc
+from cpgloom.llm import (
+    centroids,
+    chat,
+    decontaminate,
+    exact_dedup,
+    hash_forest,
+    line_dedup,
+    lm_score,
+    merkle,
+    ngram_join,
+    quality,
+    sentencepiece_fst,
+    suffix_dedup,
+    warc,
+)
 from cpgloom.llm.common import sha256_list
 from cpgloom.operators.sizing import sized
 from cpgloom.session import scratch_path
@@ -203,3 +217,123 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
     return chat.read_back(chat.render(turns))
+
+
+def _lloyd_sql(rounds: int = 10) -> str:
+    """Each round as two common tables: the centroids ``c<i>`` and the assignment ``a<i>``."""
+    parts = [
+        """v AS MATERIALIZED (
+      SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+      WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64)""",
+        "e AS MATERIALIZED (SELECT vec_id, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM v)",
+        """c0 AS MATERIALIZED (
+      SELECT k, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM (
+        SELECT row_number() OVER (ORDER BY sha256('3:' || vec_id), v) - 1 AS k, v FROM v WHERE vec_id IS NOT NULL) WHERE k < 8)""",
+    ]
+    for i in range(rounds + 1):
+        parts.append(
+            f"""a{i} AS MATERIALIZED (
+      SELECT vec_id, k, d FROM (SELECT vec_id, k, sum((e.x - c.x) * (e.x - c.x))::BIGINT AS d FROM e JOIN c{i} c USING (i) GROUP BY ALL)
+      QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY d, k) = 1)"""
+        )
+        if i < rounds:  # floor of the mean, also of negative sums
+            parts.append(
+                f"""c{i + 1} AS MATERIALIZED (
+      SELECT c.k, coalesce(s.x, c.x) AS x, c.i FROM c{i} c LEFT JOIN (
+        SELECT k, i, ((sum(x) - ((sum(x) % count(*)) + count(*)) % count(*)) // count(*))::BIGINT AS x FROM e JOIN a{i} USING (vec_id) GROUP BY ALL) s USING (k, i))"""
+            )
+    return f"""
+    WITH {", ".join(parts)},
+    named AS (SELECT k, sha256(string_agg(x::VARCHAR, ',' ORDER BY i)) AS h FROM c{rounds} GROUP BY k)
+    SELECT vec_id, k::INTEGER AS cluster, d AS distance, (sum(d) OVER (PARTITION BY k))::BIGINT AS cluster_inertia,
+           (sum(d) OVER ())::BIGINT AS inertia, h AS centroid_sha256
+    FROM a{rounds} JOIN named USING (k)"""
+
+
+@query("op11_centroid_clustering", _lloyd_sql())
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, centres = centroids.cluster(table(spark, sf_dir, "embeddings"))
+    return centroids.summarised(found, centres).select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
+
+
+def _merkle_sql(levels: int = 6) -> str:
+    """The tree level by level: ``t<i>`` within sources, ``u<i>`` above them; 16 ** levels rows a source at most."""
+
+    def field(c: str) -> str:
+        return f"coalesce(strlen({c}::VARCHAR)::VARCHAR || ':' || {c}::VARCHAR, '-')"
+
+    def hashed(text: str) -> str:
+        return "sha256(" + " || ".join([field("doc_id"), field("source"), field("lang"), field("n_chars"), field(text)]) + ")"
+
+    def tree(name: str, group: str, first: str) -> list[str]:
+        """Nodes of each level with their flanks; a level ends where one node is left."""
+        out = [f"{name}0 AS ({first})"]
+        for i in range(levels):
+            out.append(
+                f"""{name}r{i} AS (
+      SELECT g, pos // 16 AS run, list(h ORDER BY pos) AS hs, max(n) AS n FROM {name}{i} GROUP BY ALL)"""
+            )
+            out.append(
+                f"""{name}{i + 1} AS (
+      SELECT g, run AS pos, CASE WHEN n = 1 THEN hs[1] ELSE sha256(list_aggregate(hs, 'string_agg', '')) END AS h, (n + 15) // 16 AS n FROM {name}r{i})"""
+            )
+        return out
+
+    def climb(out: str, source: str, name: str, i: int) -> str:
+        """Rows one level higher: proof and folded digest grow by the flanks of the row's node."""
+        return f"""{out} AS (
+      SELECT x.* EXCLUDE (p, proof, f, before, after, single), p // 16 AS p, proof || before || after AS proof,
+             CASE WHEN single THEN f ELSE sha256(before || f || after) END AS f
+      FROM (SELECT s.*, r.n = 1 AS single,  -- of one node, no parent
+               coalesce(list_aggregate(r.hs[1 : (s.p % 16)::INTEGER], 'string_agg', ''), '') AS before,
+              coalesce(list_aggregate(r.hs[(s.p % 16)::INTEGER + 2 :], 'string_agg', ''), '') AS after
+            FROM {source} s JOIN {name}r{i} r ON s.g IS NOT DISTINCT FROM r.g AND s.p // 16 = r.run) x)"""
+
+    lower = hashed("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")
+    parts = [
+        f"""leaf AS (
+      SELECT doc_id, source, {hashed("text")} AS leaf, CASE WHEN cut THEN {lower} ELSE {hashed("text")} END AS f,
+             row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, {hashed("text")}) - 1 AS pos, count(*) OVER (PARTITION BY source) AS n
+      FROM (SELECT d.*, coalesce(crc % 5 = 0, false) AS cut FROM documents d LEFT JOIN crc USING (doc_id)))""",
+        *tree("t", "source", "SELECT source AS g, pos, leaf AS h, n FROM leaf"),
+        f"tops AS (SELECT g AS source, h FROM t{levels})",
+        *tree("u", "", "SELECT 0 AS g, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS pos, h, count(*) OVER () AS n FROM tops"),
+        "s0 AS (SELECT doc_id, source, leaf, source AS g, pos AS p, '' AS proof, f FROM leaf)",
+        *[climb(f"s{i + 1}", f"s{i}", "t", i) for i in range(levels)],
+        f"""w0 AS (
+      SELECT s.* EXCLUDE (g, p), 0 AS g, o.p, o.subroot FROM s{levels} s JOIN (
+        SELECT source, h AS subroot, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS p FROM tops) o ON s.source IS NOT DISTINCT FROM o.source)""",
+        *[climb(f"w{i + 1}", f"w{i}", "u", i) for i in range(levels)],
+    ]
+    return f"""
+    WITH RECURSIVE bytes AS (  -- CRC-32 of the decimal id, bit by bit
+      SELECT DISTINCT doc_id, doc_id::VARCHAR AS s FROM documents WHERE doc_id IS NOT NULL),
+    crc_steps AS (
+      SELECT doc_id, s, 0 AS i, 4294967295::BIGINT AS c FROM bytes
+      UNION ALL
+      SELECT doc_id, s, i + 1, CASE WHEN i % 9 = 0 THEN xor(c, ascii(s[i // 9 + 1])::BIGINT)
+                                    WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384::BIGINT) ELSE c >> 1 END
+      FROM crc_steps WHERE i < 9 * length(s)),
+    crc AS (SELECT doc_id, xor(c, 4294967295::BIGINT) AS crc FROM crc_steps WHERE i = 9 * length(s)),
+    {", ".join(parts)}
+    SELECT doc_id, leaf, subroot, (SELECT h FROM u{levels}) AS root, sha256(proof) AS proof_sha256, f AS folded_root, f = (SELECT h FROM u{levels}) AS verified
+    FROM w{levels}"""
+
+
+@query("op12_merkle_manifest", _merkle_sql())
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = merkle.manifest(table(spark, sf_dir, "documents"), tampered=merkle.lowered())
+    verified = F.col("folded_root") == F.col("root")
+    return found.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", verified.alias("verified"))
+
+
+@query(
+    "op13_exact_dedup",
+    """
+    SELECT doc_id, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
+           doc_id = max(doc_id) OVER (PARTITION BY t) AS kept, sha256(t) AS text_sha256
+    FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)""",
+)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = exact_dedup.mark_copies(table(spark, sf_dir, "documents"), carry=["doc_id"])
+    return found.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
