@@ -111,6 +111,8 @@ def manifest(
     leaves = rows.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{group}`").alias("source"), digest.alias("hash"), other.alias("other"))
     # A leaf that was not tampered with travels once.
     leaves = leaves.withColumn("other", F.when(F.col("other") != F.col("hash"), F.col("other")))
+    # Numbering reads its input twice; texts should be hashed once.
+    leaves = materialize(leaves, "merkle-hashes")
     placed = numbered(leaves, ["source"], ["doc_id", "hash"], "_rn", "n").withColumn("pos", F.col("_rn") - 1).drop("_rn")
     blocks = materialize(_blocks(placed, ["source"], ["doc_id", "other"]), "merkle-leaves")
     largest = blocks.agg(F.max("n")).first()[0] or 0
