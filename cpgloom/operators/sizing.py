@@ -15,8 +15,10 @@ def _field_bytes(field: T.StructField) -> Column:
     col = F.col(f"`{field.name}`")
     if isinstance(field.dataType, (T.StringType, T.BinaryType)):
         return F.coalesce(F.octet_length(col), F.lit(0)) + 16
-    if isinstance(field.dataType, T.ArrayType):
+    if isinstance(field.dataType, T.ArrayType) and isinstance(field.dataType.elementType, (T.NumericType, T.BooleanType)):
         return F.coalesce(F.size(col), F.lit(0)) * 8 + 24
+    if isinstance(field.dataType, (T.ArrayType, T.StructType, T.MapType)):  # nested values: as long as their text, and their headers
+        return F.coalesce(F.octet_length(col.cast("string")), F.lit(0)) * 2 + 64
     return F.lit(16)
 
 

@@ -99,3 +99,10 @@ def test_hot_group_is_spread_over_ranges(spark, monkeypatch):
         assert len(sizes) >= 3 and max(sizes) < 120_000
     finally:
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+
+
+def test_nested_columns_are_measured_by_what_they_hold(spark, monkeypatch):
+    long_lists = spark.range(50).selectExpr("id", "array(repeat('x', 1000), repeat('y', 1000)) as parts", "struct(repeat('z', 500) as a) as s")
+    monkeypatch.setattr(sizing, "BROADCAST_BYTES", 100_000)  # 50 rows of 2 500 characters
+    assert "broadcast" not in sizing.sized(long_lists)._jdf.queryExecution().logical().toString().lower()
+    assert "broadcast" in sizing.sized(long_lists.select("id"))._jdf.queryExecution().logical().toString().lower()
