@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from cpgloom.functions.scalars import digitize
 from cpgloom.operators.impute import neighbours
-from cpgloom.operators.linear import FoldSums, LinearFit, Penalised
+from cpgloom.operators.linear import LinearFit, Penalised, design_sums
 from cpgloom.operators.ordering import exact_quantiles
 from cpgloom.operators.sizing import sized
 from cpgloom.operators.splits import kfold, validation_split
@@ -53,7 +53,7 @@ class LinearModel(Model):
 
 
 class TunedElasticNet(Estimator):
-    """Strength and ratio by inner cross-validation; one pass over the rows."""
+    """Strength and ratio by inner cross-validation, for designs of any width."""
 
     def __init__(self, ratios: Sequence[float] = tuple(RATIOS), n_alphas: int = 50, folds: int = 3, seed: int = 42):
         super().__init__()
@@ -63,7 +63,7 @@ class TunedElasticNet(Estimator):
         rows = df.select("sample_id", "label", vector_to_array("features").alias("features"))
         # Row hashing is enough here: the inner folds only have to be fixed, not exactly equal.
         rows = rows.withColumn("fold", F.pmod(F.xxhash64("sample_id", F.lit(self.seed)), F.lit(self.folds)).cast("int"))
-        return LinearModel(FoldSums(rows).tune(self.ratios, self.n_alphas))
+        return LinearModel(design_sums(rows).tune(self.ratios, self.n_alphas))
 
 
 class NeighbourRegressor(Estimator):

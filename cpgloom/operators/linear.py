@@ -97,7 +97,15 @@ class LinearFit:
     rho: float | None = None
 
     def column(self, features: str = "features"):
-        """Prediction over an array column, as a Spark expression."""
+        """Prediction over an array column: a Spark expression, or an Arrow batch product where that would be too long."""
+        if len(self.coef) > MAX_FEATURES:
+            coef, shift = self.coef, self.intercept
+
+            @F.pandas_udf("double")
+            def product(x: pd.Series) -> pd.Series:
+                return pd.Series(np.vstack(x.to_numpy()) @ coef + shift if len(x) else [], dtype="float64")
+
+            return product(F.col(features))
         w = F.lit([float(c) for c in self.coef])
         dot = F.aggregate(F.zip_with(features, w, lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
         return dot + F.lit(float(self.intercept))
@@ -225,6 +233,24 @@ class FoldSums:
     def per_fold(self, alpha: float, rho: float | None, cols: Sequence[int] | None = None) -> dict[int, LinearFit]:
         return {f: self.fit(alpha, rho, cols, without=f) for f in self.folds}
 
+    def score(self, candidates: dict[str, tuple[float, float | None, Sequence[int] | None]]) -> DataFrame:
+        """``(name, n, mae, r2)`` of every (strength, ratio, features), each row predicted without its fold."""
+        return self.held_out_scores({name: self.per_fold(*one) for name, one in candidates.items()})
+
+
+def design_sums(rows: DataFrame):
+    """What a search runs on: cross products of the features, or of the samples where these are fewer.
+
+    ``rows``: (sample_id, label, fold, features ARRAY).  A width beyond ``MAX_FEATURES`` needs at most
+    ``sample_space.MAX_SAMPLES`` samples.
+    """
+    from cpgloom.operators.sample_space import MAX_SAMPLES, SampleSpace
+
+    size = rows.agg(F.max(F.size("features")).alias("width"), F.count("*").alias("n")).first()
+    if size["width"] <= MAX_FEATURES and (size["width"] <= size["n"] or size["n"] > MAX_SAMPLES):
+        return FoldSums(rows)
+    return SampleSpace.from_rows(rows)
+
 
 def random_penalties(n: int, seed: int, low: float = 1e-4, high: float = 10.0) -> list[tuple[float, float]]:
     """Seeded draws of (alpha log-uniform, rho uniform)."""
@@ -232,45 +258,40 @@ def random_penalties(n: int, seed: int, low: float = 1e-4, high: float = 10.0) -
     return [(float(np.exp(rng.uniform(np.log(low), np.log(high)))), float(rng.uniform(0.05, 1.0))) for _ in range(n)]
 
 
-def random_search(sums: FoldSums, n: int = 20, seed: int = 42) -> DataFrame:
-    """Trial table of a random search: one scoring pass for all trials, ranked by MAE."""
+def random_search(sums, n: int = 20, seed: int = 42) -> DataFrame:
+    """Trial table of a random search: all trials are scored together, ranked by MAE."""
     draws = random_penalties(n, seed)
-    scores = sums.held_out_scores({f"{i:04d}": sums.per_fold(a, rho) for i, (a, rho) in enumerate(draws)})
-    spark = sums.df.sparkSession
+    scores = sums.score({f"{i:04d}": (a, rho, None) for i, (a, rho) in enumerate(draws)})
+    spark = scores.sparkSession
     params = spark.createDataFrame([(f"{i:04d}", a, rho) for i, (a, rho) in enumerate(draws)], "name STRING, alpha DOUBLE, rho DOUBLE")
     return scores.join(F.broadcast(params), "name").withColumnRenamed("name", "trial").orderBy("mae", "trial")
 
 
-def eliminate(sums: FoldSums, step: int = 50, smallest: int = 50, alpha: float = 0.1, rho: float = 0.5) -> tuple[DataFrame, dict[str, list[int]]]:
+def eliminate(sums, step: int = 50, smallest: int = 50, alpha: float = 0.1, rho: float = 0.5) -> tuple[DataFrame, dict[str, list[int]]]:
     """Recursive elimination: drop the weakest weights step by step, score every size out of fold."""
     cols = list(range(sums.width))
     sizes: dict[str, list[int]] = {}
-    fits = {}
     while True:
-        name = f"{len(cols):05d}"
-        sizes[name] = list(cols)
-        fits[name] = sums.per_fold(alpha, rho, cols)
+        sizes[f"{len(cols):05d}"] = list(cols)
         if len(cols) <= smallest:
             break
         strength = np.abs(sums.fit(alpha, rho, cols).coef[cols])
         drop = min(step, len(cols) - smallest)
         weakest = set(np.argsort(strength, kind="stable")[:drop])
         cols = [c for i, c in enumerate(cols) if i not in weakest]
-    return sums.held_out_scores(fits).withColumn("n_features", F.col("name").cast("long")), sizes
+    scores = sums.score({name: (alpha, rho, kept) for name, kept in sizes.items()})
+    return scores.withColumn("n_features", F.col("name").cast("long")), sizes
 
 
-def k_sweep(sums: FoldSums, sizes: Sequence[int], alpha: float = 0.1, rho: float = 0.5) -> DataFrame:
-    """Score prefixes of a ranked feature list; every prefix is a corner of the same sums."""
-    fits = {f"{k:05d}": sums.per_fold(alpha, rho, range(min(k, sums.width))) for k in sizes}
-    return sums.held_out_scores(fits).withColumn("k", F.col("name").cast("long")).drop("name")
+def k_sweep(sums, sizes: Sequence[int], alpha: float = 0.1, rho: float = 0.5) -> DataFrame:
+    """Score prefixes of a ranked feature list; every prefix comes from the same sums."""
+    scores = sums.score({f"{k:05d}": (alpha, rho, range(min(k, sums.width))) for k in sizes})
+    return scores.withColumn("k", F.col("name").cast("long")).drop("name")
 
 
-def tuned_elastic_net(df: DataFrame, ratios: Sequence[float], n_alphas: int = 50, fold: str = "fold") -> LinearFit:
-    """Cross-validated elastic net on arrays; refuses widths where the sums stop being small."""
-    width = len(df.select("features").first()["features"])
-    if width > MAX_FEATURES:
-        raise ValueError(f"{width} features: use cross_validated() on vectors instead")
-    return FoldSums(df, fold=fold).tune(ratios, n_alphas)
+def tuned_elastic_net(df: DataFrame, ratios: Sequence[float], n_alphas: int = 50) -> LinearFit:
+    """Cross-validated elastic net on (sample_id, label, fold, features ARRAY) of any width."""
+    return design_sums(df).tune(ratios, n_alphas)
 
 
 def vector_arrays(df: DataFrame, col: str = "features") -> DataFrame:
