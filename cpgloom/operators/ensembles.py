@@ -5,9 +5,10 @@ All take ``(sample_id, label, features VECTOR)`` and add a ``prediction`` column
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
 
 import numpy as np
+import pandas as pd
 from pyspark.ml import Estimator, Model
 from pyspark.ml.classification import GBTClassifier, OneVsRest
 from pyspark.ml.feature import VectorAssembler
@@ -20,6 +21,7 @@ from cpgloom.functions.scalars import digitize
 from cpgloom.operators.impute import neighbours
 from cpgloom.operators.linear import LinearFit, Penalised, design_sums
 from cpgloom.operators.ordering import exact_quantiles
+from cpgloom.operators.saved import Saved
 from cpgloom.operators.sizing import sized
 from cpgloom.operators.splits import kfold, validation_split
 from cpgloom.session import materialize
@@ -37,12 +39,14 @@ def boosting(rounds: int = 100, depth: int = 3, rate: float = 0.1, rows: float =
     )
 
 
-class LinearModel(Model):
+class LinearModel(Model, Saved):
     """A :class:`LinearFit` over a vector column."""
 
-    def __init__(self, fit: LinearFit):
+    parts = ("fit_result",)
+
+    def __init__(self, fit_result: LinearFit):
         super().__init__()
-        self.fit_result = fit
+        self.fit_result = fit_result
 
     def _transform(self, df: DataFrame) -> DataFrame:
         return (
@@ -52,9 +56,11 @@ class LinearModel(Model):
         )
 
 
-class TunedElasticNet(Estimator):
+class TunedElasticNet(Estimator, Saved):
     """Strength and ratio by inner cross-validation, for designs of any width."""
 
+    parts = ("ratios", "n_alphas", "folds", "seed")
+
     def __init__(self, ratios: Sequence[float] = tuple(RATIOS), n_alphas: int = 50, folds: int = 3, seed: int = 42):
         super().__init__()
         self.ratios, self.n_alphas, self.folds, self.seed = list(ratios), n_alphas, folds, seed
@@ -66,9 +72,11 @@ class TunedElasticNet(Estimator):
         return LinearModel(design_sums(rows).tune(self.ratios, self.n_alphas))
 
 
-class NeighbourRegressor(Estimator):
+class NeighbourRegressor(Estimator, Saved):
     """Distance-weighted mean of the k nearest training labels."""
 
+    parts = ("k",)
+
     def __init__(self, k: int = 8):
         super().__init__()
         self.k = k
@@ -77,7 +85,9 @@ class NeighbourRegressor(Estimator):
         return NeighbourModel(df.select("sample_id", "label", vector_to_array("features").alias("features")), self.k)
 
 
-class NeighbourModel(Model):
+class NeighbourModel(Model, Saved):
+    parts = ("train", "k")
+
     def __init__(self, train: DataFrame, k: int):
         super().__init__()
         self.train, self.k = train, k
@@ -119,7 +129,9 @@ class ResidualLearner(Estimator):
         return ResidualModel(lin, trees, final)
 
 
-class ResidualModel(Model):
+class ResidualModel(Model, Saved):
+    parts = ("lin", "trees", "final")
+
     def __init__(self, lin: LinearModel, trees, final):
         super().__init__()
         self.lin, self.trees, self.final = lin, trees, final
@@ -175,25 +187,28 @@ class Stacking(Estimator):
         wide = wide.select("sample_id", *[F.col(n).alias(f"p_{n}") for n in self.base])
         # The final fit reads this several times: predict once.
         staged = materialize(rows.join(wide, "sample_id"), "stacked")
-        final = Penalised(self.meta_alpha).fit(self._assemble(staged))
-        return StackedModel({n: e.fit(rows) for n, e in self.base.items()}, final, self)
+        final = Penalised(self.meta_alpha).fit(_assembled(staged, self.base, self.passthrough))
+        return StackedModel({n: e.fit(rows) for n, e in self.base.items()}, final, self.passthrough)
+
+
+def _assembled(staged: DataFrame, names: Iterable[str], passthrough: bool) -> DataFrame:
+    inputs = [f"p_{n}" for n in names] + (["_raw"] if passthrough else [])
+    staged = staged.withColumnRenamed("features", "_raw")
+    return VectorAssembler(inputCols=inputs, outputCol="features").transform(staged)
 
-    def _assemble(self, staged: DataFrame) -> DataFrame:
-        inputs = [f"p_{n}" for n in self.base] + (["_raw"] if self.passthrough else [])
-        staged = staged.withColumnRenamed("features", "_raw")
-        return VectorAssembler(inputCols=inputs, outputCol="features").transform(staged)
 
+class StackedModel(Model, Saved):
+    parts = ("models", "final", "passthrough")
 
-class StackedModel(Model):
-    def __init__(self, models: dict[str, Model], final, parent: Stacking):
+    def __init__(self, models: dict[str, Model], final: Model, passthrough: bool):
         super().__init__()
-        self.models, self.final, self.owner = models, final, parent
+        self.models, self.final, self.passthrough = models, final, passthrough
 
     def _transform(self, df: DataFrame) -> DataFrame:
         staged = df
         for name, m in self.models.items():
             staged = m.transform(staged).withColumnRenamed("prediction", f"p_{name}")
-        out = self.final.transform(self.owner._assemble(staged))
+        out = self.final.transform(_assembled(staged, self.models, self.passthrough))
         return out.drop("features", *[f"p_{n}" for n in self.models]).withColumnRenamed("_raw", "features")
 
 
@@ -229,7 +244,9 @@ class BandCorrection(Estimator):
         return BandModel(model, fixes, self.bands)
 
 
-class BandModel(Model):
+class BandModel(Model, Saved):
+    parts = ("model", "fixes", "bands")
+
     def __init__(self, model: Model, fixes: dict, bands: list):
         super().__init__()
         self.model, self.fixes, self.bands = model, fixes, bands
@@ -266,7 +283,9 @@ class SegmentedModel(Estimator):
         return SegmentedFit(router, per_band)
 
 
-class SegmentedFit(Model):
+class SegmentedFit(Model, Saved):
+    parts = ("router", "per_band")
+
     def __init__(self, router, per_band: dict):
         super().__init__()
         self.router, self.per_band = router, per_band
@@ -292,7 +311,9 @@ class TransformedTarget(Estimator):
         return TransformedModel(self.base.fit(df.withColumn("label", self.forward("label"))), self.inverse)
 
 
-class TransformedModel(Model):
+class TransformedModel(Model, Saved):
+    parts = ("model", "inverse")
+
     def __init__(self, model: Model, inverse):
         super().__init__()
         self.model, self.inverse = model, inverse
@@ -327,7 +348,9 @@ def _spline_columns(df: DataFrame, knots: list[list[float]]) -> DataFrame:
     return df.withColumn("features", array_to_vector(expanded))
 
 
-class SplineModel(Model):
+class SplineModel(Model, Saved):
+    parts = ("knots", "model")
+
     def __init__(self, knots: list, model: Model):
         super().__init__()
         self.knots, self.model = knots, model
@@ -337,29 +360,27 @@ class SplineModel(Model):
         return out.drop("features").withColumnRenamed("_keep", "features")
 
 
-class FourierRidge(Estimator):
+class FourierRidge(Estimator, Saved):
     """Smooth non-linear regression: random cosine features of an RBF kernel, then ridge.
 
     The projection is drawn from the seed on the driver and shipped once per task.
     """
 
+    parts = ("size", "gamma", "alpha", "seed")
+
     def __init__(self, size: int = 200, gamma: float = 0.05, alpha: float = 1.0, seed: int = 42):
         super().__init__()
         self.size, self.gamma, self.alpha, self.seed = size, gamma, alpha, seed
 
     def lift(self, df: DataFrame) -> DataFrame:
-        size, gamma, seed = self.size, self.gamma, self.seed
+        first = df.select("features").first()
+        size, rng = self.size, np.random.default_rng(self.seed)
+        w = rng.normal(0.0, np.sqrt(2.0 * self.gamma), (0 if first is None else len(first["features"]), size))
+        b = rng.uniform(0.0, 2.0 * np.pi, size)
 
         @F.pandas_udf("array<double>")
-        def project(v):
-            if not len(v):
-                return v
-            x = np.vstack(v.to_numpy())
-            rng = np.random.default_rng(seed)
-            w = rng.normal(0.0, np.sqrt(2.0 * gamma), (x.shape[1], size))
-            b = rng.uniform(0.0, 2.0 * np.pi, size)
-            z = np.sqrt(2.0 / size) * np.cos(x @ w + b)
-            return type(v)(list(z))
+        def project(v: pd.Series) -> pd.Series:
+            return pd.Series(list(np.sqrt(2.0 / size) * np.cos(np.vstack(v.to_numpy()) @ w + b))) if len(v) else v
 
         return df.withColumn("features", array_to_vector(project(vector_to_array("features"))))
 
@@ -367,7 +388,9 @@ class FourierRidge(Estimator):
         return FourierModel(self, Penalised(self.alpha).fit(self.lift(df)))
 
 
-class FourierModel(Model):
+class FourierModel(Model, Saved):
+    parts = ("owner", "model")
+
     def __init__(self, owner: FourierRidge, model: Model):
         super().__init__()
         self.owner, self.model = owner, model
