@@ -66,3 +66,9 @@ def materialize(df: DataFrame, label: str = "stage") -> DataFrame:
     path = scratch_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def drop_scratch(spark: SparkSession, label: str) -> None:
+    """Remove a folder that :func:`materialize` filled under ``label``, from whatever store holds it."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{scratch_folder(spark)}/{label}")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
