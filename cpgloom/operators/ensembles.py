@@ -6,19 +6,22 @@ All take ``(sample_id, label, features VECTOR)`` and add a ``prediction`` column
 from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.ml import Estimator, Model
-from pyspark.ml.classification import GBTClassifier, OneVsRest
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
+from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cpgloom.functions.scalars import digitize
+from cpgloom.operators.boosted import BoostedModel, BoostedTrees, Settings, fit_together
 from cpgloom.operators.impute import neighbours
+from cpgloom.operators.kernel import KernelRegressor
 from cpgloom.operators.linear import LinearFit, Penalised, design_sums
 from cpgloom.operators.ordering import exact_quantiles
 from cpgloom.operators.saved import Saved
@@ -33,10 +36,25 @@ def forest(trees: int = 100, depth: int = 10, min_leaf: int = 2, seed: int = 42)
     return RandomForestRegressor(numTrees=trees, maxDepth=depth, minInstancesPerNode=min_leaf, seed=seed)
 
 
-def boosting(rounds: int = 100, depth: int = 3, rate: float = 0.1, rows: float = 0.8, cols: str = "0.8", seed: int = 42, label: str = "label") -> GBTRegressor:
-    return GBTRegressor(
-        labelCol=label, maxIter=rounds, maxDepth=depth, stepSize=rate, subsamplingRate=rows, featureSubsetStrategy=cols, seed=seed
-    )
+def boosting(rounds: int = 100, depth: int = 3, rate: float = 0.1, rows: float = 0.8, cols: float = 0.8, seed: int = 42, label: str = "label", **told) -> BoostedTrees:
+    return BoostedTrees(rounds=rounds, depth=depth, rate=rate, rows=rows, cols=cols, seed=seed, label=label, **told)
+
+
+# Fits that run side by side where an estimator has no way to fit several data sets at once.
+THREADS = 4
+
+
+def fit_each(est: Estimator, parts: dict[int, DataFrame]) -> dict[int, Model]:
+    """One model for each numbered data set."""
+    if hasattr(est, "fit_many"):
+        return est.fit_many(parts)
+    with ThreadPoolExecutor(THREADS) as pool:
+        return dict(zip(parts, pool.map(est.fit, parts.values()), strict=True))
+
+
+def numbered_union(parts: dict[int, DataFrame], *columns: str) -> DataFrame:
+    """The data sets as one, with their number as ``model``."""
+    return reduce(DataFrame.unionByName, [df.select(F.lit(k).alias("model"), *columns) for k, df in parts.items()])
 
 
 class LinearModel(Model, Saved):
@@ -105,28 +123,45 @@ class NeighbourModel(Model, Saved):
         return df.join(out, "sample_id", "left").withColumn("prediction", F.coalesce("prediction", F.lit(mean)))
 
 
-class ResidualLearner(Estimator):
+class ResidualLearner(Estimator, Saved):
     """Linear model, boosted trees on its residuals, then a two-weight recalibration.
 
     The rows that stop the boosting come out of the training rows; neither the linear model nor
-    the trees are fitted on them.
+    the trees are fitted on them.  Several data sets grow their trees together.
     """
 
-    def __init__(self, rounds: int = 300, depth: int = 3, rate: float = 0.03, n_alphas: int = 50, seed: int = 7):
+    parts = ("rounds", "depth", "rate", "n_alphas", "seed", "rows", "cols", "l1", "l2", "min_child", "patience")
+
+    def __init__(
+        self, rounds: int = 300, depth: int = 3, rate: float = 0.03, n_alphas: int = 50, seed: int = 7, rows: float = 0.7, cols: float = 0.5,
+        l1: float = 10.0, l2: float = 50.0, min_child: float = 10.0, patience: int = 30,
+    ):
         super().__init__()
         self.rounds, self.depth, self.rate, self.n_alphas, self.seed = rounds, depth, rate, n_alphas, seed
+        self.rows, self.cols, self.l1, self.l2, self.min_child, self.patience = rows, cols, l1, l2, min_child, patience
 
     def _fit(self, df: DataFrame) -> ResidualModel:
-        rows = materialize(validation_split(df.select("sample_id", "label", "features"), seed=self.seed), "residual")
-        lin = TunedElasticNet(n_alphas=self.n_alphas).fit(rows.where("not is_validation"))
-        resid = lin.transform(rows).select(
-            "sample_id", "label", "features", "is_validation", F.col("prediction").alias("p_lin"), (F.col("label") - F.col("prediction")).alias("residual")
+        return self.fit_many({0: df})[0]
+
+    def fit_many(self, parts: dict[int, DataFrame]) -> dict[int, ResidualModel]:
+        every = numbered_union(parts, "sample_id", "label", "features")
+        rows = materialize(validation_split(every, seed=self.seed, group=["model"]), "residual")
+        mine = {k: rows.where(F.col("model") == k) for k in parts}
+        lin = fit_each(TunedElasticNet(n_alphas=self.n_alphas), {k: df.where("not is_validation") for k, df in mine.items()})
+        resid = numbered_union({k: lin[k].transform(df) for k, df in mine.items()}, "sample_id", "label", "features", "is_validation", F.col("prediction").alias("p_lin"))
+        resid = materialize(resid, "residuals")
+        settings = Settings(
+            self.rounds, self.depth, self.rate, self.rows, self.cols, self.l1, self.l2, self.min_child, patience=self.patience, seed=self.seed
         )
-        trees = boosting(self.rounds, self.depth, self.rate, 0.7, "0.5", label="residual").setValidationIndicatorCol("is_validation")
-        trees = trees.fit(resid)
-        both = trees.transform(resid).select("label", array_to_vector(F.array("p_lin", "prediction")).alias("features"))
-        final = Penalised(0.0).fit(both)
-        return ResidualModel(lin, trees, final)
+        left = resid.select("model", "sample_id", (F.col("label") - F.col("p_lin")).alias("label"), "features", F.col("is_validation").alias("held"))
+        trees = fit_together(left, settings)
+
+        def recalibrated(k: int) -> DataFrame:
+            both = trees[k].transform(resid.where(F.col("model") == k))
+            return both.select("label", array_to_vector(F.array("p_lin", "prediction")).alias("features"))
+
+        final = fit_each(Penalised(0.0), {k: recalibrated(k) for k in parts})
+        return {k: ResidualModel(lin[k], trees[k], final[k]) for k in parts}
 
 
 class ResidualModel(Model, Saved):
@@ -153,7 +188,7 @@ class ResidualModel(Model, Saved):
             "alpha": fit.alpha,
             "l1_ratio": fit.rho,
             "n_nonzero": int(np.sum(fit.coef != 0)),
-            "n_trees": int(self.trees.getNumTrees),
+            "n_trees": int(self.trees.n_trees),
             "w_linear": float(self.final.coefficients[0]),
             "w_residual": float(self.final.coefficients[1]),
             "bias": float(self.final.intercept),
@@ -162,33 +197,59 @@ class ResidualModel(Model, Saved):
 
 def out_of_fold(df: DataFrame, estimators: dict[str, Estimator], folds: Sequence[int], fold: str = "fold") -> DataFrame:
     """``(model, sample_id, fold, y_true, y_pred)``: every sample predicted by models that never saw it."""
-    out = None
-    for f in folds:
-        train, test = df.where(F.col(fold) != f), df.where(F.col(fold) == f)
-        for name, est in estimators.items():
-            part = est.fit(train).transform(test).select(
-                F.lit(name).alias("model"), "sample_id", fold, F.col("label").alias("y_true"), F.col("prediction").alias("y_pred")
-            )
-            out = part if out is None else out.unionByName(part)
-    return out
+    train = {f: df.where(F.col(fold) != f) for f in folds}
+    out = []
+    for name, est in estimators.items():
+        for f, model in fit_each(est, train).items():
+            part = model.transform(df.where(F.col(fold) == f))
+            out.append(part.select(F.lit(name).alias("model"), "sample_id", fold, F.col("label").alias("y_true"), F.col("prediction").alias("y_pred")))
+    return reduce(DataFrame.unionByName, out)
 
 
 class Stacking(Estimator):
-    """Base models, their out-of-fold predictions as features, a ridge on top."""
+    """Base models, their out-of-fold predictions as features, a ridge on top.
+
+    ``meta_alpha`` is the ridge's strength, or a list of which cross-validation picks one.  All data sets and all inner
+    folds of a base model are fitted in one go.
+    """
 
-    def __init__(self, base: dict[str, Estimator], meta_alpha: float = 1.0, folds: int = 3, passthrough: bool = False, seed: int = 11):
+    def __init__(self, base: dict[str, Estimator], meta_alpha: float | Sequence[float] = 1.0, folds: int = 3, passthrough: bool = False, seed: int = 11):
         super().__init__()
         self.base, self.meta_alpha, self.folds, self.passthrough, self.seed = base, meta_alpha, folds, passthrough, seed
 
     def _fit(self, df: DataFrame) -> StackedModel:
-        rows = materialize(kfold(df.select("sample_id", "label", "features"), self.folds, self.seed, out="_fold"), "stacking")
-        oof = out_of_fold(rows, self.base, range(self.folds), "_fold")
-        wide = oof.groupBy("sample_id").pivot("model", list(self.base)).agg(F.first("y_pred"))
-        wide = wide.select("sample_id", *[F.col(n).alias(f"p_{n}") for n in self.base])
+        return self.fit_many({0: df})[0]
+
+    def fit_many(self, parts: dict[int, DataFrame]) -> dict[int, StackedModel]:
+        every = numbered_union(parts, "sample_id", "label", "features")
+        rows = materialize(kfold(every, self.folds, self.seed, group=["model"], out="_fold"), "stacking")
+        # The last set of every model is all its rows; the others lack one fold each.
+        step = self.folds + 1
+        sets = {k * step + f: rows.where((F.col("model") == k) & (F.col("_fold") != f)).drop("model") for k in parts for f in range(step)}
+        fitted = {name: fit_each(est, sets) for name, est in self.base.items()}
+        pieces = []
+        for k in parts:
+            for f in range(self.folds):
+                part = rows.where((F.col("model") == k) & (F.col("_fold") == f))
+                for name in self.base:
+                    part = fitted[name][k * step + f].transform(part).withColumnRenamed("prediction", f"p_{name}")
+                pieces.append(part)
         # The final fit reads this several times: predict once.
-        staged = materialize(rows.join(wide, "sample_id"), "stacked")
-        final = Penalised(self.meta_alpha).fit(_assembled(staged, self.base, self.passthrough))
-        return StackedModel({n: e.fit(rows) for n, e in self.base.items()}, final, self.passthrough)
+        staged = materialize(reduce(DataFrame.unionByName, pieces), "stacked")
+        out = {}
+        for k in parts:
+            mine = _assembled(staged.where(F.col("model") == k), self.base, self.passthrough)
+            final = Penalised(self._strength(mine)).fit(mine)
+            out[k] = StackedModel({name: fitted[name][k * step + self.folds] for name in self.base}, final, self.passthrough)
+        return out
+
+    def _strength(self, mine: DataFrame) -> float:
+        """The ridge's strength: as told, or that of the smallest squared error over the folds."""
+        if not isinstance(self.meta_alpha, Sequence):
+            return self.meta_alpha
+        rows = mine.select("sample_id", "label", F.col("_fold").cast("int").alias("fold"), vector_to_array("features").alias("features"))
+        sums = design_sums(rows)
+        return float(list(self.meta_alpha)[int(np.argmin(sums.ridge_errors(self.meta_alpha)))])
 
 
 def _assembled(staged: DataFrame, names: Iterable[str], passthrough: bool) -> DataFrame:
@@ -212,17 +273,35 @@ class StackedModel(Model, Saved):
         return out.drop("features", *[f"p_{n}" for n in self.models]).withColumnRenamed("_raw", "features")
 
 
-def stacking_presets(scale: float = 1.0) -> dict[str, Stacking]:
-    """Linear, tree, mixed and full ensembles; ``scale`` shrinks tree counts for small runs."""
-    n = max(2, int(100 * scale))
-    lin = {"ridge": Penalised(1.0), "lasso": Penalised(0.1, 1.0), "enet": Penalised(0.1, 0.5)}
-    trees = {"forest": forest(n, 6), "boost": boosting(n, 3, 0.1)}
+# Strengths from which the published stacks draw their meta penalty: 20, log-spaced.
+META_ALPHAS = tuple(float(a) for a in np.logspace(-3, 3, 20))
+
+
+def stack_members(rounds: int = 200) -> dict[str, Estimator]:
+    """Base models of the published stacks; ``rounds`` is the number of trees of each tree model."""
     return {
-        "linear": Stacking(lin, 1.0),
-        "trees": Stacking(trees, 1.0),
-        "mixed": Stacking({"ridge": lin["ridge"], "boost": trees["boost"]}, 1.0),
-        "full": Stacking({**lin, **trees, "knn": NeighbourRegressor(8)}, 1.0, passthrough=True),
+        "enet": Penalised(0.1, 0.5),
+        "ridge": Penalised(1.0),
+        "lasso": Penalised(0.1, 1.0),
+        "svr": KernelRegressor(c=1.0, epsilon=0.1),
+        "knn": NeighbourRegressor(10),
+        "forest": forest(rounds, 10, 3),
+        "gbr": boosting(rounds, 3, 0.05, 0.8, 1.0, l2=0.0),
+        "xgb": boosting(rounds, 3, 0.05, 1.0, 1.0),
+        "lgbm": boosting(rounds, 5, 0.05, 1.0, 1.0, l2=0.0, min_child=20.0),
+    }
+
+
+def stacking_presets(rounds: int = 200) -> dict[str, Stacking]:
+    """Linear, tree, mixed and full ensembles: five inner folds, the meta penalty picked by cross-validation."""
+    m = stack_members(rounds)
+    members = {
+        "linear": ["enet", "ridge", "lasso"],
+        "trees": ["forest", "gbr", "xgb", "lgbm"],
+        "mixed": ["enet", "svr", "forest", "xgb"],
+        "full": list(m),
     }
+    return {name: Stacking({x: m[x] for x in mine}, META_ALPHAS, 5, passthrough=name == "full") for name, mine in members.items()}
 
 
 class BandCorrection(Estimator):
@@ -261,43 +340,46 @@ class BandModel(Model, Saved):
         return out.withColumn("prediction", F.col("_base") + shift).drop("_base", "_band", *[f"_fix{i}" for i in self.fixes])
 
 
-class SegmentedModel(Estimator):
-    """Classify the age band with boosted trees, then predict with that band's linear model."""
+class SegmentedModel(Estimator, Saved):
+    """Classify the age band with boosted trees, then predict with that band's linear model.
+
+    One logistic model a band, grown together; the band of the largest margin wins.
+    """
+
+    parts = ("edges", "rounds", "smallest", "n_alphas")
 
     def __init__(self, edges: Sequence[float] = (40, 65), rounds: int = 50, smallest: int = 10, n_alphas: int = 30):
         super().__init__()
         self.edges, self.rounds, self.smallest, self.n_alphas = list(edges), rounds, smallest, n_alphas
 
     def _fit(self, df: DataFrame) -> SegmentedFit:
-        rows = df.select("sample_id", "features", "label", digitize("label", self.edges).cast("double").alias("band"))
+        rows = df.select("sample_id", "features", "label", digitize("label", self.edges).alias("band"))
         rows = materialize(rows, "segments")
-        overall = TunedElasticNet(n_alphas=self.n_alphas).fit(rows)
+        bands = range(len(self.edges) + 1)
         sizes = {int(r["band"]): r["count"] for r in rows.groupBy("band").count().collect()}  # one row per band
-        per_band = {
-            b: TunedElasticNet(n_alphas=self.n_alphas).fit(rows.where(F.col("band") == b)) if sizes.get(b, 0) >= self.smallest else overall
-            for b in range(len(self.edges) + 1)
-        }
-        router = OneVsRest(
-            classifier=GBTClassifier(maxIter=self.rounds, maxDepth=3, seed=42), labelCol="band", predictionCol="_route"
-        ).fit(rows.select("features", "band"))
-        return SegmentedFit(router, per_band)
+        large = [b for b in bands if sizes.get(b, 0) >= self.smallest]
+        found = fit_each(TunedElasticNet(n_alphas=self.n_alphas), {-1: rows} | {b: rows.where(F.col("band") == b) for b in large})
+        each = rows.withColumn("model", F.explode(F.array(*[F.lit(b) for b in bands])))
+        each = each.select("model", "sample_id", "features", (F.col("band") == F.col("model")).cast("double").alias("label"), F.lit(False).alias("held"))
+        router = fit_together(each, Settings(self.rounds, 3, 0.1, l2=0.0, objective="logistic"))
+        return SegmentedFit(router, {b: found.get(b, found[-1]) for b in bands})
 
 
 class SegmentedFit(Model, Saved):
     parts = ("router", "per_band")
 
-    def __init__(self, router, per_band: dict):
+    def __init__(self, router: dict[int, BoostedModel], per_band: dict[int, LinearModel]):
         super().__init__()
         self.router, self.per_band = router, per_band
 
     def _transform(self, df: DataFrame) -> DataFrame:
-        out = self.router.transform(df)
-        out = out.withColumn("_x", vector_to_array("features"))
+        margins = F.array(*[self.router[b].column() for b in sorted(self.router)])
+        out = df.withColumn("_m", margins).withColumn("_x", vector_to_array("features"))
+        out = out.withColumn("_route", F.array_position("_m", F.array_max("_m")) - 1)
         pred = F.lit(None).cast("double")
         for b, m in self.per_band.items():
             pred = F.when(F.col("_route") == b, m.fit_result.column("_x")).otherwise(pred)
-        keep = [c for c in df.columns]
-        return out.select(*keep, F.col("_route").cast("long").alias("segment"), pred.alias("prediction"))
+        return out.select(*df.columns, F.col("_route").cast("long").alias("segment"), pred.alias("prediction"))
 
 
 class TransformedTarget(Estimator):

@@ -188,6 +188,16 @@ class FoldSums:
                 best = (err[i], float(alphas[i]), rho)
         return self.fit(best[1], best[2], cols)
 
+    def ridge_errors(self, alphas: Sequence[float]) -> np.ndarray:
+        """Mean squared error out of fold of every ridge strength, averaged over the folds."""
+        cols, err = np.arange(self.width), np.zeros(len(alphas))
+        for f in self.folds:
+            n, mx, my, c, b = self._parts(cols, f)
+            values, vectors = np.linalg.eigh(c)
+            w = vectors @ ((vectors.T @ b)[:, None] / np.maximum(values[:, None] + np.asarray(alphas) / n, 1e-12))
+            err += self._mse(f, cols, w, my - mx @ w) / len(self.folds)
+        return err
+
     def _mse(self, f: int, cols: np.ndarray, w: np.ndarray, shift: np.ndarray) -> np.ndarray:
         g = self.sums[f]
         pick = np.concatenate([[0], cols + 1])

@@ -50,8 +50,10 @@ def repeated_kfold(ids: DataFrame, k: int = 5, repeats: int = 3, seed: int = 42,
     return rows.withColumn("fold", (F.col("_rn") - 1) % k).select(*ids.columns, "repeat", "fold")
 
 
-def validation_split(train: DataFrame, seed: int = 7, id_col: str = "sample_id", out: str = "is_validation") -> DataFrame:
-    """Carve max(20, n div 5) validation rows out of the training rows."""
-    rows = numbered(train.withColumn("_key", shuffle_key(id_col, seed)), [], ["_key", id_col], "_rn", "_n")
+def validation_split(
+    train: DataFrame, seed: int = 7, id_col: str = "sample_id", out: str = "is_validation", group: Sequence[str] = ()
+) -> DataFrame:
+    """Carve max(20, n div 5) validation rows out of the training rows (of each group)."""
+    rows = numbered(train.withColumn("_key", shuffle_key(id_col, seed)), group, ["_key", id_col], "_rn", "_n")
     held = F.greatest(F.lit(20), F.floor(F.col("_n") / 5))
     return rows.withColumn(out, F.col("_rn") <= held).select(*train.columns, out)
