@@ -5,7 +5,7 @@ All take ``(sample_id, label, features VECTOR)`` and add a ``prediction`` column
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
@@ -44,12 +44,17 @@ def boosting(rounds: int = 100, depth: int = 3, rate: float = 0.1, rows: float =
 THREADS = 4
 
 
+def side_by_side(calls: Sequence[Callable]) -> list:
+    """What the calls return, a few at a time."""
+    with ThreadPoolExecutor(THREADS) as pool:
+        return list(pool.map(lambda f: f(), calls))
+
+
 def fit_each(est: Estimator, parts: dict[int, DataFrame]) -> dict[int, Model]:
     """One model for each numbered data set."""
     if hasattr(est, "fit_many"):
         return est.fit_many(parts)
-    with ThreadPoolExecutor(THREADS) as pool:
-        return dict(zip(parts, pool.map(est.fit, parts.values()), strict=True))
+    return dict(zip(parts, side_by_side([lambda df=df: est.fit(df) for df in parts.values()]), strict=True))
 
 
 def numbered_union(parts: dict[int, DataFrame], *columns: str) -> DataFrame:

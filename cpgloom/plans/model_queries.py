@@ -155,9 +155,9 @@ def _(spark, d):
   JOIN k5 ON k5.sample_id = b.sample_id WHERE k5.fold <> 0 GROUP BY b.probe_ord),
 cells AS (SELECT b.sample_id, b.probe_ord, k5.age AS y_true, coef, center, coalesce(b.beta, center) AS x, i AS iteration,
   CAST(('0x' || substr(md5(b.sample_id || '|' || b.probe_ord || '|' || i), 1, 8)) AS BIGINT) / 4294967296.0::DOUBLE AS u
-  FROM beta_long b JOIN coefs c ON c.probe_ord = b.probe_ord JOIN k5 ON k5.sample_id = b.sample_id, range(5) t(i) WHERE k5.fold = 0),
+  FROM beta_long b JOIN coefs c ON c.probe_ord = b.probe_ord JOIN k5 ON k5.sample_id = b.sample_id, range(30) t(i) WHERE k5.fold = 0),
 p AS (SELECT sample_id, iteration, g AS rate, any_value(y_true) AS y_true, sum(coef * CASE WHEN u < g THEN center ELSE x END) + 50.0::DOUBLE AS y_pred
-  FROM cells, (SELECT unnest([0.0, 0.1, 0.5, 0.9]::DOUBLE[]) AS g) GROUP BY sample_id, iteration, g),
+  FROM cells, (SELECT unnest([0.0, 0.1, 0.2, 0.3, 0.5, 0.7, 0.9, 0.95]::DOUBLE[]) AS g) GROUP BY sample_id, iteration, g),
 e AS (SELECT rate, iteration, avg(abs(y_pred - y_true)) AS mae FROM p GROUP BY rate, iteration)
 SELECT rate AS missing_rate, {r('avg(mae)', 6)} AS mae_mean, {r('stddev_pop(mae)', 6)} AS mae_std, {r('quantile_cont(mae, 0.5)', 6)} AS mae_median FROM e GROUP BY rate""",
     "annot beta_long clock_coef",
@@ -166,7 +166,7 @@ def _(spark, d):
     cells = materialize(folded_cells(spark, d).withColumnRenamed("age", "y_true"), "cells")
     one = v.clock_coef(spark, d).where("clock = 'clock2'").join(v.probes(spark, d), "probe_id").select("probe_ord", "coef")
     centers = cells.where("fold <> 0").groupBy("probe_ord").agg(F.avg("beta").alias("center"))
-    out = ck.robustness(cells.where("fold = 0"), one.join(centers, "probe_ord"), 50.0, [0.0, 0.1, 0.5, 0.9], 5)
+    out = ck.robustness(cells.where("fold = 0"), one.join(centers, "probe_ord"), 50.0, [0.0, 0.1, 0.2, 0.3, 0.5, 0.7, 0.9, 0.95], 30)
     return rounded(out, digits=6)
 
 
@@ -228,12 +228,12 @@ def _(spark, d):
 
 @query("m03_random_forest")
 def _(spark, d):
-    return fit_and_predict(spark, d, en.forest(20, 6))
+    return fit_and_predict(spark, d, en.forest(100, 10))
 
 
 @query("m04_gradient_boosting")
 def _(spark, d):
-    return fit_and_predict(spark, d, en.boosting(15, 3))
+    return fit_and_predict(spark, d, en.boosting(100, 3))
 
 
 KNN_SQL = f"""WITH {TRAIN_SQL}, s AS (SELECT probe_ord, {R_SQL} AS r, avg(beta) AS mu FROM train GROUP BY probe_ord),
@@ -255,20 +255,20 @@ def _(spark, d):
 
 @query("m06_residual_learning")
 def _(spark, d):
-    return fit_and_predict(spark, d, en.ResidualLearner(rounds=15, rate=0.1))
+    return fit_and_predict(spark, d, en.ResidualLearner())
 
 
 @query("m07_residual_fit_report")
 def _(spark, d):
     rows = split_design(spark, d)
-    info = en.ResidualLearner(rounds=10, rate=0.1).fit(rows.where("split = 'train'")).info()
+    info = en.ResidualLearner().fit(rows.where("split = 'train'")).info()
     # One fitted model, one row.
     return spark.createDataFrame([tuple(info.values())], "alpha DOUBLE, l1_ratio DOUBLE, n_nonzero INT, n_trees INT, w_linear DOUBLE, w_residual DOUBLE, bias DOUBLE")
 
 
 @query("m08_stacking")
 def _(spark, d):
-    return fit_and_predict(spark, d, en.stacking_presets(0.1)["mixed"])
+    return fit_and_predict(spark, d, en.stacking_presets()["mixed"])
 
 
 @query("m09_band_correction")
@@ -278,7 +278,7 @@ def _(spark, d):
 
 @query("m10_segmented_models")
 def _(spark, d):
-    return fit_and_predict(spark, d, en.SegmentedModel(rounds=5))
+    return fit_and_predict(spark, d, en.SegmentedModel(rounds=50))
 
 
 @query("m11_recursive_elimination")
@@ -299,15 +299,15 @@ def _(spark, d):
 
 @query("m14_polynomial_elastic_net")
 def _(spark, d):
-    rows = split_design(spark, d, 10)
-    wide = rows.withColumn("features", array_to_vector(sc.polynomial2(vector_to_array("features"))))
-    model = en.TunedElasticNet(n_alphas=20).fit(wide.where("split = 'train'"))
+    rows = split_design(spark, d, 50)
+    wide = materialize(rows.withColumn("features", array_to_vector(sc.polynomial2(vector_to_array("features")))), "products")
+    model = en.TunedElasticNet([0.5], 100, 5).fit(wide.where("split = 'train'"))
     return model.transform(wide).select("sample_id", "split", F.col("label").alias("y_true"), F.col("prediction").alias("y_pred"))
 
 
 @query("m15_spline_ridge")
 def _(spark, d):
-    return fit_and_predict(spark, d, en.SplineRidge(), k=10)
+    return fit_and_predict(spark, d, en.SplineRidge(), k=20)
 
 
 @query("m16_fourier_ridge")
@@ -369,11 +369,12 @@ JOIN k5 ON k5.sample_id = b.sample_id GROUP BY k5.fold""",
 )
 def _(spark, d):
     cells = materialize(folded_cells(spark, d), "cells")
+    base = materialize(fw.fold_statistics(cells), "fold-statistics")
     out = None
     for f in range(5):
         own = F.col("fold") == f
         bent = cells.withColumns({"beta": F.when(own, 1 - F.col("beta")).otherwise(F.col("beta")), "age": F.when(own, F.col("age") + 7).otherwise(F.col("age"))})
-        a = fw.fold_statistics(cells).where(own)
+        a = base.where(own)
         b = fw.fold_statistics(bent).where(own).withColumnsRenamed({"r": "r2", "center": "c2", "spread": "s2"})
         moved = F.lit(False)
         for x, y in (("r", "r2"), ("center", "c2"), ("spread", "s2")):
@@ -419,30 +420,42 @@ def _(spark, d):
 
 @query("i08_imputation_comparison")
 def _(spark, d):
-    cells = materialize(folded_cells(spark, d, 3), "cells")
+    cells = materialize(folded_cells(spark, d), "cells")
     scores = None
-    for f in range(3):
+    for f in range(5):
         train = cells.where(F.col("fold") != f)
-        chosen = materialize(sel.top_correlated(train, 16), "chosen")
-        pick = F.broadcast(chosen.select("probe_ord", "rank"))  # 16 rows
+        chosen = materialize(sel.top_correlated(train, K), "chosen")
+        pick = F.broadcast(chosen.select("probe_ord", "rank"))  # K rows
         sub, base = cells.join(pick, "probe_ord", "left_semi"), train.join(pick, "probe_ord", "left_semi")
         ages = cells.select("sample_id", "fold", "age").distinct()
         for method in ["zero", "mean", "median", "knn", "mice"]:
             filled = impute(sub.select("sample_id", "probe_ord", "beta"), base.select("sample_id", "probe_ord", "beta"), method)
             rows = materialize(feature_arrays(filled.join(pick, "probe_ord")).join(ages, "sample_id").withColumnRenamed("age", "label"), "imputed")
-            fit = ln.FoldSums(rows).fit(0.001, 0.5, without=f)
+            inner = rows.where(F.col("fold") != f).withColumn("fold", F.pmod(F.xxhash64("sample_id"), F.lit(3)))
+            fit = ln.FoldSums(inner).tune(en.RATIOS, 50)
             e = F.abs(fit.column("features") - F.col("label"))
             part = rows.where(F.col("fold") == f).agg(F.lit(method).alias("model"), F.lit(f).cast("long").alias("fold"), F.avg(e).alias("mae"))
             scores = part if scores is None else scores.unionByName(part)
     return m.cv_summary(scores, ["mae"])
 
 
+def training_models():
+    """The models of a training run, at their published settings."""
+    return {
+        "ElasticNet": ln.elastic_net(0.1, 0.5),
+        "Lasso": ln.lasso(0.1),
+        "Ridge": ln.ridge(100.0),
+        "RandomForest": en.forest(100, 10, 1),
+        "Boosted": en.boosting(100, 6, 0.3, 1.0, 1.0),
+    }
+
+
 @query("m24_training_run")
 def _(spark, d):
     rows = split_design(spark, d)
     train = rows.where("split = 'train'")
     preds = None
-    for name, est in {"Ridge": ln.ridge(1.0), "Lasso": ln.lasso(0.1), "ElasticNet": ln.elastic_net(0.1, 0.5), "RandomForest": en.forest(10, 5)}.items():
+    for name, est in training_models().items():
         model = est.fit(train)
         model.write().overwrite().save(scratch_path(spark, f"model-{name}"))
         part = model.transform(rows).select(

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cpgloom.functions import scalars as sc
@@ -13,6 +16,8 @@ from cpgloom.operators import strata as st
 from cpgloom.plans import views as v
 from cpgloom.plans.matrix_queries import R_SQL, TRAIN_SQL, train_cells
 from cpgloom.plans.registry import query, r, rd, rounded
+from cpgloom.session import scratch_path
+from cpgloom.sources.tables import write_table
 
 E, AE = "(y_pred - y_true)", "abs(y_pred - y_true)"
 MODELS = ["AltumAge", "ElasticNet", "Ridge"]
@@ -174,7 +179,10 @@ def _(spark, d):
 
 @query("a14_filtered_export", f"{BROWSE} WHERE model = 'ElasticNet' AND split = 'test' AND y_true BETWEEN 30 AND 60", "pred_long")
 def _(spark, d):
-    return rel.browse_samples(v.preds(spark, d), "ElasticNet", "test", "", "middle", digits=6)
+    found = rel.browse_samples(v.preds(spark, d), "ElasticNet", "test", "", "middle", digits=6)
+    path = scratch_path(spark, "export")
+    write_table(found, path, "csv")
+    return spark.read.option("header", True).schema(found.schema).csv(path)
 
 
 # --- joins ------------------------------------------------------------------------------------
@@ -766,12 +774,13 @@ def _(spark, d):
 
 @query(
     "t02_required_probes",
-    "SELECT probe_id FROM clock_coef WHERE clock = 'clock1' UNION SELECT probe_id FROM clock_coef WHERE clock = 'clock2'",
+    " UNION ".join(f"SELECT probe_id FROM clock_coef WHERE clock = 'clock{i}'" for i in range(1, 6)),
     "clock_coef",
 )
 def _(spark, d):
     c = v.clock_coef(spark, d)
-    return c.where("clock = 'clock1'").select("probe_id").union(c.where("clock = 'clock2'").select("probe_id")).distinct()
+    lists = [c.where(F.col("clock") == f"clock{i}").select("probe_id") for i in range(1, 6)]
+    return reduce(DataFrame.union, lists).distinct()
 
 
 @query(
