@@ -268,7 +268,12 @@ def _(spark, d):
 
 @query("m08_stacking")
 def _(spark, d):
-    return fit_and_predict(spark, d, en.stacking_presets()["mixed"])
+    return fit_and_predict(spark, d, en.stacking_presets(50)["mixed"])
+
+
+@query("m08_linear_stack")
+def _(spark, d):
+    return fit_and_predict(spark, d, en.stacking_presets()["linear"])
 
 
 @query("m09_band_correction")
@@ -446,7 +451,6 @@ def training_models():
         "Lasso": ln.lasso(0.1),
         "Ridge": ln.ridge(100.0),
         "RandomForest": en.forest(100, 10, 1),
-        "Boosted": en.boosting(100, 6, 0.3, 1.0, 1.0),
     }
 
 
