@@ -7,12 +7,15 @@ byte, always zero, is the line separator.  (The last byte of a gzip member is th
 size; a record of 16 MB or more is followed by an empty member, which ends in zero as well.)
 
 Reader: files are cut into byte ranges.  A task looks for gzip magic in its range, takes a place for a record
-when the header of a WARC record can be decoded there, and owns the records that start inside its range,
-reading on beyond its end for the last one.  So each record belongs to one task whatever the ranges.  Files
-are opened through ``pyarrow.fs``, which takes local and object-store paths alike.
+when the first line of a WARC record can be decoded there, and owns the records that start inside its range,
+reading on beyond its end for the last one.  So each record belongs to one task whatever the ranges.  Headers
+may be of any length.  A record whose member is damaged or cut off, or whose header does not end, is a row of
+type ``broken`` with its place and nothing else; the search goes on behind its magic.  Files are opened through
+``pyarrow.fs``: local paths and the object stores it knows; others raise.
 
 Nulls: a null page is an empty payload, a null page_id is always a response and has no id in the archive;
-rows that repeat both page_id and payload are all what that page is.
+rows that repeat both page_id and payload are all what that page is.  Very long pages are one record each.  An empty
+table gives an archive without records.
 """
 
 from __future__ import annotations
@@ -32,12 +35,10 @@ from cpgloom.operators.sizing import sized
 from cpgloom.session import materialize
 
 RANGE_BYTES = 8 << 20
-# A record's header block is decoded from this many compressed bytes at most, in steps.
-HEADER_BYTES = 64 << 10
 # How much is read at once beyond a range's end.
 AHEAD_BYTES = 1 << 20
 
-_MAGIC = b"\x1f\x8b\x08"
+_MAGIC, _FIRST = b"\x1f\x8b\x08", b"WARC/1."
 _SCHEMA = (
     "file string, offset long, record_id string, record_type string, target_uri string, refers_to_id string, "
     "payload binary, payload_bytes long, payload_digest string"
@@ -121,23 +122,20 @@ class _Window:
         return bool(piece)
 
 
-def _header(win: _Window, at: int) -> bytes | None:
-    """The WARC header block of the member at ``at``, None if there is none."""
-    z, out, step = zlib.decompressobj(31), b"", 512
+def _is_record(win: _Window, at: int) -> bool:
+    """Whether the member at ``at`` begins like a WARC record."""
+    z, out, here, step = zlib.decompressobj(31), b"", at, 64
     try:
-        for begin in range(at, at + HEADER_BYTES, step):
-            while begin + step > len(win.data) and win.more():
-                pass
-            out += z.decompress(win.data[begin : begin + step])
-            if not b"WARC/1.".startswith(out[:7]):
-                return None
-            if b"\r\n\r\n" in out:
-                return out.partition(b"\r\n\r\n")[0]
-            if z.eof or begin + step >= len(win.data):
-                return None
+        while len(out) < len(_FIRST) and not z.eof:
+            while here >= len(win.data):
+                if not win.more():
+                    return False
+            out += z.decompress(win.data[here : here + step], 64)
+            # What the limit on the output left over comes first next time.
+            here = min(here + step, len(win.data)) - len(z.unconsumed_tail)
     except zlib.error:
-        pass
-    return None
+        return False
+    return out.startswith(_FIRST)
 
 
 def _member(win: _Window, at: int) -> tuple[bytes, int] | None:
@@ -168,7 +166,12 @@ def _scan(path: str, start: int, stop: int, end: int) -> Iterator[tuple]:
         win = _Window(file, start, stop - start + len(_MAGIC), end)
         at = 0
         while (at := win.data.find(_MAGIC, at)) >= 0 and start + at < stop:
-            if _header(win, at) is None or (found := _member(win, at)) is None:
+            if not _is_record(win, at):
+                at += 1
+                continue
+            found = _member(win, at)
+            if found is None or b"\r\n\r\n" not in found[0]:
+                yield path, start + at, None, "broken", None, None, None, None, None
                 at += 1
                 continue
             fields, block = _parse(found[0])
@@ -209,7 +212,7 @@ def read(spark: SparkSession, path: str, range_bytes: int = RANGE_BYTES) -> Data
                 held = 0
                 for record in _scan(row["path"], row["start"], row["stop"], row["length"]):
                     some.append(record)
-                    held += len(record[6])
+                    held += len(record[6] or b"")
                     if held > (4 << 20):
                         yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*some, strict=True), kinds, strict=True)], names)
                         some, held = [], 0

@@ -126,6 +126,37 @@ def test_archive_round_trip(spark, range_bytes):
                 assert r.refers_to_id == f"<urn:page:{top[t or '']}>"
 
 
+@pytest.mark.parametrize("range_bytes", [3000, 1 << 20])
+def test_long_headers_are_read(spark, range_bytes):
+    rng = random.Random(4)
+    long_url = "http://a/" + "".join(rng.choices("abcdefghijklmnopqrstuvwxyz0123456789", k=400_000))
+    pages = [(1, "u", "one"), (2, long_url, "two"), (3, "v", "three")]
+    folder = scratch_path(spark, "warc-long")
+    warc.write(spark.createDataFrame(pages, "page_id long, url string, html string").coalesce(1), folder)
+    got = {r.record_id: r for r in warc.read(spark, folder, range_bytes).collect()}
+    assert sorted(got) == [f"<urn:page:{i}>" for i in (1, 2, 3)]
+    assert got["<urn:page:2>"].target_uri == long_url and bytes(got["<urn:page:2>"].payload) == b"two"
+
+
+@pytest.mark.parametrize("harm", ["cut", "damaged"])
+def test_broken_members_are_reported(spark, tmp_path, harm):
+    rng = random.Random(5)
+    pages = [(i, "u", rng.randbytes(3000).hex()) for i in range(5)]
+    raw = [warc._record(i, u, t.encode(), None) for i, u, t in pages]
+    data = bytearray(b"".join(raw))
+    if harm == "cut":  # in the last record
+        data = data[: -len(raw[4]) // 2]
+        broken = 4
+    else:
+        place = len(raw[0]) + len(raw[1]) + len(raw[2]) // 2
+        data[place : place + 40] = b"\xff" * 40
+        broken = 2
+    (tmp_path / "a.warc.gz").write_bytes(bytes(data))
+    got = warc.read(spark, str(tmp_path), 2000).collect()
+    assert sorted(r.record_id for r in got if r.record_type == "response") == [f"<urn:page:{i}>" for i in range(5) if i != broken]
+    assert [(r.offset, r.payload) for r in got if r.record_type == "broken"] == [(sum(map(len, raw[:broken])), None)]
+
+
 def test_archive_of_nothing(spark):
     folder = scratch_path(spark, "warc-none")
     warc.write(spark.createDataFrame([], "page_id long, url string, html string"), folder)
