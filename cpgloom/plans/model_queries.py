@@ -437,7 +437,7 @@ def _(spark, d):
             filled = impute(sub.select("sample_id", "probe_ord", "beta"), base.select("sample_id", "probe_ord", "beta"), method)
             rows = materialize(feature_arrays(filled.join(pick, "probe_ord")).join(ages, "sample_id").withColumnRenamed("age", "label"), "imputed")
             inner = rows.where(F.col("fold") != f).withColumn("fold", F.pmod(F.xxhash64("sample_id"), F.lit(3)))
-            fit = ln.FoldSums(inner).tune(en.RATIOS, 50)
+            fit = ln.FoldSums(inner).tune([0.1, 0.5, 0.9], 30)
             e = F.abs(fit.column("features") - F.col("label"))
             part = rows.where(F.col("fold") == f).agg(F.lit(method).alias("model"), F.lit(f).cast("long").alias("fold"), F.avg(e).alias("mae"))
             scores = part if scores is None else scores.unionByName(part)
