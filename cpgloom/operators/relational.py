@@ -53,6 +53,7 @@ def browse_samples(
         df = df.where(F.col("split") == split)
     if search:
         df = df.where(contains_text("sample_description", search))
+    # The labels "Femme", "Homme" and "?" are shown as they are.
     df = df.where(age_range("y_true", ages or "all")).withColumns(
         {
             "delta_age": F.round(sc.error(), digits) + F.lit(0.0),

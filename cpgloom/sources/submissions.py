@@ -101,7 +101,7 @@ def score_uploads(uploads: DataFrame, truth: DataFrame) -> DataFrame:
         short_hash("username", "date").alias("id"),
         "username",
         "model_category",
-        text_or("description", "Non fournie").alias("description"),
+        text_or("description", "Non fournie").alias("description"),  # a fixed value
         F.struct("mae", "rmse", "r2", "correlation", "mad").alias("metrics"),
         F.col("n").alias("n_samples"),
         "date",

@@ -57,9 +57,10 @@ def run_best_per_user(
     """
 
     def put(batch: DataFrame, epoch: int) -> None:
-        ranked = rank_users(batch)
-        ranked.write.mode("overwrite").parquet(out)
-        kpis = ranked.agg(F.min("best_mae").alias("best_mae"), F.sum("n").alias("total"), F.count("*").alias("participants"))
+        # Ranking and key figures read it several times; the stateful part should run once.
+        users = materialize(batch, "best-users")
+        rank_users(users).write.mode("overwrite").parquet(out)
+        kpis = users.agg(F.min("best_mae").alias("best_mae"), F.sum("n").alias("total"), F.count("*").alias("participants"))
         kpis.write.mode("overwrite").parquet(f"{out}-kpis")
 
     reader = spark.readStream.schema(SUBMISSION_SCHEMA)
