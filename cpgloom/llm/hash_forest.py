@@ -13,10 +13,18 @@ length without touching the rows.  Rows are dealt by (tree, prefix of ``depth``
 several parts; a query goes to the nodes below its prefix, where its distances are computed and all
 but the best dropped, so no pairs are shuffled.
 
+A vector travels once per tree, in the index's own number type.  A block of queries meets the rows of a part in one
+matrix product, which tells the nearest up to rounding; only those within reach of it get exact distances.
+
+How much must be compared depends on the vectors.  On vectors without directions of their own (64 nearly independent
+components) the prefixes of any number of trees reach nine tenths of the nearest rows only with most of the index.
+
 Equal vectors are one entry; the result lists the rows of an entry one by one, ties by smaller id.  Vectors
 that are null, zero, or hold null or non-finite components take no part, as rows and as queries, nor do
 rows without an id.  Only vectors of the commonest length take part (the shorter of equally common ones).
-Rows that repeat an id count each time; a query is never its own neighbour.
+Rows that repeat an id count each time; a query is never its own neighbour.  An empty table, or one without
+usable vectors, gives no rows.  Components of any finite size keep their order: differences whose squares
+would leave the range of doubles are scaled by a power of two.
 """
 
 from __future__ import annotations
@@ -32,7 +40,11 @@ from pyspark.sql import functions as F
 from cpgloom.operators.sizing import sized
 from cpgloom.session import materialize
 
-TREES, BITS, LEAF, SHARE, SEED = 24, 48, 2000, 0.05, 7
+TREES, BITS, LEAF, SHARE, SEED = 12, 48, 2000, 0.08, 7
+# Beyond these sizes squares leave the range of doubles; such differences are scaled first.
+HUGE, TINY = 1e140, 1e-140
+# Queries in one matrix product.
+BLOCK = 64
 
 
 def _usable(vectors: DataFrame, vec_id: str, vector: str) -> DataFrame:
@@ -55,8 +67,9 @@ def _coded(rows: DataFrame, mean: np.ndarray, trees: int, depth: int, seed: int)
         for batch in batches:
             for i in range(0, batch.num_rows, 1000):
                 part = batch.slice(i, 1000)
-                x = part.column("v").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(part.num_rows, -1)
-                bits = ((x - mean) @ planes > 0).reshape(len(x), trees, depth)
+                x = part.column("v").flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, -1)
+                x = x if x.dtype == np.float32 else x.astype(np.float64)
+                bits = ((x.astype(np.float64) - mean) @ planes > 0).reshape(len(x), trees, depth)
                 code = (bits * weights).sum(2)
                 packed = pa.array([r.tobytes() for r in x], pa.binary())
                 yield pa.record_batch([part.column("id"), packed, pa.array(list(code), pa.list_(pa.int64()))], ["id", "x", "codes"])
@@ -64,6 +77,38 @@ def _coded(rows: DataFrame, mean: np.ndarray, trees: int, depth: int, seed: int)
     return rows.mapInArrow(work, "id long, x binary, codes array<long>")
 
 
+def distances(x: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Exact Euclidean distances of the rows of ``x`` to ``q``."""
+    with np.errstate(over="ignore", under="ignore"):
+        dist = np.sqrt(((x - q) ** 2).sum(1))
+        for i in np.flatnonzero((dist > HUGE) | (dist < TINY)):
+            half = x[i] / 2 - q / 2  # a difference of doubles may itself overflow
+            power = int(np.frexp(np.abs(half).max())[1])
+            dist[i] = np.ldexp(np.sqrt((np.ldexp(half, -power) ** 2).sum()), power + 1)
+    return dist
+
+
+def nearest(x: np.ndarray, queries: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each query, the rows of ``x`` that are among its ``k`` nearest, all that tie with the last one too, and their distances."""
+    large = max(np.abs(x).max(initial=0.0), np.abs(queries).max(initial=0.0))
+    plain = TINY < large < HUGE and len(x) > k
+    if plain:
+        norms = np.einsum("ij,ij->i", x, x)
+        slack = 1e-12 * x.shape[1] * large**2
+    for i in range(0, len(queries), BLOCK):
+        block = queries[i : i + BLOCK]
+        if plain:
+            rough = norms - 2.0 * (block @ x.T)  # the squared distance less a term of the query's own
+            reach = np.partition(rough, k - 1, axis=1)[:, k - 1] + slack
+        for j, q in enumerate(block):
+            near = np.flatnonzero(rough[j] <= reach[j]) if plain else np.arange(len(x))
+            dist = distances(x[near], q)
+            if len(dist) > k:
+                keep = dist <= np.partition(dist, k - 1)[k - 1]
+                near, dist = near[keep], dist[keep]
+            yield near, dist
+
+
 def _by_tree(coded: DataFrame, *more: str) -> DataFrame:
     return coded.select("id", "x", *more, F.posexplode("codes").alias("tree", "node"))
 
@@ -99,6 +144,7 @@ def neighbours(
     if not size:
         return spark.createDataFrame([], schema)
     d = len(entries.first()["v"])
+    kind = np.float32 if entries.schema["v"].dataType.elementType.typeName() == "float" else np.float64
     sums = entries.select(F.posexplode("v").alias("i", "y")).groupBy("i").agg(F.avg(F.col("y").cast("double")).alias("m"))
     mean = np.zeros(d)
     for r in sums.collect():  # one row per dimension
@@ -122,24 +168,22 @@ def neighbours(
     def best(rows: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(rows) and len(queries):
-            x = np.frombuffer(b"".join(rows["x"]), np.float64).reshape(len(rows), -1)
+            x, asked = (np.frombuffer(b"".join(t["x"]), kind).reshape(len(t), d).astype(np.float64) for t in (rows, queries))
             ids = rows["id"].to_numpy()
-            for q, raw in zip(queries["id"], queries["x"], strict=True):
-                dist = ((x - np.frombuffer(raw, np.float64)) ** 2).sum(1)
-                # All that tie with the last one stay.
-                near = np.flatnonzero(dist <= np.partition(dist, k)[k]) if len(dist) > k + 1 else np.arange(len(dist))
-                out.append(pd.DataFrame({"query_id": q, "id": ids[near], "d2": dist[near]}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "id": [], "d2": []})
+            # One more than asked for: a query's own entry may hold no other row.
+            for q, (near, dist) in zip(queries["id"], nearest(x, asked, k + 1), strict=True):
+                out.append(pd.DataFrame({"query_id": q, "id": ids[near], "dist": dist}))
+        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "id": [], "dist": []})
 
     key = ["tree", "node", "part"]
-    found = dealt.groupBy(*key).cogroup(sent.groupBy(*key)).applyInPandas(best, "query_id long, id long, d2 double")
-    found = found.groupBy("query_id", "id").agg(F.min("d2").alias("d2"))
+    found = dealt.groupBy(*key).cogroup(sent.groupBy(*key)).applyInPandas(best, "query_id long, id long, dist double")
+    found = found.groupBy("query_id", "id").agg(F.min("dist").alias("score"))
     # Rows of the entries: as many of the smallest ids as a result could need.
     by_id = Window.partitionBy("v").orderBy("vec_id")
     members = rows.withColumn("_r", F.row_number().over(by_id)).where(F.col("_r") <= k + 1)
     members = members.join(entries.select("v", "id"), "v").select("id", "vec_id")
-    found = found.withColumn("_r", F.rank().over(Window.partitionBy("query_id").orderBy("d2"))).where(F.col("_r") <= k + 1).drop("_r")
+    found = found.withColumn("_r", F.rank().over(Window.partitionBy("query_id").orderBy("score"))).where(F.col("_r") <= k + 1).drop("_r")
     every = found.join(members, "id").where("vec_id != query_id")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("d2", "vec_id"))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
     top = every.withColumn("rank", rank).where(F.col("rank") <= k)
-    return top.select("query_id", "rank", "vec_id", F.sqrt("d2").alias("score"))
+    return top.select("query_id", "rank", "vec_id", "score")

@@ -82,6 +82,38 @@ def test_neighbours_found_and_edges(spark, small):
     assert hash_forest.neighbours(table.limit(0), F.lit(True)).count() == 0
 
 
+def test_nearest_rows_of_a_part():
+    rng = np.random.default_rng(5)
+    x = np.concatenate([rng.normal(size=(500, 6)), np.ones((30, 6))])
+    asked = np.concatenate([x[:5], np.ones((1, 6)), rng.normal(size=(70, 6))])
+    for scale in (1.0, 1e200, 1e-200, 1e307):
+        for q, (near, dist) in zip(asked, hash_forest.nearest(x * scale, asked * scale, 11), strict=True):
+            want = np.sqrt(((x - q) ** 2).sum(1))
+            cut = np.sort(want)[10]
+            assert set(near) >= set(np.flatnonzero(want < cut * (1 - 1e-12))) and len(near) >= 11
+            assert np.allclose(dist / scale, want[near], rtol=1e-12, atol=0)
+    near, dist = next(hash_forest.nearest(x[:3], x[:1], 11))
+    assert list(near) == [0, 1, 2] and dist[0] == 0
+
+
+def test_huge_components_and_number_types(spark):
+    rng = np.random.default_rng(9)
+    base = rng.normal(size=(60, 4))
+    rows = [(i, (v * 1e200).tolist()) for i, v in enumerate(base)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = [(r["rank"], r.vec_id, r.score) for r in hash_forest.neighbours(table, F.col("vec_id") == 0, k=5).collect()]
+    dist = np.sqrt(((base - base[0]) ** 2).sum(1))
+    assert [i for _, i, _ in sorted(got)] == np.argsort(dist)[1:6].tolist()
+    assert np.allclose([s / 1e200 for _, _, s in sorted(got)], np.sort(dist)[1:6])
+    for kind in ("float", "int", "decimal(9,3)"):
+        cast = spark.createDataFrame([(i, (v * 8).round(0).tolist()) for i, v in enumerate(base)], table.schema)
+        cast = cast.withColumn("embedding", F.col("embedding").cast(f"array<{kind}>"))
+        whole = (base * 8).round(0)
+        want = sorted((float(np.sqrt(((v - whole[0]) ** 2).sum())), i) for i, v in enumerate(whole) if i and v.any())[:5]
+        found = hash_forest.neighbours(cast, F.col("vec_id") == 0, k=5).orderBy("rank").collect()
+        assert [(r.score, r.vec_id) for r in found] == want
+
+
 def test_recall_of_the_query(spark, small):
     rows = spark.read.parquet(f"{small}/embeddings.parquet").select("vec_id", "embedding").collect()
     ids = np.array([r.vec_id for r in rows])
