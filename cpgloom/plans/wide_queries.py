@@ -4,16 +4,18 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cpgloom.functions.scalars import polynomial2
+from cpgloom.operators import components as pc
 from cpgloom.operators import linear as ln
 from cpgloom.operators import sample_space as ss
 from cpgloom.operators.ensembles import RATIOS
+from cpgloom.operators.ordering import running
 from cpgloom.operators.splits import kfold
-from cpgloom.plans.matrix_queries import TRAIN_SQL
+from cpgloom.plans.matrix_queries import SPLIT_SQL, TRAIN_SQL
 from cpgloom.plans.model_queries import split_design
 from cpgloom.plans.registry import query
 from cpgloom.session import materialize
@@ -120,3 +122,93 @@ def _(spark, d):
 def _(spark, d):
     """75 drawn (strength, ratio) pairs over all products."""
     return ln.random_search(ss.SampleSpace.from_rows(wide_rows(spark, d)), 75)
+
+
+# --- components -------------------------------------------------------------------------------
+
+# The published setting, for models on components.
+COMPONENTS = 400
+
+
+@query(
+    "m20_wide_components",
+    f"""WITH {SIZE_SQL} SELECT n AS n_samples, width AS n_features, 100::BIGINT AS n_components, 0::BIGINT AS n_not_orthonormal,
+0::BIGINT AS n_wrong_variance, 0::BIGINT AS n_correlated, 0::BIGINT AS n_rising FROM size""",
+    "annot beta_long",
+)
+def _(spark, d):
+    """100 components of all products, held against what defines them, from cells and axes: axes unit and orthogonal,
+    scores without correlation, their variances the eigenvalues and falling."""
+    rows = wide_rows(spark, d)
+    cells = materialize(wide_cells(rows), "wide-cells")
+    made = pc.of_cells(cells, rows.drop("features"), 100)
+    n, k = len(made.samples), len(made.found.values)
+    eigen = spark.createDataFrame([(i, float(s) ** 2 / (n - 1)) for i, s in enumerate(made.found.values)], "i INT, eigen DOUBLE")
+
+    def products(table: DataFrame, column: str) -> DataFrame:
+        """Sums of products of all pairs of entries i <= j, over the rows."""
+        one = table.select(F.monotonically_increasing_id().alias("r"), F.posexplode(column).alias("i", "x"))
+        one = materialize(one, "entries")
+        other = one.withColumnsRenamed({"i": "j", "x": "y"})
+        return one.join(other, "r").where("i <= j").groupBy("i", "j").agg(F.sum(F.col("x") * F.col("y")).alias("dot"))
+
+    same = (F.col("i") == F.col("j")).cast("double")
+    axes = products(made.axes, "axis").agg(F.count_if(F.abs(F.col("dot") - same) > 1e-8).alias("n_not_orthonormal"))
+    moments = products(pc.project_cells(cells, made.axes), "pc").withColumn("dot", F.col("dot") / (n - 1))
+    moments = materialize(moments.join(F.broadcast(eigen), "i"), "moments")  # k rows
+    close = F.abs(F.col("dot") - F.col("eigen")) <= 1e-8 * F.col("eigen")
+    scale = float(made.found.values[0]) ** 2 / (n - 1)
+    wrong = moments.agg(
+        F.count_if(F.col("i") == F.col("j")).alias("n_components"),
+        F.count_if((F.col("i") == F.col("j")) & ~close).alias("n_wrong_variance"),
+        F.count_if((F.col("i") < F.col("j")) & (F.abs(F.col("dot")) > 1e-8 * scale)).alias("n_correlated"),
+    )
+    after = eigen.select((F.col("i") - 1).alias("i"), F.col("eigen").alias("later"))
+    rising = eigen.join(after, "i").agg(F.count_if(F.col("later") > F.col("eigen")).alias("n_rising"))
+    width = cells.agg(F.count_distinct("feature").alias("n_features"))
+    sizes = spark.createDataFrame([(n,)], "n_samples BIGINT")
+    # One row each.
+    return reduce(DataFrame.crossJoin, [sizes, width, axes, wrong, rising])
+
+
+@query("w07_wide_cumulative_variance")
+def _(spark, d):
+    """Shares of the variance of all products, and their running sum, for as many components as there are."""
+    rows = wide_rows(spark, d)
+    found = pc.of_space(ss.SampleSpace.from_rows(rows), COMPONENTS).found
+    shares = spark.createDataFrame([(i + 1, float(x)) for i, x in enumerate(found.share)], "component BIGINT, share DOUBLE")
+    return running(shares, [], "component", "share", "cumulative")
+
+
+def component_rows(spark, d, k: int | None):
+    """Cells of all products, the training rows' space, its components (None: all) and rows of scores with label and split."""
+    rows = split_design(spark, d, PROBES)
+    wide = materialize(rows.withColumn("features", polynomial2(vector_to_array("features"))), "wide-all")
+    cells = materialize(wide_cells(wide), "wide-cells")
+    train = wide.where("split = 'train'").select("sample_id", "label")
+    space = ss.SampleSpace.from_cells(cells.join(train.select("sample_id"), "sample_id", "left_semi"), train)
+    made = pc.of_space(space, k or len(space.samples))
+    scores = pc.project_cells(cells, made.axes).select("sample_id", array_to_vector("pc").alias("features"))
+    return cells, space, made, materialize(wide.select("sample_id", "split", "label").join(scores, "sample_id"), "component-rows")
+
+
+@query("m20_component_predictions")
+def _(spark, d):
+    """Components in front of a model: elastic net on up to 400 components of the training rows."""
+    *_, design = component_rows(spark, d, COMPONENTS)
+    model = ln.elastic_net(0.1, 0.5).fit(design.where("split = 'train'"))
+    return model.transform(design).select("sample_id", "split", F.col("label").alias("y_true"), F.col("prediction").alias("y_pred"))
+
+
+@query(
+    "m20_component_ridge",
+    f"""WITH {SPLIT_SQL} SELECT split, count(*) AS n, 0::BIGINT AS n_off FROM parts GROUP BY split""",
+    "annot beta_long",
+)
+def _(spark, d):
+    """Ridge on all components of the training rows predicts what ridge on all products predicts."""
+    cells, space, _, design = component_rows(spark, d, None)
+    short = ln.ridge(100.0).fit(design.where("split = 'train'")).transform(design)
+    full = ss.predict_cells(cells, space.ridge(100.0)).withColumnRenamed("prediction", "all_features")
+    both = short.select("sample_id", "split", "prediction").join(full, "sample_id")
+    return both.groupBy("split").agg(F.count("*").alias("n"), F.count_if(F.abs(F.col("prediction") - F.col("all_features")) > 1e-5).alias("n_off"))
