@@ -38,6 +38,10 @@ from cpgloom.session import materialize
 MAX_BLOCK = 256 << 20
 # Vectors beyond the wanted ones; they speed up the last of these.
 EXTRA = 20
+# A block is at least so wide, where it fits: more vectors take fewer passes, and all of them take one.
+WIDE = 1024
+# Samples in a list of cells, and bytes of sums that a task holds before it hands them on.
+LIST, FLUSH = 256, 64 << 20
 # Triangular factors that meet in one task of the QR tree.
 FAN = 8
 # Singular values below this share of the largest are rounding.
@@ -119,13 +123,14 @@ def principal(
     length: int,
     k: int,
     centre: np.ndarray | None = None,
-    extra: int = EXTRA,
+    wide: int = WIDE,
     turns: int = 60,
     tol: float = 1e-10,
     seed: int = 42,
 ) -> Components:
     """The first ``k`` right singular vectors and values of ``rows`` (a stored table with column x)."""
-    width = min(length, k + max(extra, k // 4))
+    need = k + max(EXTRA, k // 4)
+    width = min(length, max(need, min(wide, MAX_BLOCK // (8 * max(length, 1)))))
     if length * width * 8 > MAX_BLOCK:
         raise ValueError(f"{width} vectors of {length} entries exceed {MAX_BLOCK >> 20} MB: put the longer side into the rows or ask for fewer")
     rows = rows.select("x")
@@ -198,10 +203,47 @@ def of_space(space: SampleSpace, k: int, **told) -> CellComponents:
 def project_cells(cells: DataFrame, axes: DataFrame, value: str = "z", feature: str = "feature") -> DataFrame:
     """Scores of any samples on fitted axes: (sample_id, pc ARRAY).  Features without an axis do not count, and a
     missing value counts as the feature's mean."""
-    met = cells.select("sample_id", F.col(feature).cast("long").alias("feature"), F.col(value).cast("double").alias("_z")).join(sized(axes), "feature")
-    shift = F.coalesce(F.col("_z") - F.col("mean"), F.lit(0.0))
-    parts = met.select("sample_id", array_to_vector(F.transform("axis", lambda a: a * shift)).alias("_p"))
-    return parts.groupBy("sample_id").agg(vector_to_array(Summarizer.sum(F.col("_p"))).alias("pc"))
+    slim = cells.select("sample_id", F.col(feature).cast("long").alias("feature"), F.col(value).cast("double").alias("z"))
+    # A feature's cells come in lists of some ``LIST`` samples, so that an axis meets many cells at once.
+    n = slim.agg(F.approx_count_distinct("sample_id")).first()[0]
+    part = F.pmod(F.xxhash64("sample_id"), F.lit(max(1, n // LIST))).alias("part")
+    lists = slim.groupBy("feature", part).agg(F.collect_list(F.struct("sample_id", F.coalesce("z", F.lit(float("nan"))).alias("z"))).alias("cells"))
+    met = lists.join(sized(axes), "feature").select("cells", "mean", "axis")
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place, total = {}, None
+        for batch in batches:
+            for i in range(0, batch.num_rows, 64):
+                rows = batch.slice(i, 64)
+                flat, size = rows.column("cells").flatten(), rows.column("cells").value_lengths().to_numpy()
+                axis = rows.column("axis").flatten().to_numpy(zero_copy_only=False).reshape(rows.num_rows, -1)
+                at = np.repeat(np.arange(rows.num_rows), size)
+                coded = flat.field("sample_id").dictionary_encode()
+                ids = coded.dictionary.to_pylist()
+                z = flat.field("z").to_numpy() - rows.column("mean").to_numpy()[at]
+                shift = np.zeros((len(ids), rows.num_rows))
+                np.add.at(shift, (coded.indices.to_numpy(), at), np.where(np.isnan(z), 0.0, z))
+                if total is None:
+                    total = np.zeros((0, axis.shape[1]))
+                to = np.array([place.setdefault(x, len(place)) for x in ids])
+                if len(place) > len(total):
+                    total = np.vstack([total, np.zeros((max(len(place) - len(total), len(total)), axis.shape[1]))])
+                total[to] += shift @ axis
+                if total.nbytes > FLUSH:
+                    yield from _labelled(place, total)
+                    place, total = {}, None
+        if place:
+            yield from _labelled(place, total)
+
+    parts = met.mapInArrow(work, "sample_id STRING, p ARRAY<DOUBLE>")
+    return parts.groupBy("sample_id").agg(vector_to_array(Summarizer.sum(array_to_vector("p"))).alias("pc"))
+
+
+def _labelled(place: dict, total: np.ndarray) -> Iterator[pa.RecordBatch]:
+    ids = list(place)
+    for i in range(0, len(ids), 1024):
+        part = total[i : min(i + 1024, len(ids))]
+        yield pa.record_batch([pa.array(ids[i : i + 1024], pa.string()), pa.array(list(part), pa.list_(pa.float64()))], ["sample_id", "p"])
 
 
 # --- few features, any number of samples ----------------------------------------------------------

@@ -132,17 +132,17 @@ COMPONENTS = 400
 
 @query(
     "m20_wide_components",
-    f"""WITH {SIZE_SQL} SELECT n AS n_samples, width AS n_features, 100::BIGINT AS n_components, 0::BIGINT AS n_not_orthonormal,
+    f"""WITH {SIZE_SQL} SELECT n AS n_samples, width AS n_features, 50::BIGINT AS n_components, 0::BIGINT AS n_not_orthonormal,
 0::BIGINT AS n_wrong_variance, 0::BIGINT AS n_correlated, 0::BIGINT AS n_rising FROM size""",
     "annot beta_long",
 )
 def _(spark, d):
-    """100 components of all products, held against what defines them, from cells and axes: axes unit and orthogonal,
+    """50 components of all products, held against what defines them, from cells and axes: axes unit and orthogonal,
     scores without correlation, their variances the eigenvalues and falling."""
     rows = wide_rows(spark, d)
     cells = materialize(wide_cells(rows), "wide-cells")
-    made = pc.of_cells(cells, rows.drop("features"), 100)
-    n, k = len(made.samples), len(made.found.values)
+    made = pc.of_cells(cells, rows.drop("features"), 50)
+    n = len(made.samples)
     eigen = spark.createDataFrame([(i, float(s) ** 2 / (n - 1)) for i, s in enumerate(made.found.values)], "i INT, eigen DOUBLE")
 
     def products(table: DataFrame, column: str) -> DataFrame:

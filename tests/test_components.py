@@ -26,11 +26,14 @@ def near(a, b):
     return np.allclose(np.abs((a * b).sum(0)), np.linalg.norm(a, axis=0) * np.linalg.norm(b, axis=0), rtol=1e-9)
 
 
-@pytest.mark.parametrize("k", [6, 200])
-def test_few_samples_many_probes(spark, k):
-    x = matrix(40, 500, fall=0.9)
+@pytest.mark.parametrize("k, wide", [(6, 0), (6, 1024), (200, 1024)])
+def test_few_samples_many_probes(spark, monkeypatch, k, wide):
+    monkeypatch.setattr(pc, "EXTRA", 10)
+    monkeypatch.setattr(pc, "LIST", 9)
+    x = matrix(40, 500, fall=0.8 if wide == 0 else 0.9)
     rows, cells = tables(spark, x)
-    got = pc.of_cells(cells, rows.drop("features"), k)
+    got = pc.of_cells(cells, rows.drop("features"), k, wide=wide)
+    assert (got.found.turns > 1) == (wide == 0)
     mean = x.mean(0)
     u, s, v = np.linalg.svd(x - mean, full_matrices=False)
     k = min(k, 39)
