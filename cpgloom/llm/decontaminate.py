@@ -17,7 +17,7 @@ repeated documents one by one.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -153,8 +153,11 @@ def _found(batch: pa.RecordBatch, windows: Windows, slop: int, length: int) -> I
         )
 
 
-def search(index: DataFrame, blocks: list[Windows], slop: int = 0, length: int = WINDOW) -> DataFrame:
-    """For every document: ``n_words``, the covered ``runs`` of words (from, to: end exclusive) and the ``items``."""
+def search(index: DataFrame, blocks: Iterable[Windows], slop: int = 0, length: int = WINDOW, stored: bool = False) -> DataFrame:
+    """For every document: ``n_words``, the covered ``runs`` of words (from, to: end exclusive) and the ``items``.
+
+    With ``stored``, the hits of a block are written before the next one is made, so that the driver holds one.
+    """
     schema = "shard long, row int, doc_id long, key long, n_words long, runs array<struct<from:int,to:int>>, items array<long>"
     found = None
     for windows in blocks:
@@ -164,6 +167,7 @@ def search(index: DataFrame, blocks: list[Windows], slop: int = 0, length: int =
                 yield from _found(batch, windows, slop, length)
 
         part = index.mapInArrow(work, schema)
+        part = materialize(part, "hits") if stored else part
         found = part if found is None else found.unionByName(part)
     return found.groupBy("shard", "row").agg(
         F.first("doc_id").alias("doc_id"),
@@ -174,11 +178,15 @@ def search(index: DataFrame, blocks: list[Windows], slop: int = 0, length: int =
     )
 
 
-def _blocks(items: DataFrame, width: int, text: str) -> Iterator[Windows]:
-    """Items in blocks of at most about ``BLOCK_BYTES``, one at a time."""
-    rows = items.where("item_id is not null").select("item_id", F.col(text).alias("t")).distinct()
+def _block_count(items: DataFrame, text: str) -> tuple[DataFrame, int]:
+    """Distinct items, stored, and the number of blocks of about ``BLOCK_BYTES`` that they make."""
+    rows = materialize(items.where("item_id is not null").select("item_id", F.col(text).alias("t")).distinct(), "items")
     total = rows.agg(F.coalesce(F.sum(F.octet_length("t") + 32), F.lit(0))).first()[0]
-    n = -(-total // BLOCK_BYTES) or 1
+    return rows, -(-total // BLOCK_BYTES) or 1
+
+
+def _blocks(rows: DataFrame, n: int, width: int) -> Iterator[Windows]:
+    """The blocks, each collected when the one before it is done with."""
     for k in range(n):
         block = rows.where(F.pmod(F.xxhash64("item_id", "t"), F.lit(n)) == k).collect()
         yield Windows(sorted((r.item_id, (r.t or "").encode()) for r in block), width)
@@ -188,8 +196,11 @@ def contamination(docs: DataFrame, items: DataFrame, width: int = WINDOW, slop:
     """Search the windows of ``items`` (item_id, text) in ``docs``; result as of ``search`` with ``n_hit`` words."""
     if not 0 <= slop < GAP:
         raise ValueError(f"slop must be from 0 to {GAP - 1}")
-    blocks = list(_blocks(items, width, text))
-    wanted = frozenset(blocks[0].terms) if len(blocks) == 1 else None
+    rows, n = _block_count(items, text)
+    blocks: Iterable[Windows] = _blocks(rows, n, width)
+    if n == 1:
+        blocks = list(blocks)
+    wanted = frozenset(blocks[0].terms) if n == 1 else None
     index = materialize(build_index(docs, wanted, text).withColumn("shard", F.monotonically_increasing_id()), "index")
     # Runs of several blocks may overlap: a run adds what reaches beyond the furthest end so far.
     cover = F.aggregate(
@@ -200,7 +211,7 @@ def contamination(docs: DataFrame, items: DataFrame, width: int = WINDOW, slop:
             (a["n"] + F.greatest(r["to"] - F.greatest(r["from"], a["end"]), F.lit(0))).alias("n"),
         ),
     )
-    return search(index, blocks, slop, width).withColumn("n_hit", cover["n"].cast("long"))
+    return search(index, blocks, slop, width, stored=n > 1).withColumn("n_hit", cover["n"].cast("long"))
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, width: int = WINDOW, text: str = "text") -> DataFrame:
