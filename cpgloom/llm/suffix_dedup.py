@@ -11,8 +11,8 @@ is repeated.  A cell whose span (the bytes that any of its windows holds) occurs
 Only the others are sorted by further bytes, together with one copy of each settled cell of equal core.
 Digits are compared by two 64-bit hashes at once: 128 bits.
 
-Every group is counted with partial sums and joined back, so a window with very many copies needs no
-task of its own.  Strings are judged on the input; windows never cross documents; overlapping copies in
+Every group is counted with partial sums, stored and joined back from the table, broadcast up to its measured
+bound and split by adaptive execution beyond it, so a window with very many copies needs no task of its own.  Strings are judged on the input; windows never cross documents; overlapping copies in
 one document count.  Nulls: a null text is empty.  Rows that agree in doc_id and text count as separate
 copies and get the same result.
 """
@@ -152,10 +152,10 @@ def repeated(docs: DataFrame, length: int = LENGTH, text: str = "text") -> DataF
     cells, settled = _all_runs(keyed, length), []
     for grain in (*GRAINS, None):
         cells = materialize(cells, "cells")
-        again = cells.groupBy("core").agg(F.count("*").alias("n")).where("n > 1").select("core")
+        again = sized(cells.groupBy("core").agg(F.count("*").alias("n")).where("n > 1").select("core"))
         left = materialize(cells.join(again, "core"), "recurring")
         twice = left.groupBy("core", "span").agg(F.count("*").alias("n")).where("n > 1").select("core", "span", F.lit(True).alias("all"))
-        left = left.join(twice, ["core", "span"], "left")
+        left = left.join(sized(twice), ["core", "span"], "left")
         settled.append(left.where("all and not stand_in"))
         if grain is None:
             break
@@ -163,7 +163,8 @@ def repeated(docs: DataFrame, length: int = LENGTH, text: str = "text") -> DataF
         settled[-1] = left.where("all and not stand_in")
         unsettled = left.where("all is null")
         stand_in = left.where("all").groupBy("core", "span").agg(F.min(F.struct("doc_id", "key", "begin", "size", "anchor")).alias("x"))
-        stand_in = stand_in.join(unsettled.where("not stand_in").select("core").distinct(), "core").select("x.*", F.lit(True).alias("stand_in"))
+        mixed = sized(unsettled.where("not stand_in").select("core").distinct())
+        stand_in = stand_in.join(mixed, "core").select("x.*", F.lit(True).alias("stand_in"))
         unsettled = unsettled.select("doc_id", "key", "begin", "size", "anchor", "stand_in").unionByName(stand_in)
         cells = _cells(keyed, unsettled, grain, length)
     spans = settled[0]
