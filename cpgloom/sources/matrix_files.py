@@ -30,8 +30,12 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     return lines.join(sized(splits), ["_file", "_start"]).select((F.col("_slot") + F.col("_shift")).alias("ordinal"), "value")
 
 
+def _clean(cell):
+    return F.trim(F.regexp_replace(cell, '^\\s*"|"\\s*$', ""))
+
+
 def _cells(line):
-    return F.transform(F.split(line, ",", -1), lambda c: F.trim(F.regexp_replace(c, '^\\s*"|"\\s*$', "")))
+    return F.transform(F.split(line, ",", -1), _clean)
 
 
 def read_wide(
@@ -39,18 +43,22 @@ def read_wide(
 ) -> DataFrame:
     """Long cells ``(probe_ord, sample_id, beta)`` of a wide CSV; optional pruning to known samples.
 
-    Empty, NA and NaN cells become null.
+    Empty, NA and NaN cells become null; a line shorter than the header has no cells for the rest.  Only the
+    wanted places of a line are cleaned and become rows; their list, a part of one line, is a scalar subquery.
     """
     lines = numbered_lines(spark, path)
     header = header_columns(spark, path, has_index)
     if samples is not None:
         header = header.join(samples.select("sample_id").distinct(), "sample_id", "left_semi")
-    number = F.col("cell").try_cast("double")
+    wanted = header.agg(F.sort_array(F.collect_list(F.struct("col", "sample_id")))).scalar()
+    number = _clean(F.get("cells", F.col("at.col"))).try_cast("double")
+    # The generator is compiled with what follows it, so its rows refer to the split line and don't copy it.
     return (
         lines.where("ordinal > 0")
-        .select((F.col("ordinal") - 1).alias("probe_ord"), F.posexplode(_cells(F.col("value"))).alias("col", "cell"))
-        .join(sized(header), "col")
-        .select("probe_ord", "sample_id", F.when(~F.isnan(number), number).alias("beta"))
+        .select((F.col("ordinal") - 1).alias("probe_ord"), F.split("value", ",", -1).alias("cells"), wanted.alias("wanted"))
+        .select("probe_ord", "cells", F.explode("wanted").alias("at"))
+        .where(F.col("at.col") < F.size("cells"))
+        .select("probe_ord", F.col("at.sample_id").alias("sample_id"), F.when(~F.isnan(number), number).alias("beta"))
     )
 
 
