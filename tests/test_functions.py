@@ -34,6 +34,16 @@ def test_t_point_beyond_the_table(spark):
     assert got["y"] == 2.7764451051977987
 
 
+def test_normal_quantile_over_the_whole_range(spark):
+    from statistics import NormalDist
+
+    at = [1e-300, 1e-20, 1e-9, 1e-4, 0.02, 0.0749, 0.0751, 0.3, 0.5, 0.6, 0.9249, 0.9251, 0.99, 1 - 1e-12]
+    got = spark.createDataFrame([(p,) for p in at], "p DOUBLE").select("p", d.normal_quantile("p").alias("z")).collect()
+    assert all(r["z"] == pytest.approx(NormalDist().inv_cdf(r["p"]), rel=1e-13, abs=1e-15) for r in got)
+    odd = spark.createDataFrame([(0.0,), (1.0,), (-1.0,), (2.0,), (None,), (float("nan"),)], "p DOUBLE")
+    assert [r["z"] for r in odd.select(d.normal_quantile("p").alias("z")).collect()] == [None] * 6
+
+
 def test_normal_quantile(spark):
     got = spark.createDataFrame([(0.5,), (0.975,)], "p DOUBLE").select(d.normal_quantile("p").alias("z")).collect()
     assert [r["z"] for r in got] == pytest.approx([0.0, 1.959963984540054])
