@@ -30,6 +30,8 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cpgloom.operators import sample_space as ss
+from cpgloom.operators.gram import MAX_FEATURES
 from cpgloom.operators.sample_space import SampleSpace
 from cpgloom.operators.sizing import sized
 from cpgloom.session import materialize
@@ -200,6 +202,29 @@ def of_space(space: SampleSpace, k: int, **told) -> CellComponents:
     return CellComponents(materialize(axes, "axes"), space.samples, found.vectors * found.values, found)
 
 
+def of_design(rows: DataFrame, k: int | None) -> tuple[Components, DataFrame, Callable[[DataFrame], DataFrame]]:
+    """Components (None: all) of ``rows`` (sample_id, label, features ARRAY) of any number of samples: what was found, the
+    axes (feature, mean, axis) and a function from such rows to their scores (sample_id, pc ARRAY).
+
+    Over ``sample_space.MAX_SAMPLES`` samples the samples are the rows, and one pass takes all features.
+    """
+    n, width = rows.agg(F.count("*"), F.max(F.size("features"))).first()
+    if n <= ss.MAX_SAMPLES:
+        made = of_space(SampleSpace.from_rows(rows), k or n)
+        return made.found, made.axes, lambda asked: project_cells(asked.select("sample_id", F.posexplode("features").alias("feature", "z")), made.axes)
+    if width > MAX_FEATURES:
+        raise ValueError(f"more than {ss.MAX_SAMPLES} samples of more than {MAX_FEATURES} features: choose features first")
+    stored = rows.select("sample_id", array_to_vector("features").alias("features"))
+    found, mean = of_rows(stored, min(k or width, width), wide=width)
+    table = [(i, float(m), a) for i, (m, a) in enumerate(zip(mean, found.vectors.tolist(), strict=True))]
+    axes = rows.sparkSession.createDataFrame(table, "feature BIGINT, mean DOUBLE, axis ARRAY<DOUBLE>")  # a row a feature
+
+    def scores(asked: DataFrame) -> DataFrame:
+        return project_rows(asked.select("sample_id", array_to_vector("features").alias("features")), found, mean).select("sample_id", "pc")
+
+    return found, materialize(axes, "axes"), scores
+
+
 def project_cells(cells: DataFrame, axes: DataFrame, value: str = "z", feature: str = "feature") -> DataFrame:
     """Scores of any samples on fitted axes: (sample_id, pc ARRAY).  Features without an axis do not count, and a
     missing value counts as the feature's mean."""

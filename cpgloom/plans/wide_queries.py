@@ -140,10 +140,9 @@ def _(spark, d):
     """50 components of all products, held against what defines them, from cells and axes: axes unit and orthogonal,
     scores without correlation, their variances the eigenvalues and falling."""
     rows = wide_rows(spark, d)
-    cells = materialize(wide_cells(rows), "wide-cells")
-    made = pc.of_cells(cells, rows.drop("features"), 50)
-    n = len(made.samples)
-    eigen = spark.createDataFrame([(i, float(s) ** 2 / (n - 1)) for i, s in enumerate(made.found.values)], "i INT, eigen DOUBLE")
+    found, made, scores = pc.of_design(rows, 50)
+    n = rows.count()
+    eigen = spark.createDataFrame([(i, float(s) ** 2 / (n - 1)) for i, s in enumerate(found.values)], "i INT, eigen DOUBLE")
 
     def products(table: DataFrame, column: str) -> DataFrame:
         """Sums of products of all pairs of entries i <= j, over the rows."""
@@ -153,11 +152,11 @@ def _(spark, d):
         return one.join(other, "r").where("i <= j").groupBy("i", "j").agg(F.sum(F.col("x") * F.col("y")).alias("dot"))
 
     same = (F.col("i") == F.col("j")).cast("double")
-    axes = products(made.axes, "axis").agg(F.count_if(F.abs(F.col("dot") - same) > 1e-8).alias("n_not_orthonormal"))
-    moments = products(pc.project_cells(cells, made.axes), "pc").withColumn("dot", F.col("dot") / (n - 1))
+    axes = products(made, "axis").agg(F.count_if(F.abs(F.col("dot") - same) > 1e-8).alias("n_not_orthonormal"))
+    moments = products(scores(rows), "pc").withColumn("dot", F.col("dot") / (n - 1))
     moments = materialize(moments.join(F.broadcast(eigen), "i"), "moments")  # k rows
     close = F.abs(F.col("dot") - F.col("eigen")) <= 1e-8 * F.col("eigen")
-    scale = float(made.found.values[0]) ** 2 / (n - 1)
+    scale = float(found.values[0]) ** 2 / (n - 1)
     wrong = moments.agg(
         F.count_if(F.col("i") == F.col("j")).alias("n_components"),
         F.count_if((F.col("i") == F.col("j")) & ~close).alias("n_wrong_variance"),
@@ -165,7 +164,7 @@ def _(spark, d):
     )
     after = eigen.select((F.col("i") - 1).alias("i"), F.col("eigen").alias("later"))
     rising = eigen.join(after, "i").agg(F.count_if(F.col("later") > F.col("eigen")).alias("n_rising"))
-    width = cells.agg(F.count_distinct("feature").alias("n_features"))
+    width = rows.agg(F.max(F.size("features")).cast("long").alias("n_features"))
     sizes = spark.createDataFrame([(n,)], "n_samples BIGINT")
     # One row each.
     return reduce(DataFrame.crossJoin, [sizes, width, axes, wrong, rising])
@@ -175,21 +174,19 @@ def _(spark, d):
 def _(spark, d):
     """Shares of the variance of all products, and their running sum, for as many components as there are."""
     rows = wide_rows(spark, d)
-    found = pc.of_space(ss.SampleSpace.from_rows(rows), COMPONENTS).found
+    found, *_ = pc.of_design(rows, COMPONENTS)
     shares = spark.createDataFrame([(i + 1, float(x)) for i, x in enumerate(found.share)], "component BIGINT, share DOUBLE")
     return running(shares, [], "component", "share", "cumulative")
 
 
 def component_rows(spark, d, k: int | None):
-    """Cells of all products, the training rows' space, its components (None: all) and rows of scores with label and split."""
+    """Rows of all products, their training rows, and rows of scores on the training rows' components (None: all) with label and split."""
     rows = split_design(spark, d, PROBES)
     wide = materialize(rows.withColumn("features", polynomial2(vector_to_array("features"))), "wide-all")
-    cells = materialize(wide_cells(wide), "wide-cells")
-    train = wide.where("split = 'train'").select("sample_id", "label")
-    space = ss.SampleSpace.from_cells(cells.join(train.select("sample_id"), "sample_id", "left_semi"), train)
-    made = pc.of_space(space, k or len(space.samples))
-    scores = pc.project_cells(cells, made.axes).select("sample_id", array_to_vector("pc").alias("features"))
-    return cells, space, made, materialize(wide.select("sample_id", "split", "label").join(scores, "sample_id"), "component-rows")
+    train = wide.where("split = 'train'").select("sample_id", "label", "features")
+    *_, scores = pc.of_design(train, k)
+    scored = scores(wide).select("sample_id", array_to_vector("pc").alias("features"))
+    return wide, train, materialize(wide.select("sample_id", "split", "label").join(scored, "sample_id"), "component-rows")
 
 
 @query("m20_component_predictions")
@@ -207,8 +204,9 @@ def _(spark, d):
 )
 def _(spark, d):
     """Ridge on all components of the training rows predicts what ridge on all products predicts."""
-    cells, space, _, design = component_rows(spark, d, None)
+    wide, train, design = component_rows(spark, d, None)
     short = ln.ridge(100.0).fit(design.where("split = 'train'")).transform(design)
-    full = ss.predict_cells(cells, space.ridge(100.0)).withColumnRenamed("prediction", "all_features")
+    fit = ln.design_sums(train.withColumn("fold", F.lit(0))).fit(100.0, None)
+    full = ss.predict_cells(wide_cells(wide), fit).withColumnRenamed("prediction", "all_features")
     both = short.select("sample_id", "split", "prediction").join(full, "sample_id")
     return both.groupBy("split").agg(F.count("*").alias("n"), F.count_if(F.abs(F.col("prediction") - F.col("all_features")) > 1e-5).alias("n_off"))
