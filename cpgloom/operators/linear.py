@@ -254,11 +254,11 @@ def design_sums(rows: DataFrame):
     ``rows``: (sample_id, label, fold, features ARRAY).  A width beyond ``MAX_FEATURES`` needs at most
     ``sample_space.MAX_SAMPLES`` samples.
     """
-    from cpgloom.operators.sample_space import MAX_SAMPLES, SampleSpace
+    from cpgloom.operators.sample_space import FIRST, MAX_SAMPLES, DualSums, SampleSpace
 
     size = rows.agg(F.max(F.size("features")).alias("width"), F.count("*").alias("n")).first()
     if size["width"] <= MAX_FEATURES and (size["width"] <= size["n"] or size["n"] > MAX_SAMPLES):
-        return FoldSums(rows)
+        return FoldSums(rows) if size["width"] <= FIRST else DualSums(rows)
     return SampleSpace.from_rows(rows)
 
 

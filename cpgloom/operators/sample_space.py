@@ -28,7 +28,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cpgloom.operators.linear import LinearFit
+from cpgloom.operators.linear import FoldSums, LinearFit
 from cpgloom.operators.sizing import sized
 from cpgloom.session import materialize
 
@@ -65,8 +65,10 @@ def soft(z: np.ndarray, by: float) -> np.ndarray:
     return np.sign(z) * np.maximum(np.abs(z) - by, 0.0)
 
 
-def newton(x: np.ndarray, y: np.ndarray, alpha: float, rho: float, theta: np.ndarray | None = None, steps: int = 100, tol: float = 1e-11) -> tuple[np.ndarray, np.ndarray]:
-    """Dual and weights of the elastic net of centred ``x`` and ``y``."""
+def newton(
+    x: np.ndarray, y: np.ndarray, alpha: float, rho: float, theta: np.ndarray | None = None, steps: int = 100, tol: float = 1e-11, square: np.ndarray | None = None
+) -> tuple[np.ndarray, np.ndarray]:
+    """Dual and weights of the elastic net of centred ``x`` and ``y``; ``square`` is ``x'x``, where it is known."""
     n, m = x.shape
     theta = y / n if theta is None else theta
     scale = max(float(np.abs(y).max(initial=0.0)), 1e-300)
@@ -85,7 +87,8 @@ def newton(x: np.ndarray, y: np.ndarray, alpha: float, rho: float, theta: np.nda
             if k == 0:
                 step = -grad / n
             elif k < n:  # the smaller of two equivalent systems
-                inner = np.linalg.solve(active.T @ active + c * n * np.eye(k), active.T @ grad)
+                met = active.T @ active if square is None else square[np.ix_(w != 0, w != 0)]
+                inner = np.linalg.solve(met + c * n * np.eye(k), active.T @ grad)
                 step = -(grad - active @ inner) / n
             else:
                 step = -np.linalg.solve(active @ active.T / c + n * np.eye(n), grad)
@@ -369,6 +372,83 @@ class SampleSpace:
         return self.columns.sparkSession.createDataFrame(rows, "name STRING, n BIGINT, mae DOUBLE, r2 DOUBLE")
 
 
+class DualSums(FoldSums):
+    """Cross products of a wide design of any number of samples: elastic nets solved to their optimum, a task a path.
+
+    A root of the cross products of features and label stands in for the rows: it has features + 1 lines however
+    many samples there are, and its elastic nets are those of the rows.
+    """
+
+    def _root(self, without: int | None) -> tuple[np.ndarray, np.ndarray, float]:
+        """Lines whose products are the mean centred products of [features, label], and the means of both."""
+        n, mx, my, c, b = self._parts(np.arange(self.width), without)
+        g = self.total if without is None else self.total - self.sums[without]
+        values, vectors = np.linalg.eigh(np.block([[c, b[:, None]], [b[None], g[-1, -1] / n - my * my]]))
+        return np.sqrt(np.maximum(values, 0.0) * len(values))[:, None] * vectors.T, mx, my
+
+    def solve(self, paths: list[list[Problem]]) -> list[list[LinearFit]]:
+        """All problems.  Those of a path share their fold and features and start from each other."""
+        width, roots = self.width, {f: self._root(f) for f in {path[0].without for path in paths}}
+
+        def solved(path: list[Problem]) -> Iterator[tuple[np.ndarray, np.ndarray, float]]:
+            root, mx, my = roots[path[0].without]
+            cols = np.arange(width) if path[0].cols is None else path[0].cols
+            x, theta = root[:, cols], None
+            square = x.T @ x
+            for p in path:
+                theta, w = newton(x, root[:, -1], p.alpha, p.rho, theta, square=square)
+                on = np.flatnonzero(w)
+                yield cols[on], w[on], float(my - mx[cols] @ w)
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                for i in batch["path"]:
+                    yield pd.DataFrame([(i, j, *one) for j, one in enumerate(solved(paths[i]))], columns=["path", "place", "features", "coef", "intercept"])
+
+        if len(paths) == 1 and len(paths[0]) == 1:
+            rows = {(0, 0): dict(zip(("features", "coef", "intercept"), next(solved(paths[0])), strict=True))}
+        else:
+            asked = self.df.sparkSession.range(len(paths), numPartitions=len(paths)).withColumnRenamed("id", "path")
+            schema = "path BIGINT, place INT, features ARRAY<BIGINT>, coef ARRAY<DOUBLE>, intercept DOUBLE"
+            rows = {(r["path"], r["place"]): r for r in asked.mapInPandas(run, schema).collect()}  # one row per problem
+
+        def full(r, p: Problem) -> LinearFit:
+            coef = np.zeros(width)
+            coef[np.asarray(r["features"], np.int64)] = r["coef"]
+            return LinearFit(coef, r["intercept"], float(p.alpha), p.rho)
+
+        return [[full(rows[i, j], p) for j, p in enumerate(path)] for i, path in enumerate(paths)]
+
+    def fit(self, alpha: float, rho: float | None, cols: Sequence[int] | None = None, without: int | None = None) -> LinearFit:
+        if rho is None:
+            return super().fit(alpha, rho, cols, without)
+        return self.solve([[Problem(alpha, rho, without, _span(cols))]])[0][0]
+
+    def tune(self, ratios: Sequence[float], n_alphas: int = 50, cols: Sequence[int] | None = None) -> LinearFit:
+        span, every = _span(cols), np.arange(self.width) if cols is None else np.asarray(cols)
+        grid = {rho: self.alpha_path(rho, n_alphas, every) for rho in ratios}
+        keys = [(rho, f) for rho in ratios for f in self.folds]
+        solved = self.solve([[Problem(float(a), rho, f, span) for a in grid[rho]] for rho, f in keys])
+        err = {rho: np.zeros(n_alphas) for rho in ratios}
+        for (rho, f), path in zip(keys, solved, strict=True):
+            w, shift = np.stack([one.coef for one in path], axis=1), np.array([one.intercept for one in path])
+            err[rho] += self._mse(f, np.arange(self.width), w, shift) / len(self.folds)
+        best = min(ratios, key=lambda rho: err[rho].min())
+        return self.fit(float(grid[best][int(err[best].argmin())]), best, cols)
+
+    def score(self, candidates: dict[str, tuple[float, float | None, Sequence[int] | None]]) -> DataFrame:
+        fits = {name: self.per_fold(*one) for name, one in candidates.items() if one[1] is None}
+        keys = [(name, f) for name in candidates if name not in fits for f in self.folds]
+        paths = [[Problem(candidates[name][0], candidates[name][1], f, _span(candidates[name][2]))] for name, f in keys]
+        for (name, f), path in zip(keys, self.solve(paths) if paths else [], strict=True):
+            fits.setdefault(name, {})[f] = path[0]
+        return self.held_out_scores(fits)
+
+
+def _span(cols: Sequence[int] | None) -> np.ndarray | None:
+    return None if cols is None else np.sort(np.asarray(cols, np.int64))
+
+
 def weight_table(spark, fit: LinearFit) -> DataFrame:
     """``(feature, coef)`` of the weights that are not zero."""
     on = np.flatnonzero(fit.coef)

@@ -58,7 +58,7 @@ def _(spark, d):
     """Tuned over 5 ratios x 50 strengths x 3 folds, then held against the optimality condition of every feature."""
     rows = wide_rows(spark, d)
     cells = materialize(wide_cells(rows), "wide-cells")
-    fit = ss.SampleSpace.from_cells(cells, rows.drop("features")).tune(RATIOS, 50)
+    fit = ln.design_sums(rows).tune(RATIOS, 50)
     n = rows.count()
     return checked(rows, cells, fit, n_samples=n).withColumn("n_samples", F.col("n_samples").cast("long"))
 
@@ -80,13 +80,13 @@ FROM size, (SELECT unnest([1.0, 100.0]::DOUBLE[]) AS a)""",
     "annot beta_long",
 )
 def _(spark, d):
-    """Ridge by the dual system; its gradient ``X'r - alpha w`` is then summed per feature from the cells."""
+    """Ridge by the dual system, or by cross products where samples are many; its gradient ``X'r - alpha w`` is then summed per feature from the cells."""
     rows = wide_rows(spark, d)
     cells = materialize(wide_cells(rows), "wide-cells")
-    space = ss.SampleSpace.from_cells(cells, rows.drop("features"))
-    n, out = len(space.label), []
+    space = ln.design_sums(rows)
+    n, out = rows.count(), []
     for alpha in (1.0, 100.0):
-        fit = space.ridge(alpha)
+        fit = space.fit(alpha, None)
         # The elastic net of strength alpha / n without its absolute term.
         gaps = ss.optimality(cells, rows, ln.LinearFit(fit.coef, fit.intercept, alpha / n, 0.0))
         size = [F.lit(alpha).alias("alpha"), F.lit(n).cast("long").alias("n_samples"), F.count("*").alias("n_features")]
@@ -104,24 +104,24 @@ def _(spark, d):
     """Prefixes of the feature list: scored out of fold, and the fit of each size held against its optimality."""
     rows = wide_rows(spark, d)
     cells = materialize(wide_cells(rows), "wide-cells")
-    space = ss.SampleSpace.from_cells(cells, rows.drop("features"))
+    space = ln.design_sums(rows)
     sizes = [100, 500, 1000, 2000]
     scores = materialize(ln.k_sweep(space, sizes).where("mae is not null").select("k", "n"), "sweep")
-    fits = [checked(rows, cells.where(F.col("feature") < k), space.fit(0.1, 0.5, range(k)), k=k) for k in sizes]
+    fits = [checked(rows, cells.where(F.col("feature") < k), space.fit(0.1, 0.5, range(min(k, space.width))), k=k) for k in sizes]
     return scores.join(reduce(DataFrame.unionByName, fits).withColumn("k", F.col("k").cast("long")), "k")
 
 
 @query("m11_wide_elimination")
 def _(spark, d):
     """From all products down to 50, 50 weakest a step, scored by three folds."""
-    scores, _sizes = ln.eliminate(ss.SampleSpace.from_rows(wide_rows(spark, d)), step=50, smallest=50)
+    scores, _sizes = ln.eliminate(ln.design_sums(wide_rows(spark, d)), step=50, smallest=50)
     return scores.select("n_features", "n", "mae", "r2").orderBy("mae", "n_features")
 
 
 @query("m21_wide_random_search")
 def _(spark, d):
     """75 drawn (strength, ratio) pairs over all products."""
-    return ln.random_search(ss.SampleSpace.from_rows(wide_rows(spark, d)), 75)
+    return ln.random_search(ln.design_sums(wide_rows(spark, d)), 75)
 
 
 # --- components -------------------------------------------------------------------------------
