@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
@@ -18,7 +18,9 @@ from cpgloom.operators.sizing import sized
 from cpgloom.session import materialize
 
 # Upper size of one block of feature rows inside a task.
-BLOCK_BYTES = 128 * 1024 * 1024
+BLOCK_BYTES = 64 * 1024 * 1024
+# Receivers and donors whose distances are held at a time, and pairs that are measured exactly at a time.
+TILE, PAIRS = (512, 4096), 1 << 17
 METHODS = ["zero", "mean", "median", "knn", "mice"]
 
 
@@ -59,67 +61,155 @@ def array_positions(cells: DataFrame) -> DataFrame:
 # --- nearest neighbours -----------------------------------------------------------------------
 
 
-def _block_pairs(receivers: DataFrame, donors: DataFrame, block: int) -> tuple[DataFrame, DataFrame]:
+def _block_pairs(receivers: DataFrame, donors: DataFrame, block: int | None) -> tuple[DataFrame, DataFrame]:
     """Cut both sides into hash blocks and send every block to each block of the other side.
 
     Only whole blocks meet in a task and only the best few donors per receiver leave it, so
-    neither the pair list nor one side has to fit anywhere.
+    neither the pair list nor one side has to fit anywhere.  Blocks are as large as a task may hold, so that a row
+    is copied to few of them; ``block`` limits their rows further.
     """
     # Counted, measured and then copied to the blocks: build the arrays once.
     receivers, donors = materialize(receivers, "receivers"), materialize(donors, "donors")
     width, n_donors = donors.agg(F.max(F.size("features")), F.count("*")).first()
-    block = max(16, min(block, BLOCK_BYTES // (8 * (width or 1))))
+    most = max(16, BLOCK_BYTES // (8 * (width or 1)))
+    most = most if block is None else max(16, min(block, most))
     # Large blocks keep the copies few; small inputs are still cut enough to use every core.
     least = math.ceil(math.sqrt(2 * donors.sparkSession.sparkContext.defaultParallelism))
-    nr, nd = (max(1, math.ceil(n / min(block, max(16, math.ceil(n / least))))) for n in (receivers.count(), n_donors))
+    nr, nd = (max(1, math.ceil(n / min(most, max(16, math.ceil(n / least))))) for n in (receivers.count(), n_donors))
     key = F.xxhash64("sample_id")
     all_r = F.explode(F.sequence(F.lit(0), F.lit(nr - 1)))
     all_d = F.explode(F.sequence(F.lit(0), F.lit(nd - 1)))
     r = receivers.withColumn("_rb", F.pmod(key, F.lit(nr)).cast("int")).withColumn("_db", all_d)
     d = donors.withColumn("_db", F.pmod(key, F.lit(nd)).cast("int")).withColumn("_rb", all_r)
-    return r, d
-
-
-def _nan_distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Euclidean distances over shared coordinates, scaled up to the full width; NaN without any."""
-    ma, mb = ~np.isnan(a), ~np.isnan(b)
-    a0, b0 = np.where(ma, a, 0.0), np.where(mb, b, 0.0)
-    fa, fb = ma.astype("float64"), mb.astype("float64")
-    shared = fa @ fb.T
-    sq = (a0 * a0) @ fb.T + fa @ (b0 * b0).T - 2.0 * (a0 @ b0.T)
-    with np.errstate(invalid="ignore", divide="ignore"):
-        dist = np.sqrt(np.maximum(sq, 0.0) * a.shape[1] / shared)
-    # Rounding far below the data's precision makes equal distances compare equal.
-    return np.where(shared > 0, np.round(dist, 10), np.nan)
+    # A fixed number, so that a few small blocks are not put into one task.
+    spread = min(4 * nr * nd, 4000)
+    return r.repartition(spread, "_rb", "_db"), d.repartition(spread, "_rb", "_db")
 
 
 def _matrix(pdf: pd.DataFrame) -> np.ndarray:
     return np.array([np.asarray(v, dtype="float64") for v in pdf["features"]])
 
 
-def _best(dist: np.ndarray, ids: np.ndarray, k: int) -> list[int]:
-    """Positions of the k smallest distances, ties by id."""
-    usable = np.flatnonzero(~np.isnan(dist))
-    if len(usable) > k:
-        edge = np.partition(dist[usable], k - 1)[k - 1]
-        usable = usable[dist[usable] <= edge]
-    return sorted(usable, key=lambda j: (dist[j], ids[j]))[:k]
+class _Parts:
+    """Rows with gaps as the factors of their products: values, squares and marks, in one number type."""
 
+    def __init__(self, x: np.ndarray, centre: np.ndarray, kind: str):
+        there = ~np.isnan(x)
+        x = np.where(there, x - centre, 0.0).astype(kind)
+        self.whole, self.marks = bool(there.all()), there.astype(kind)
+        self.x, self.squares = x, x * x
+        self.norm = self.squares.sum(1)
 
-def neighbours(receivers: DataFrame, donors: DataFrame, k: int = 5, block: int = 2000) -> DataFrame:
+    def cut(self, at: slice) -> _Parts:
+        part = object.__new__(_Parts)
+        part.whole, part.marks, part.x, part.squares, part.norm = self.whole, self.marks[at], self.x[at], self.squares[at], self.norm[at]
+        return part
+
+
+def _about(a: _Parts, b: _Parts) -> tuple[np.ndarray, np.ndarray]:
+    """Squared distances scaled up to the full width, up to rounding (inf without a shared coordinate), and their error by receiver."""
+    width = a.x.shape[1]
+    if a.whole and b.whole:
+        far = a.x @ b.x.T
+        far *= -2
+        far += a.norm[:, None]
+        far += b.norm
+        shared = width
+    else:
+        far = np.hstack([a.squares, a.marks, -2 * a.x]) @ np.hstack([b.marks, b.squares, b.x]).T
+        shared = a.marks @ b.marks.T
+        with np.errstate(invalid="ignore", divide="ignore"):
+            far *= width / shared
+        far[shared == 0] = np.inf
+    error = 32 * np.finfo(far.dtype).eps * width * (a.norm.astype("float64") + float(b.norm.max(initial=0.0)))
+    return far, error
+
+
+def _exact(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Euclidean distances of pairs over shared coordinates, scaled up to the full width; NaN without any."""
+    out = np.empty(len(i))
+    for at in range(0, len(i), PAIRS):
+        gap = a[i[at : at + PAIRS]] - b[j[at : at + PAIRS]]
+        shared = (~np.isnan(gap)).sum(1)
+        with np.errstate(invalid="ignore", divide="ignore"):
+            out[at : at + PAIRS] = np.sqrt(np.nansum(gap * gap, axis=1) * a.shape[1] / shared)
+        out[at : at + PAIRS][shared == 0] = np.nan
+    # Rounding far below the data's precision makes equal distances compare equal.
+    return np.round(out, 10)
+
+
+def _nearest(a: np.ndarray, b: np.ndarray, k: int, same: Sequence[np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row of a, row of b, distance) of the k nearest rows of ``b``, by row of ``a``, nearest first, ties to the earlier row.
+
+    Products in single precision rule most pairs out; what may be among the k is measured from the differences.
+    ``same``: rows of ``b`` that do not count, by row of ``a``.
+    """
+    found, (step_a, step_b) = [], TILE
+    if not len(a) or not len(b):
+        return np.zeros(0, int), np.zeros(0, int), np.zeros(0)
+    with np.errstate(invalid="ignore", divide="ignore"):
+        centre = np.nan_to_num(np.where(np.isnan(b), 0.0, b).sum(0) / (~np.isnan(b)).sum(0))
+    kinds = {kind: (_Parts(a, centre, kind), _Parts(b, centre, kind)) for kind in ("float32",)}
+    for at in range(0, len(a), step_a):
+        rows = slice(at, min(at + step_a, len(a)))
+        n = rows.stop - at
+        edge = np.full(n, np.inf)
+        top = (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
+        for to in range(0, len(b), step_b):
+            cols = slice(to, min(to + step_b, len(b)))
+            kind = "float32"
+            while True:
+                if kind not in kinds:
+                    kinds[kind] = tuple(_Parts(x, centre, kind) for x in (a, b))
+                far, error = _about(kinds[kind][0].cut(rows), kinds[kind][1].cut(cols))
+                if same is not None:
+                    for i in range(n):
+                        own = same[at + i]
+                        far[i, own[(own >= to) & (own < cols.stop)] - to] = np.inf
+                wide = far.shape[1] > k
+                # No more than k pairs of this tile are nearer than its k-th.
+                bound = np.minimum(edge, np.partition(far, k - 1, axis=1)[:, k - 1] + error if wide and not np.isfinite(edge).all() else np.inf)
+                near = (far <= (bound + error)[:, None].astype(far.dtype) * far.dtype.type(1 + 1e-6)) & (far < np.inf)
+                if near.sum() <= 16 * k * n or kind == "float64" or not wide:
+                    break
+                kind = "float64"  # values so large, or so alike, that single precision does not tell them apart
+            i, j = np.nonzero(near)
+            if not len(i):
+                continue
+            d = _exact(a, b, i + at, j + to)
+            here = ~np.isnan(d)
+            i, j, d = (np.concatenate([x, y[here]]) for x, y in zip(top, (i, j + to, d), strict=True))
+            order = np.lexsort((j, d, i))
+            i, j, d = i[order], j[order], d[order]
+            place = np.arange(len(i)) - np.searchsorted(i, i)
+            kept = place < k
+            top = i[kept], j[kept], d[kept]
+            last = place == k - 1
+            edge[i[last]] = (d[last] + 1e-9) ** 2
+        found.append((top[0] + at, top[1], top[2]))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
+def _by_id(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Ids in order, and the rows in the same order."""
+    ids = pdf["sample_id"].to_numpy()
+    order = np.argsort(ids, kind="stable")
+    return ids[order], _matrix(pdf)[order]
+
+
+def neighbours(receivers: DataFrame, donors: DataFrame, k: int = 5, block: int | None = None) -> DataFrame:
     """The k nearest donors of each receiver (itself excluded) by nan-Euclidean distance.
 
     Both sides are ``(sample_id, features ARRAY)``.
     """
 
     def pairs(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(left) and len(right):
-            dist, ids = _nan_distances(_matrix(left), _matrix(right)), right["sample_id"].to_numpy()
-            for i, rid in enumerate(left["sample_id"]):
-                row = np.where(ids == rid, np.nan, dist[i])
-                out += [(rid, ids[j], float(row[j])) for j in _best(row, ids, k)]
-        return pd.DataFrame(out, columns=["sample_id", "donor_id", "distance"])
+        if not len(left) or not len(right):
+            return pd.DataFrame(columns=["sample_id", "donor_id", "distance"])
+        rids, (ids, b) = left["sample_id"].to_numpy(), _by_id(right)
+        first, last = np.searchsorted(ids, rids, "left"), np.searchsorted(ids, rids, "right")
+        i, j, d = _nearest(_matrix(left), b, k, [np.arange(x, y) for x, y in zip(first, last, strict=True)])
+        return pd.DataFrame({"sample_id": rids[i], "donor_id": ids[j], "distance": d})
 
     r, d = _block_pairs(receivers.select("sample_id", "features"), donors.select("sample_id", "features"), block)
     found = (
@@ -137,7 +227,33 @@ def neighbours(receivers: DataFrame, donors: DataFrame, k: int = 5, block: int =
     )
 
 
-def knn_fill(cells: DataFrame, train: DataFrame, k: int = 5, block: int = 2000, value: str = "beta") -> DataFrame:
+def _donors_of_gaps(a: np.ndarray, b: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row of a, column, row of b, distance): for every gap of ``a`` the k nearest rows of ``b`` that have the column."""
+    gaps, have = np.isnan(a), ~np.isnan(b)
+    out = [(np.zeros(0, int), np.zeros(0, int), np.zeros(0, int), np.zeros(0))]
+    share = have.mean(0)
+    # Columns that most donors have: their donors are among a receiver's nearest few.
+    many = 2 * k + 16
+    i, j, d = _nearest(a, b, many) if (gaps & (share >= 0.5)).any() else out[0][1:]
+    size = np.bincount(i, minlength=len(a))
+    for c in np.flatnonzero(gaps.any(0) & (share > 0)):
+        short = gaps[:, c].copy()
+        if share[c] >= 0.5:
+            use = gaps[i, c] & have[j, c]
+            at, donor, far = i[use], j[use], d[use]
+            place = np.arange(len(at)) - np.searchsorted(at, at)
+            enough = (np.bincount(at, minlength=len(a)) >= k) | (size < many)
+            use = (place < k) & enough[at]
+            out.append((at[use], np.full(use.sum(), c), donor[use], far[use]))
+            short &= ~enough
+        if short.any():
+            rows, donors = np.flatnonzero(short), np.flatnonzero(have[:, c])
+            at, donor, far = _nearest(a[rows], b[donors], k)
+            out.append((rows[at], np.full(len(at), c), donors[donor], far))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
+def knn_fill(cells: DataFrame, train: DataFrame, k: int = 5, block: int | None = None, value: str = "beta") -> DataFrame:
     """Fill each missing cell with the mean of the k nearest training samples that have it.
 
     Falls back to the probe's training mean when no donor has a usable distance.
@@ -147,18 +263,11 @@ def knn_fill(cells: DataFrame, train: DataFrame, k: int = 5, block: int = 2000,
     need = wide_r.where(F.exists("features", lambda x: x.isNull()))
 
     def fill(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(left) and len(right):
-            a, b = _matrix(left), _matrix(right)
-            dist, ids, rids = _nan_distances(a, b), right["sample_id"].to_numpy(), left["sample_id"].to_numpy()
-            for j in range(a.shape[1]):
-                have = np.flatnonzero(~np.isnan(b[:, j]))
-                for i in np.flatnonzero(np.isnan(a[:, j])):
-                    out += [
-                        (rids[i], j, float(dist[i, have[p]]), ids[have[p]], float(b[have[p], j]))
-                        for p in _best(dist[i, have], ids[have], k)
-                    ]
-        return pd.DataFrame(out, columns=["sample_id", "idx", "distance", "donor_id", "value"])
+        if not len(left) or not len(right):
+            return pd.DataFrame(columns=["sample_id", "idx", "distance", "donor_id", "value"])
+        rids, (ids, b) = left["sample_id"].to_numpy(), _by_id(right)
+        i, c, j, d = _donors_of_gaps(_matrix(left), b, k)
+        return pd.DataFrame({"sample_id": rids[i], "idx": c, "distance": d, "donor_id": ids[j], "value": b[j, c]})
 
     r, d = _block_pairs(need, wide_d, block)
     found = (

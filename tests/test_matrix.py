@@ -208,3 +208,31 @@ def test_arrays_follow_rank(spark, cells):
     ranks = spark.createDataFrame([(2, 1), (0, 2)], "probe_ord BIGINT, rank BIGINT")
     got = {r["sample_id"]: r["features"] for r in feature_arrays(sel.keep_probes(cells, ranks, ("rank",))).collect()}
     assert got["s0"] == [0.2, 0.1] and got["s1"] == [0.2, None]
+
+
+@pytest.mark.parametrize("gaps, offset", [(0.0, 0.0), (0.3, 0.0), (0.3, 1e6)])
+def test_nearest_rows_equal_brute_force_over_small_tiles(monkeypatch, gaps, offset):
+    monkeypatch.setattr(im, "TILE", (7, 11))
+    rng = np.random.default_rng(5)
+    a, b = rng.normal(size=(30, 5)).round(1) + offset, rng.normal(size=(50, 5)).round(1) + offset
+    b[:20] = b[0]  # one large group of copies
+    a[rng.random(a.shape) < gaps], b[rng.random(b.shape) < gaps] = np.nan, np.nan
+
+    def brute(x, donors):
+        gap = x - b[donors]
+        shared = (~np.isnan(gap)).sum(1)
+        far = np.round(np.sqrt(np.nansum(gap * gap, 1) * 5 / np.maximum(shared, 1)), 10)
+        return [int(donors[j]) for j in np.lexsort((donors, far)) if shared[j]][:4]
+
+    i, j, _ = im._nearest(a, b, 4)
+    assert [(int(x), int(y)) for x, y in zip(i, j, strict=True)] == [(x, y) for x in range(30) for y in brute(a[x], np.arange(50))]
+    i, c, j, _ = im._donors_of_gaps(a, b, 4)
+    want = {(x, y, z) for x, y in np.argwhere(np.isnan(a)) for z in brute(a[x], np.flatnonzero(~np.isnan(b[:, y])))}
+    assert {(x, y, z) for x, y, z in zip(i, c, j, strict=True)} == want
+
+
+def test_copies_of_neighbour_rows_do_not_grow_with_the_table(spark):
+    """40 times the rows are copied to as many blocks as before, a few."""
+    few, many = (spark.range(n).select(F.col("id").cast("string").alias("sample_id"), F.array(F.col("id").cast("double")).alias("features")) for n in (500, 20_000))
+    copies = [im._block_pairs(df, df, None)[0].count() / df.count() for df in (few, many)]
+    assert copies[1] <= copies[0]
