@@ -20,7 +20,7 @@ from cpgloom.session import materialize
 # Upper size of one block of feature rows inside a task.
 BLOCK_BYTES = 64 * 1024 * 1024
 # Receivers and donors whose distances are held at a time, and pairs that are measured exactly at a time.
-TILE, PAIRS = (512, 4096), 1 << 17
+TILE, PAIRS = (512, 4096), 1 << 12
 METHODS = ["zero", "mean", "median", "knn", "mice"]
 
 
@@ -91,18 +91,32 @@ def _matrix(pdf: pd.DataFrame) -> np.ndarray:
 
 
 class _Parts:
-    """Rows with gaps as the factors of their products: values, squares and marks, in one number type."""
+    """Rows with gaps as the factors of their products: marks, squares and values side by side, in one number type."""
 
     def __init__(self, x: np.ndarray, centre: np.ndarray, kind: str):
         there = ~np.isnan(x)
-        x = np.where(there, x - centre, 0.0).astype(kind)
-        self.whole, self.marks = bool(there.all()), there.astype(kind)
-        self.x, self.squares = x, x * x
+        self.whole, self.width = bool(there.all()), x.shape[1]
+        self.stack = np.empty((len(x), 3 * self.width), kind)
+        self.marks[:] = there
+        self.x[:] = np.where(there, x - centre, 0.0)
+        np.multiply(self.x, self.x, out=self.squares)
         self.norm = self.squares.sum(1)
 
+    @property
+    def marks(self) -> np.ndarray:
+        return self.stack[:, : self.width]
+
+    @property
+    def squares(self) -> np.ndarray:
+        return self.stack[:, self.width : 2 * self.width]
+
+    @property
+    def x(self) -> np.ndarray:
+        return self.stack[:, 2 * self.width :]
+
     def cut(self, at: slice) -> _Parts:
         part = object.__new__(_Parts)
-        part.whole, part.marks, part.x, part.squares, part.norm = self.whole, self.marks[at], self.x[at], self.squares[at], self.norm[at]
+        part.whole, part.width, part.stack, part.norm = self.whole, self.width, self.stack[at], self.norm[at]
         return part
 
 
@@ -116,7 +130,7 @@ def _about(a: _Parts, b: _Parts) -> tuple[np.ndarray, np.ndarray]:
         far += b.norm
         shared = width
     else:
-        far = np.hstack([a.squares, a.marks, -2 * a.x]) @ np.hstack([b.marks, b.squares, b.x]).T
+        far = np.hstack([a.squares, a.marks, -2 * a.x]) @ b.stack.T
         shared = a.marks @ b.marks.T
         with np.errstate(invalid="ignore", divide="ignore"):
             far *= width / shared
@@ -125,19 +139,60 @@ def _about(a: _Parts, b: _Parts) -> tuple[np.ndarray, np.ndarray]:
     return far, error
 
 
+def _within(a: _Parts, b: _Parts, edge: np.ndarray) -> np.ndarray:
+    """Pairs whose squared distance, scaled up to the full width, may be within the receiver's ``edge``; from one product.
+
+    A sum over the shared coordinates is within the edge if it does not exceed ``edge / width`` for each of them, which enters
+    the product as part of the receiver's squares; what rounding may add is allowed for.
+    """
+    kind = a.stack.dtype
+    if a.whole and b.whole:
+        ones = [np.ones((len(p.norm), 1), kind) for p in (a, b)]
+        over = np.hstack([-2 * a.x, ones[0], (a.norm - edge)[:, None].astype(kind)]) @ np.hstack([b.x, b.norm[:, None], ones[1]]).T
+    else:
+        share = (edge / a.width)[:, None].astype(kind)
+        over = np.hstack([a.squares - share * a.marks, a.marks, -2 * a.x]) @ b.stack.T
+    slack = 32 * np.finfo(kind).eps * a.width * (a.norm.astype("float64") + float(b.norm.max(initial=0.0)) + edge)
+    return over <= slack[:, None].astype(kind)
+
+
 def _exact(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """Euclidean distances of pairs over shared coordinates, scaled up to the full width; NaN without any."""
     out = np.empty(len(i))
     for at in range(0, len(i), PAIRS):
         gap = a[i[at : at + PAIRS]] - b[j[at : at + PAIRS]]
-        shared = (~np.isnan(gap)).sum(1)
+        missing = np.isnan(gap)
+        shared = a.shape[1] - missing.sum(1)
+        gap[missing] = 0.0
+        gap *= gap
         with np.errstate(invalid="ignore", divide="ignore"):
-            out[at : at + PAIRS] = np.sqrt(np.nansum(gap * gap, axis=1) * a.shape[1] / shared)
+            out[at : at + PAIRS] = np.sqrt(gap.sum(1) * a.shape[1] / shared)
         out[at : at + PAIRS][shared == 0] = np.nan
     # Rounding far below the data's precision makes equal distances compare equal.
     return np.round(out, 10)
 
 
+def _near_of_all(kinds: dict, a: np.ndarray, b: np.ndarray, centre: np.ndarray, rows: slice, cols: slice, edge: np.ndarray, k: int, same) -> np.ndarray:
+    """Pairs of a tile that may be among the k nearest, from all its distances; for receivers whose edge says little."""
+    at, to, n = rows.start, cols.start, rows.stop - rows.start
+    kind = "float32"
+    while True:
+        if kind not in kinds:
+            kinds[kind] = tuple(_Parts(x, centre, kind) for x in (a, b))
+        far, error = _about(kinds[kind][0].cut(rows), kinds[kind][1].cut(cols))
+        if same is not None:
+            for i in range(n):
+                own = same[at + i]
+                far[i, own[(own >= to) & (own < cols.stop)] - to] = np.inf
+        wide = far.shape[1] > k
+        # No more than k pairs of this tile are nearer than its k-th.
+        bound = np.minimum(edge, np.partition(far, k - 1, axis=1)[:, k - 1] + error if wide and not np.isfinite(edge).all() else np.inf)
+        near = (far <= (bound + error)[:, None].astype(far.dtype) * far.dtype.type(1 + 1e-6)) & (far < np.inf)
+        if near.sum() <= 16 * k * n or kind == "float64" or not wide:
+            return near
+        kind = "float64"  # values so large, or so alike, that single precision does not tell them apart
+
+
 def _nearest(a: np.ndarray, b: np.ndarray, k: int, same: Sequence[np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row of a, row of b, distance) of the k nearest rows of ``b``, by row of ``a``, nearest first, ties to the earlier row.
 
@@ -150,36 +205,39 @@ def _nearest(a: np.ndarray, b: np.ndarray, k: int, same: Sequence[np.ndarray] |
     with np.errstate(invalid="ignore", divide="ignore"):
         centre = np.nan_to_num(np.where(np.isnan(b), 0.0, b).sum(0) / (~np.isnan(b)).sum(0))
     kinds = {kind: (_Parts(a, centre, kind), _Parts(b, centre, kind)) for kind in ("float32",)}
+    blank = [~p.marks.any(1) for p in kinds["float32"]]
     for at in range(0, len(a), step_a):
         rows = slice(at, min(at + step_a, len(a)))
         n = rows.stop - at
         edge = np.full(n, np.inf)
         top = (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
-        for to in range(0, len(b), step_b):
-            cols = slice(to, min(to + step_b, len(b)))
-            kind = "float32"
-            while True:
-                if kind not in kinds:
-                    kinds[kind] = tuple(_Parts(x, centre, kind) for x in (a, b))
-                far, error = _about(kinds[kind][0].cut(rows), kinds[kind][1].cut(cols))
-                if same is not None:
-                    for i in range(n):
-                        own = same[at + i]
-                        far[i, own[(own >= to) & (own < cols.stop)] - to] = np.inf
-                wide = far.shape[1] > k
-                # No more than k pairs of this tile are nearer than its k-th.
-                bound = np.minimum(edge, np.partition(far, k - 1, axis=1)[:, k - 1] + error if wide and not np.isfinite(edge).all() else np.inf)
-                near = (far <= (bound + error)[:, None].astype(far.dtype) * far.dtype.type(1 + 1e-6)) & (far < np.inf)
-                if near.sum() <= 16 * k * n or kind == "float64" or not wide:
-                    break
-                kind = "float64"  # values so large, or so alike, that single precision does not tell them apart
-            i, j = np.nonzero(near)
+        own = None if same is None else np.concatenate([i * len(b) + same[at + i] for i in range(n)])
+        to = 0
+        while to < len(b):
+            # The first rows only tell how far the others may be; few of many rows seen are nearer, so tiles grow.
+            wide = min(max(step_b, to), 4 * step_b) if to else max(1, step_b // 4)
+            cols = slice(to, min(to + wide, len(b)))
+            near = None
+            known = np.isfinite(edge) | blank[0][rows]
+            if (~known).sum() * wide <= 8 * k * n:
+                near = _within(kinds["float32"][0].cut(rows), kinds["float32"][1].cut(cols), np.where(known & ~blank[0][rows], edge, 0.0))
+                near[~known] = True
+                near[blank[0][rows]] = False
+                if blank[1][cols].any():
+                    near[:, blank[1][cols]] = False
+            if near is None or np.count_nonzero(near) > 16 * k * n:
+                near = _near_of_all(kinds, a, b, centre, rows, cols, edge, k, same)
+            i, j = np.divmod(np.flatnonzero(near), near.shape[1])
+            if own is not None and len(i):
+                other = ~np.isin(i * len(b) + j + to, own)
+                i, j = i[other], j[other]
+            start, to = to, cols.stop
             if not len(i):
                 continue
-            d = _exact(a, b, i + at, j + to)
+            d = _exact(a, b, i + at, j + start)
             here = ~np.isnan(d)
-            i, j, d = (np.concatenate([x, y[here]]) for x, y in zip(top, (i, j + to, d), strict=True))
-            order = np.lexsort((j, d, i))
+            i, j, d = (np.concatenate([x, y[here]]) for x, y in zip(top, (i, j + start, d), strict=True))
+            order = np.lexsort((d, i))  # stable: of equal distances the earlier row stays first
             i, j, d = i[order], j[order], d[order]
             place = np.arange(len(i)) - np.searchsorted(i, i)
             kept = place < k

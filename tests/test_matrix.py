@@ -236,3 +236,24 @@ def test_copies_of_neighbour_rows_do_not_grow_with_the_table(spark):
     few, many = (spark.range(n).select(F.col("id").cast("string").alias("sample_id"), F.array(F.col("id").cast("double")).alias("features")) for n in (500, 20_000))
     copies = [im._block_pairs(df, df, None)[0].count() / df.count() for df in (few, many)]
     assert copies[1] <= copies[0]
+
+
+def test_known_edges_spare_the_distances_of_later_tiles(monkeypatch):
+    """Only the first columns of a tile are measured in full; rows without values, own rows and ties come out as by brute force."""
+    monkeypatch.setattr(im, "TILE", (16, 40))
+    measured, about = [], im._about
+    monkeypatch.setattr(im, "_about", lambda a, b: measured.append((len(a.norm), len(b.norm))) or about(a, b))
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(400, 6)).round(1)
+    x[rng.random(x.shape) < 0.2] = np.nan
+    x[[3, 77, 301]] = np.nan
+    i, j, d = im._nearest(x[:64], x, 3, [np.array([at]) for at in range(64)])
+    want = []
+    for at in range(64):
+        gap = x[at] - x
+        shared = (~np.isnan(gap)).sum(1)
+        far = np.round(np.sqrt(np.nansum(gap * gap, 1) * 6 / np.maximum(shared, 1)), 10)
+        want += [(at, int(y), far[y]) for y in np.lexsort((np.arange(400), far)) if shared[y] and y != at][:3]
+    assert [(int(p), int(q)) for p, q in zip(i, j, strict=True)] == [w[:2] for w in want]
+    assert np.allclose(d, [w[2] for w in want])
+    assert sum(n * m for n, m in measured) < 0.2 * 64 * 400
