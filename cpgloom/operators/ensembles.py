@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.ml import Estimator, Model
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.regression import RandomForestRegressor
+from pyspark.ml.regression import RandomForestRegressionModel, RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,18 +32,33 @@ from cpgloom.session import materialize
 RATIOS = [0.1, 0.3, 0.5, 0.7, 0.9]
 
 
+# Fits that run side by side where an estimator has no way to fit several data sets at once.
+THREADS = 5
+# Rows that a task of a forest holds: the bins of their features, and how often every tree draws them.
+FOREST_BYTES = 128 << 20
+
+
+class Forest(RandomForestRegressor):
+    """Spark ML's forest over few partitions: every task sends the sums of all nodes it sees, so more tasks shuffle more of them.
+
+    As many tasks as let fits side by side use every core, and more only where a task would hold too many rows.
+    """
+
+    def _fit(self, dataset: DataFrame) -> RandomForestRegressionModel:
+        n, width = dataset.agg(F.count("*"), F.max(F.size(vector_to_array(self.getFeaturesCol())))).first()
+        held = n * 4 * ((width or 0) + self.getNumTrees() + 16)
+        cores = dataset.sparkSession.sparkContext.defaultParallelism
+        return super()._fit(dataset.coalesce(max(1, -(-cores // THREADS), -(-held // FOREST_BYTES))))
+
+
 def forest(trees: int = 100, depth: int = 10, min_leaf: int = 2, seed: int = 42) -> RandomForestRegressor:
-    return RandomForestRegressor(numTrees=trees, maxDepth=depth, minInstancesPerNode=min_leaf, seed=seed)
+    return Forest(numTrees=trees, maxDepth=depth, minInstancesPerNode=min_leaf, seed=seed)
 
 
 def boosting(rounds: int = 100, depth: int = 3, rate: float = 0.1, rows: float = 0.8, cols: float = 0.8, seed: int = 42, label: str = "label", **told) -> BoostedTrees:
     return BoostedTrees(rounds=rounds, depth=depth, rate=rate, rows=rows, cols=cols, seed=seed, label=label, **told)
 
 
-# Fits that run side by side where an estimator has no way to fit several data sets at once.
-THREADS = 4
-
-
 def side_by_side(calls: Sequence[Callable]) -> list:
     """What the calls return, a few at a time."""
     with ThreadPoolExecutor(THREADS) as pool:

@@ -1,6 +1,7 @@
 import numpy as np
 import pytest
 from pyspark.ml.functions import array_to_vector
+from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import functions as F
 
 from cpgloom.functions.scalars import age_to_clock, clock_to_age
@@ -156,3 +157,15 @@ def test_coefficient_table_orders_by_strength(spark):
     fit = ln.LinearFit(np.array([0.5, -2.0, 0.0]), 1.0)
     got = [tuple(r) for r in en.coefficient_table(fit, names, 2).collect()]
     assert got == [("cg2", -2.0, 2.0), ("cg1", 0.5, 0.5)]
+
+
+def test_forest_works_in_few_tasks_unless_they_hold_too_much(spark, data, monkeypatch):
+    """Each task sends the sums of all nodes: 16 partitions of a small table become a fifth of the cores, and every row stays."""
+    seen, plain = [], RandomForestRegressor._fit
+    monkeypatch.setattr(RandomForestRegressor, "_fit", lambda self, df: seen.append((df.rdd.getNumPartitions(), df.count())) or plain(self, df))
+    rows = data[1].select("sample_id", "label", "features").repartition(16)
+    pred = en.forest(5, 3).fit(rows).transform(rows)
+    assert pred.where("prediction is not null").count() == 120
+    monkeypatch.setattr(en, "FOREST_BYTES", 120 * 4 * (6 + 5 + 16) // 10)
+    en.forest(5, 3).fit(rows)
+    assert seen == [(-(-spark.sparkContext.defaultParallelism // en.THREADS), 120), (10, 120)]
