@@ -11,7 +11,7 @@ texts feed the order; whichever columns it holds, the links found are the same.
 Columns are blocks by hash (the shuffle).  A column of few classes gives all its pairs, whose overlaps are
 summed over columns; in a column of many classes each first meets only two, which the column draws.
 Sets that link share at least so many leading columns as ``_least_shared`` derives from their sizes, and
-pairs that can't reach that are discarded before any whole set is read.  Whole sets decide about the
+pairs that don't reach that are discarded before any whole set is read.  Whole sets decide about the
 rest, and classes linked so far are components.  Columns of many classes that still hold several
 components draw again, a few times, and then give the pairs across components, each in the columns where
 two sets that link can first meet.  So each pair of texts has been compared, is ruled out by a bound, or
@@ -210,9 +210,22 @@ def _mixed(hot: DataFrame, comp: DataFrame, room: str) -> DataFrame:
     return materialize(hot.join(several, "col"), f"{room}/mixed")
 
 
-def _links(pairs: DataFrame, keyed: DataFrame, firsts: DataFrame, width: int, percent: int, room: str) -> DataFrame:
+def _heads(cells: DataFrame, room: str) -> DataFrame:
+    """The leading columns of every class that others have too, as one list, and its size ``n``."""
+    return materialize(cells.groupBy("c").agg(F.first("n").alias("n"), F.collect_list("col").alias("cols")), f"{room}/heads")
+
+
+def _enough(pairs: DataFrame, heads: DataFrame, percent: int) -> DataFrame:
+    """The pairs that share as many leading columns as sets of their sizes that link; the lists are short beside whole sets."""
+    u, v = (heads.select(F.col("c").alias(x), F.col("n").alias(f"n{x}"), F.col("cols").alias(f"cols{x}")) for x in ("u", "v"))
+    both = pairs.select("u", "v").join(v, "v").join(u, "u")
+    return both.where(F.size(F.array_intersect("colsu", "colsv")) >= _least_shared(percent)).select("u", "v")
+
+
+def _links(pairs: DataFrame, heads: DataFrame, keyed: DataFrame, firsts: DataFrame, width: int, percent: int, room: str) -> DataFrame:
     """The pairs (u, v) of classes whose whole sets reach the threshold, stored; the sets go again."""
     spark, place = pairs.sparkSession, f"{room}/{uuid.uuid4().hex}"
+    pairs = materialize(_enough(pairs, heads, percent), f"{place}/pairs")
     involved = pairs.select(F.explode(F.array("u", "v")).alias("c")).distinct()
     wanted = sized(firsts.join(involved, "c"))
 
@@ -255,12 +268,13 @@ def _groups(keyed: DataFrame, width: int, percent: int, room: str) -> DataFrame:
     remove_scratch(spark, f"{room}/incidence")
     cold = cells.where("not hot").select("col", "c", "n")
     hot = cells.where("hot").select("col", "c", "n", "pos")
+    heads = _heads(cells, room)
     n_hot = hot.groupBy("c").agg(F.count("*").alias("h"))
     # The product: overlaps over the columns of few classes, and candidates from the others.
     met_cold = _product(cold, percent)
     pairs = met_cold.unionByName(_leads(hot.withColumn("comp", F.col("c")), 0, percent))
     pairs = pairs.groupBy("u", "v", "nu", "nv").agg(F.sum("shared").alias("shared"))
-    links = _links(_possible(pairs, n_hot, percent, room), keyed, firsts, width, percent, room)
+    links = _links(_possible(pairs, n_hot, percent, room), heads, keyed, firsts, width, percent, room)
     comp = components(links, room)
     # Columns of many classes that still hold several components: more leads while pairs would be many.
     for turn in range(1, TURNS + 1):
@@ -272,7 +286,7 @@ def _groups(keyed: DataFrame, width: int, percent: int, room: str) -> DataFrame:
             break
         led = _leads(mixed, turn, percent).join(met_cold.select("u", "v", F.col("shared").alias("more")), ["u", "v"], "left")
         led = led.withColumn("shared", F.coalesce("more", F.lit(0))).drop("more")
-        links = links.unionByName(_links(_possible(led, n_hot, percent, room), keyed, firsts, width, percent, room))
+        links = links.unionByName(_links(_possible(led, n_hot, percent, room), heads, keyed, firsts, width, percent, room))
         comp = components(links, room)
     # Then all pairs across components, each in the columns where it can first meet.
     mixed = _mixed(hot, comp, room)
@@ -287,7 +301,7 @@ def _groups(keyed: DataFrame, width: int, percent: int, room: str) -> DataFrame:
         & (F.col("posv") <= F.col("nv") - need)
     )
     across = materialize(across.select("u", "v").distinct(), f"{room}/across")
-    links = links.unionByName(_links(across, keyed, firsts, width, percent, room))
+    links = links.unionByName(_links(across, heads, keyed, firsts, width, percent, room))
     # Stored outside the room: the result below reads it.
     comp = materialize(components(links, room), "components")
     named = classes.join(comp.withColumnRenamed("node", "c"), "c", "left").withColumn("comp", F.coalesce("comp", "c"))

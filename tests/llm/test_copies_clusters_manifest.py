@@ -227,3 +227,13 @@ def test_many_sources(spark):
 
 def test_manifest_of_nothing(spark):
     assert merkle.manifest(spark.createDataFrame([], DOCS)).count() == 0
+
+
+def test_pairs_short_of_leading_columns_read_no_whole_set(spark):
+    """Two sets of 100 that link at 85 % share 92 columns, so 8 of their 16 leading ones; pairs with 7 go before whole sets are read."""
+    from cpgloom.llm import ngram_join
+
+    cols = {1: range(16), 2: range(8, 24), 3: range(9, 25), 4: [*range(8, 16), *range(30, 50)]}
+    heads = spark.createDataFrame([(c, 100, list(x)) for c, x in cols.items()], "c LONG, n INT, cols ARRAY<LONG>")
+    pairs = spark.createDataFrame([(1, 2), (1, 3), (1, 4)], "u LONG, v LONG")
+    assert sorted(tuple(r) for r in ngram_join._enough(pairs, heads, 85).collect()) == [(1, 2), (1, 4)]
