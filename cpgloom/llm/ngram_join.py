@@ -44,6 +44,8 @@ KNOWN_COUNTS = 1 << 18
 FEW = 16
 # How often columns of many classes draw new leads before all pairs across components follow.
 TURNS = 3
+# Bytes of text whose sets a task holds at once, where the slices make no difference to the rows.
+PART = 1 << 20
 
 
 def _digest(s: np.ndarray) -> tuple[int, int]:
@@ -115,7 +117,7 @@ def _incidence(keyed: DataFrame, width: int, percent: int, label: str) -> DataFr
     common, rank = frequent(keyed, width)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "t"):
+        for batch in slices(batches, "t", PART):
             n, a, b, cols = [], [], [], []
             for s in _sets(batch, width):
                 least = -(-percent * len(s) // 100)
@@ -230,7 +232,7 @@ def _links(pairs: DataFrame, heads: DataFrame, keyed: DataFrame, firsts: DataFra
     wanted = sized(firsts.join(involved, "c"))
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "t"):
+        for batch in slices(batches, "t", PART):
             sets = pa.array([_signed(s) for s in _sets(batch, width)], pa.list_(pa.int64()))
             yield pa.record_batch([batch.column("c"), sets], ["c", "s"])
 

@@ -33,8 +33,11 @@ from pyspark.sql import types as T
 from cpgloom.llm.common import bounded, slices, texts
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-# Words remembered in a task.
-CACHE = 250_000
+# Words remembered in a task, and those solved at once: a word takes some 200 bytes, solving it some 3 KB for a moment.
+CACHE = 120_000
+AT_ONCE = 4_000
+# Bytes of text that are cut into words at once; the words take many times as much.
+PART = 512 << 10
 
 _SPACE = "▁"
 _NORMAL, _CONTROL, _BYTE, _BPE = 1, 3, 6, 2
@@ -324,8 +327,8 @@ class Encoder:
             self.known = {w: self.known[w] for w in seen if w in self.known}
         # Short words together, so that one long word does not hold up the others.
         new = sorted(seen.difference(self.known), key=len)
-        for i in range(0, len(new), 20_000):
-            some = new[i : i + 20_000]
+        for i in range(0, len(new), AT_ONCE):
+            some = new[i : i + AT_ONCE]
             words = b"\n".join(some).decode().replace(" ", _SPACE).split("\n")
             self.known.update(zip(some, self.machine.encode_words(words), strict=True))
         get = self.known.__getitem__
@@ -343,7 +346,7 @@ def encode(docs: DataFrame, model: str = MODEL, text: str = "text", ids: str = "
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(machine)
-        for batch in slices(batches, text, 1 << 20):
+        for batch in slices(batches, text, PART):
             values, ends = encoder.encode(texts(batch.column(text)))
             nulls = batch.column(text).is_null()
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values, pa.int32()), mask=nulls)
