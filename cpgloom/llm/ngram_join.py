@@ -30,7 +30,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cpgloom.llm.common import bounded, fold, remove_scratch, scratch_room, slices, utf8, word_hashes
@@ -44,6 +44,8 @@ KNOWN_COUNTS = 1 << 18
 FEW = 16
 # How often columns of many classes draw new leads before all pairs across components follow.
 TURNS = 3
+# Bytes of lists up to which the classes of some pairs are sent to every task, not shuffled with the pairs.
+SMALL = 8 << 20
 # Bytes of text whose sets a task holds at once, where the slices make no difference to the rows.
 PART = 1 << 20
 
@@ -139,27 +141,42 @@ def _incidence(keyed: DataFrame, width: int, percent: int, label: str) -> DataFr
 def components(edges: DataFrame, room: str = "components") -> DataFrame:
     """Smallest reachable node of every node of the undirected ``edges`` (u, v): ``node``, ``comp``.
 
-    Alternates large-star and small-star steps, each a minimum by node and a join."""
+    Alternates large-star and small-star steps, each a minimum by node and a join on one shuffle of its rows."""
     spark = edges.sparkSession
     now = materialize(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u > v").distinct(), f"{room}/edges")
     last = None
     while True:
         mark = tuple(now.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).first())
-        if mark == last:
+        if mark == last or not mark[0]:
             break
         last = mark
-        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v"))).repartition("u")
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
+        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").repartition("u")
+        # Each row gives (v, m), and the one with the smallest v also (u, m).
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v")
-        now = materialize(small.unionByName(low.withColumnRenamed("m", "v")).distinct(), f"{room}/star")
-    if not now.head(1):
+        small = large.join(low, "u").select(F.when(F.col("v") > F.col("m"), F.col("v")).otherwise(F.col("u")).alias("u"), F.col("m").alias("v"))
+        now = materialize(small.distinct(), f"{room}/star")
+    if not mark[0]:
         return spark.createDataFrame([], "node long, comp long")
     tops = now.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct()
     return now.select(F.col("u").alias("node"), F.col("v").alias("comp")).unionByName(tops)
 
 
+def _merged(comp: DataFrame, links: DataFrame, room: str, label: str) -> DataFrame:
+    """The components ``comp`` after more ``links``, stored; the links join whole components, so only these are worked on."""
+    if not links.head(1):
+        return materialize(comp, label)
+    ends = links
+    for x in ("u", "v"):
+        ends = ends.join(comp.select(F.col("node").alias(x), F.col("comp").alias(f"c{x}")), x, "left")
+    ends = ends.select(*(F.coalesce(f"c{x}", x).alias(x) for x in ("u", "v")))
+    more = materialize(components(ends, room), f"{room}/merged").select(F.col("node").alias("comp"), F.col("comp").alias("top"))
+    old = comp.join(more, "comp", "left").select("node", F.coalesce("top", "comp").alias("comp"))
+    new = more.select(F.col("comp").alias("node"), F.col("top").alias("comp"))
+    return materialize(old.unionByName(new).distinct(), label)
+
+
 def _fits(percent: int) -> Column:
     """Neither size is smaller than the threshold times the other."""
     return F.least("nu", "nv") * 100 >= percent * F.greatest("nu", "nv")
@@ -179,22 +196,23 @@ def _least_shared(percent: int) -> Column:
 
 
 def _product(cells: DataFrame, percent: int) -> DataFrame:
-    """Overlap counts ``shared`` of pairs (u, v) over the columns that both have, within the size bound."""
+    """A row (u, v), ``shared`` 1, for each column that both have, within the size bound."""
     a, b = (cells.withColumnsRenamed({"c": x, "n": f"n{x}"}) for x in ("u", "v"))
     both = a.join(b, "col").where((F.col("u") < F.col("v")) & _fits(percent))
-    return both.groupBy("u", "v", "nu", "nv").agg(F.count("*").alias("shared"))
+    return both.select("u", "v", "nu", "nv", F.lit(1).cast("long").alias("shared"))
 
 
 def _leads(cells: DataFrame, turn: int, percent: int) -> DataFrame:
     """Pairs of each cell's class with two classes of its column, which each column and turn draws anew."""
     draw = F.struct(F.xxhash64("c", "col", F.lit(turn)).alias("draw"), "c", "n", "comp")
     two = cells.groupBy("col").agg(F.min(draw).alias("low"), F.max(draw).alias("high"))
-    met = cells.join(two, "col").select("c", "n", "comp", F.explode(F.array("low", "high")).alias("x"))
-    met = met.where("comp != x.comp")
+    may = lambda x: (x["comp"] != F.col("comp")) & (F.least("n", x["n"]) * 100 >= percent * F.greatest("n", x["n"]))
+    met = cells.join(two, "col").select("c", "n", F.filter(F.array("low", "high"), may).alias("met"))
+    met = met.select("c", "n", F.explode("met").alias("x"))
     flip = F.col("c") > F.col("x.c")
     ends = ((F.col("c"), F.col("x.c"), "u", "v"), (F.col("n"), F.col("x.n"), "nu", "nv"))
     met = met.select(*(c for a, b, u, v in ends for c in (F.when(flip, b).otherwise(a).alias(u), F.when(flip, a).otherwise(b).alias(v))))
-    return met.where(_fits(percent)).distinct().withColumn("shared", F.lit(0).cast("long"))
+    return met.withColumn("shared", F.lit(0).cast("long"))
 
 
 def _possible(pairs: DataFrame, n_hot: DataFrame, percent: int, room: str) -> DataFrame:
@@ -209,7 +227,7 @@ def _mixed(hot: DataFrame, comp: DataFrame, room: str) -> DataFrame:
     """The cells of columns that hold several components, with ``comp``."""
     hot = hot.join(sized(comp.withColumnRenamed("node", "c")), "c", "left").withColumn("comp", F.coalesce("comp", "c"))
     several = hot.groupBy("col").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("col")
-    return materialize(hot.join(several, "col"), f"{room}/mixed")
+    return materialize(hot.join(sized(several), "col"), f"{room}/mixed")
 
 
 def _heads(cells: DataFrame, room: str) -> DataFrame:
@@ -217,8 +235,13 @@ def _heads(cells: DataFrame, room: str) -> DataFrame:
     return materialize(cells.groupBy("c").agg(F.first("n").alias("n"), F.collect_list("col").alias("cols")), f"{room}/heads")
 
 
-def _enough(pairs: DataFrame, heads: DataFrame, percent: int) -> DataFrame:
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("u").alias("c")).union(pairs.select("v")).distinct()
+
+
+def _enough(pairs: DataFrame, heads: DataFrame, percent: int, place: str = "enough") -> DataFrame:
     """The pairs that share as many leading columns as sets of their sizes that link; the lists are short beside whole sets."""
+    heads = sized(heads.join(sized(_ends(pairs), label=f"{place}/ends"), "c"), SMALL, f"{place}/heads")
     u, v = (heads.select(F.col("c").alias(x), F.col("n").alias(f"n{x}"), F.col("cols").alias(f"cols{x}")) for x in ("u", "v"))
     both = pairs.select("u", "v").join(v, "v").join(u, "u")
     return both.where(F.size(F.array_intersect("colsu", "colsv")) >= _least_shared(percent)).select("u", "v")
@@ -227,9 +250,10 @@ def _enough(pairs: DataFrame, heads: DataFrame, percent: int) -> DataFrame:
 def _links(pairs: DataFrame, heads: DataFrame, keyed: DataFrame, firsts: DataFrame, width: int, percent: int, room: str) -> DataFrame:
     """The pairs (u, v) of classes whose whole sets reach the threshold, stored; the sets go again."""
     spark, place = pairs.sparkSession, f"{room}/{uuid.uuid4().hex}"
-    pairs = materialize(_enough(pairs, heads, percent), f"{place}/pairs")
-    involved = pairs.select(F.explode(F.array("u", "v")).alias("c")).distinct()
-    wanted = sized(firsts.join(involved, "c"))
+    pairs = materialize(_enough(pairs, heads, percent, place), f"{place}/pairs")
+    if not pairs.head(1):
+        return spark.createDataFrame([], "u long, v long")
+    wanted = sized(firsts.join(sized(_ends(pairs), label=f"{place}/involved"), "c"), label=f"{place}/wanted")
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "t", PART):
@@ -237,7 +261,8 @@ def _links(pairs: DataFrame, heads: DataFrame, keyed: DataFrame, firsts: DataFra
             yield pa.record_batch([batch.column("c"), sets], ["c", "s"])
 
     sets = keyed.join(wanted, keyed["doc_id"].eqNullSafe(wanted["_id"]) & (keyed["key"] == wanted["_key"])).select("c", "t")
-    sets = materialize(sets.mapInArrow(whole, "c long, s array<long>"), f"{place}/sets").dropDuplicates(["c"])
+    # Rows that agree in doc_id and text are one class.
+    sets = sized(sets.mapInArrow(whole, "c long, s array<long>"), SMALL, f"{place}/sets").dropDuplicates(["c"])
     left = sets.select(F.col("c").alias("u"), F.col("s").alias("su"))
     right = sets.select(F.col("c").alias("v"), F.col("s").alias("sv"))
     both = pairs.select("u", "v").join(right, "v").join(left, "u")
@@ -265,31 +290,33 @@ def _groups(keyed: DataFrame, width: int, percent: int, room: str) -> DataFrame:
     # The leading columns of every class; those of a single class link nothing.
     cells = whole.withColumnRenamed("row", "c").join(sized(firsts.select("c")), "c")
     cells = cells.select("c", F.col("n").cast("int").alias("n"), F.posexplode("cols").alias("pos", "col"))
-    met = cells.groupBy("col").agg(F.count("*").alias("k")).where("k > 1")
-    cells = materialize(cells.join(met.withColumn("hot", F.col("k") > FEW).drop("k"), "col"), f"{room}/cells")
+    # Counted where they are dealt to, so that they are shuffled once and their counts not at all.
+    cells = cells.withColumn("k", F.count("*").over(Window.partitionBy("col"))).where("k > 1")
+    cells = materialize(cells.withColumn("hot", F.col("k") > FEW).drop("k"), f"{room}/cells")
     remove_scratch(spark, f"{room}/incidence")
     cold = cells.where("not hot").select("col", "c", "n")
     hot = cells.where("hot").select("col", "c", "n", "pos")
     heads = _heads(cells, room)
-    n_hot = hot.groupBy("c").agg(F.count("*").alias("h"))
+    n_hot = sized(hot.groupBy("c").agg(F.count("*").alias("h")), label=f"{room}/n_hot")
     # The product: overlaps over the columns of few classes, and candidates from the others.
-    met_cold = _product(cold, percent)
-    pairs = met_cold.unionByName(_leads(hot.withColumn("comp", F.col("c")), 0, percent))
+    pairs = _product(cold, percent).unionByName(_leads(hot.withColumn("comp", F.col("c")), 0, percent))
     pairs = pairs.groupBy("u", "v", "nu", "nv").agg(F.sum("shared").alias("shared"))
     links = _links(_possible(pairs, n_hot, percent, room), heads, keyed, firsts, width, percent, room)
-    comp = components(links, room)
-    # Columns of many classes that still hold several components: more leads while pairs would be many.
-    for turn in range(1, TURNS + 1):
+    comp = materialize(components(links, room), f"{room}/comp")
+    # Columns of many classes that still hold several components: more leads while pairs would be many and leads make them fewer.
+    before = None
+    for turn in range(1, TURNS + 2):
         mixed = _mixed(hot, comp, room)
+        if turn > TURNS:
+            break
         sizes = mixed.groupBy("col", "comp").agg(F.count("*").alias("m")).groupBy("col")
         sizes = sizes.agg((F.sum("m") * F.sum("m") - F.sum(F.col("m") * F.col("m"))).alias("across"), F.sum("m").alias("cells"))
         across, n_cells = sizes.agg(F.coalesce(F.sum("across"), F.lit(0)), F.coalesce(F.sum("cells"), F.lit(0))).first()
-        if across <= 8 * n_cells:
+        if across <= 8 * n_cells or (before is not None and 4 * across > 3 * before):
             break
-        led = _leads(mixed, turn, percent).join(met_cold.select("u", "v", F.col("shared").alias("more")), ["u", "v"], "left")
-        led = led.withColumn("shared", F.coalesce("more", F.lit(0))).drop("more")
-        links = links.unionByName(_links(_possible(led, n_hot, percent, room), heads, keyed, firsts, width, percent, room))
-        comp = components(links, room)
+        before = across
+        led = materialize(_leads(mixed, turn, percent).select("u", "v").distinct(), f"{room}/pairs")
+        comp = _merged(comp, _links(led, heads, keyed, firsts, width, percent, room), room, f"{room}/comp")
     # Then all pairs across components, each in the columns where it can first meet.
     mixed = _mixed(hot, comp, room)
     other = mixed.withColumnsRenamed({"c": "v", "n": "nv", "pos": "posv", "comp": "compv"})
@@ -303,9 +330,8 @@ def _groups(keyed: DataFrame, width: int, percent: int, room: str) -> DataFrame:
         & (F.col("posv") <= F.col("nv") - need)
     )
     across = materialize(across.select("u", "v").distinct(), f"{room}/across")
-    links = links.unionByName(_links(across, heads, keyed, firsts, width, percent, room))
     # Stored outside the room: the result below reads it.
-    comp = materialize(components(links, room), "components")
+    comp = _merged(comp, _links(across, heads, keyed, firsts, width, percent, room), room, "components")
     named = classes.join(comp.withColumnRenamed("node", "c"), "c", "left").withColumn("comp", F.coalesce("comp", "c"))
     tops = named.groupBy("comp").agg(F.min("least").alias("component_id"), F.min(F.struct("first.doc_id", "first.key")).alias("_top"))
     by_class = named.join(tops, "comp").select("a", "b", "n", "component_id", "_top")

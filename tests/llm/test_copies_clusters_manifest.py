@@ -237,3 +237,47 @@ def test_pairs_short_of_leading_columns_read_no_whole_set(spark):
     heads = spark.createDataFrame([(c, 100, list(x)) for c, x in cols.items()], "c LONG, n INT, cols ARRAY<LONG>")
     pairs = spark.createDataFrame([(1, 2), (1, 3), (1, 4)], "u LONG, v LONG")
     assert sorted(tuple(r) for r in ngram_join._enough(pairs, heads, 85).collect()) == [(1, 2), (1, 4)]
+
+
+def _generated(node):
+    """Rows that the Generate nodes of an executed plan made."""
+    name = node.nodeName()
+    if name == "AdaptiveSparkPlan":
+        return _generated(node.executedPlan())
+    if "QueryStage" in name:
+        return _generated(node.plan())
+    own = node.metrics().apply("numOutputRows").value() if name == "Generate" else 0
+    return own + sum(_generated(node.children().apply(i)) for i in range(node.children().size()))
+
+
+def test_leads_are_made_only_where_sizes_may_link(spark):
+    from cpgloom.llm import ngram_join
+
+    cells = spark.createDataFrame([(1, i, 10 if i % 2 else 100, i) for i in range(40)], "col long, c long, n int, comp long")
+    leads = ngram_join._leads(cells, 0, 85)
+    rows = leads.collect()
+    assert rows and all(r.u < r.v and r.nu == r.nv for r in rows)
+    assert _generated(leads._jdf.queryExecution().executedPlan()) == len(rows)
+
+
+def test_turns_that_join_nothing_are_the_last(spark, monkeypatch):
+    from cpgloom.llm import ngram_join
+
+    turns, leads = [], ngram_join._leads
+    monkeypatch.setattr(ngram_join, "_leads", lambda cells, turn, percent: turns.append(turn) or leads(cells, turn, percent))
+    monkeypatch.setattr(ngram_join, "FEW", 1)
+    same = " ".join(f"w{i}" for i in range(12))
+    docs = spark.createDataFrame([(i, f"{same} own{i}") for i in range(60)], "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.groups(docs, 4, 85).collect()}
+    assert got == {i: (10, i) for i in range(60)}
+    assert turns == [0, 1]
+
+
+def test_later_links_join_whole_components(spark):
+    from cpgloom.llm import ngram_join
+
+    edges = lambda *x: spark.createDataFrame(x, "u long, v long")
+    first = ngram_join.components(edges((5, 4), (4, 3), (9, 8), (20, 21)), "room-test")
+    got = ngram_join._merged(first, edges((5, 9), (7, 8), (30, 31), (31, 31)), "room-test", "room-test/comp")
+    assert sorted(map(tuple, got.collect())) == [(3, 3), (4, 3), (5, 3), (7, 3), (8, 3), (9, 3), (20, 20), (21, 20), (30, 30), (31, 30)]
+    assert ngram_join._merged(first, edges((3, 3)), "room-test", "room-test/comp").count() == 7
