@@ -34,7 +34,7 @@ from cpgloom.llm.common import bounded, slices, texts
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 # Words remembered in a task, and those solved at once: a word takes some 200 bytes, solving it some 3 KB for a moment.
-CACHE = 120_000
+CACHE = 100_000
 AT_ONCE = 4_000
 # Bytes of text that are cut into words at once; the words take many times as much.
 PART = 512 << 10
@@ -120,8 +120,9 @@ class Table:
     def get(self, keys: np.ndarray) -> np.ndarray:
         slot = self._slot(keys)
         seen = self.keys[slot]
-        out = np.where(seen == keys, self.values[slot], -1)
-        left = np.flatnonzero((seen != keys) & (seen >= 0))
+        hit = seen == keys
+        out = np.where(hit, self.values[slot], -1)
+        left = np.flatnonzero(~hit & (seen >= 0))
         while len(left):
             slot[left] = (slot[left] + 1) & ((1 << self.bits) - 1)
             seen = self.keys[slot[left]]
@@ -176,6 +177,9 @@ class Machine:
             accepts[nodes[piece]] = i
         node, by, to = np.array(edges, np.int64).reshape(-1, 3).T
         self.trie = Table(node << 20 | by, to.astype(np.int32))
+        # The first step, which every character takes, by its class.
+        self.first = np.full(len(chars) + 1, -1, np.int64)
+        self.first[by[node == 0]] = to[node == 0]
         self.accepts = np.full(len(nodes), -1, np.int32)
         self.accepts[list(accepts)] = list(accepts.values())
         self.unknown = n  # stands for a character in no piece
@@ -216,11 +220,13 @@ class Machine:
         word = np.repeat(np.arange(len(words)), sizes)
         offset = np.arange(len(points)) - first[word]
         kinds = self.classes[points].astype(np.int64)
-        start, node = np.flatnonzero(kinds > 0), np.zeros(int((kinds > 0).sum()), np.int64)
+        start = np.flatnonzero(kinds > 0)
+        node = self.first[kinds[start]]
         arcs = [np.stack([lone := np.flatnonzero(kinds == 0), np.ones(len(lone), np.int64), np.full(len(lone), self.unknown)])]
         length = 0
         while len(start):
-            node = self.trie.get(node << 20 | kinds[start + length]).astype(np.int64)
+            if length:
+                node = self.trie.get(node << 20 | kinds[start + length]).astype(np.int64)
             length += 1
             alive = node >= 0
             start, node = start[alive], node[alive]
@@ -305,6 +311,7 @@ class Encoder:
         self.machine = machine
         self.line_feed = np.int32(machine.byte_ids[10]).tobytes()
         self.known: dict[bytes, bytes] = {}
+        self.met: set[bytes] = set()
 
     def _words(self, text: bytes) -> list[list[bytes]]:
         """Per line its words; all but a line's first begin with their blanks."""
@@ -323,8 +330,13 @@ class Encoder:
         seen: set[bytes] = set()
         for lines in cut:
             seen.update(*lines)
-        if len(self.known) + len(seen) > CACHE:
-            self.known = {w: self.known[w] for w in seen if w in self.known}
+        again = seen.intersection(self.known)
+        self.met.update(again)
+        if len(self.known) + len(seen) - len(again) > CACHE:
+            # Words that came again stay, if they leave room: most others never will.
+            kept = self.met if len(self.met) + len(seen) - len(again) <= CACHE // 2 else again
+            self.known = {w: self.known[w] for w in kept}
+            self.met = again
         # Short words together, so that one long word does not hold up the others.
         new = sorted(seen.difference(self.known), key=len)
         for i in range(0, len(new), AT_ONCE):

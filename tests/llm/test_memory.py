@@ -34,3 +34,15 @@ def test_batches_stay_below_four_megabytes(spark):
     seen = bounded(docs).mapInArrow(sizes, "rows long, bytes long").collect()
     assert sum(r.rows for r in seen) == 9_000
     assert max(r.bytes for r in seen) < 4 << 20
+
+
+def test_words_that_came_again_stay_in_the_encoder(monkeypatch):
+    monkeypatch.setattr(sentencepiece_fst, "CACHE", 12)
+    machine = sentencepiece_fst.Machine(sentencepiece_fst.Model.read(sentencepiece_fst.MODEL))
+    encoder, solved, solve = sentencepiece_fst.Encoder(machine), [], machine.encode_words
+    monkeypatch.setattr(machine, "encode_words", lambda words: solved.extend(words) or solve(words))
+    rows = [b"the same", b"the same", *(f"w{i} x{i} y{i} z{i}".encode() for i in range(4)), b"the same"]
+    got = [encoder.encode([r])[0].tolist() for r in rows]
+    assert solved.count("▁same") == 1
+    assert len(encoder.known) <= 12
+    assert got == [sentencepiece_fst.Encoder(machine).encode([r])[0].tolist() for r in rows]
