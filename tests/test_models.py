@@ -123,12 +123,12 @@ def test_stacking_and_out_of_fold_cover_every_sample_once(data):
     assert set(en.stacking_presets()) == {"linear", "trees", "mixed", "full"}
 
 
-def test_the_registered_mixed_stack_is_the_published_one(monkeypatch):
+def test_the_registered_mixed_stack_is_the_published_one(spark, monkeypatch):
     """Failed when the query told its members 50 trees instead of the published 200."""
     from cpgloom.plans import catalog, model_queries
 
     monkeypatch.setattr(model_queries, "fit_and_predict", lambda _spark, _d, est, *_: est)
-    stack = catalog.QUERIES["m08_stacking"](None, "")
+    stack = catalog.QUERIES["m08_stacking"](spark, "")
     assert list(stack.base) == ["enet", "svr", "forest", "xgb"] and stack.folds == 5 and stack.meta_alpha == en.META_ALPHAS
     assert stack.base["forest"].getNumTrees() == 200 and stack.base["xgb"].settings["rounds"] == 200
 
